@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text taken into one numpy block, in bytes. A longer document is a block of its own.
 BLOCK_BYTES = 4 << 20
@@ -42,3 +45,30 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 def partitions_for(df: DataFrame, floor: int = 1) -> int:
     """Shuffle partitions for work keyed by hand: the session's setting."""
     return max(floor, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+#: Bits of the filter below: 4 MB, whatever the number of ids.
+FILTER_BITS = 1 << 25
+
+
+def id_filter(ids: DataFrame, column: str = "id"):
+    """A test that is true for every id in ``ids`` and for few others, for use before a join.
+
+    It is a bitmap of FILTER_BITS bits however many ids there are (with very many it lets more
+    rows pass and loses none), built by Spark's bitmap aggregates and sent to the executors.
+    """
+    spark = ids.sparkSession
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    at = ids.where(F.col(column).isNotNull()).select(place(F.col(column)).alias("p"))
+    parts = at.groupBy((F.col("p") / 32768).cast("int").alias("k")).agg(F.bitmap_construct_agg(F.col("p") % 32768).alias("bits"))
+    bits = np.zeros((FILTER_BITS // 32768, 4096), np.uint8)
+    for row in parts.toLocalIterator():
+        bits[row.k] = np.frombuffer(row.bits, np.uint8)
+    shared = spark.sparkContext.broadcast(bits.ravel())
+
+    @F.pandas_udf("boolean")
+    def known(p: pd.Series) -> pd.Series:
+        p = p.fillna(0).to_numpy(np.int64)
+        return pd.Series((shared.value[p >> 3] >> (p & 7)) & 1 == 1)
+
+    return lambda c: known(place(c))

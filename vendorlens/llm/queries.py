@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vendorlens.llm import decontamination, near_dedup
+from vendorlens.llm import decontamination, near_dedup, substring_dedup
 from vendorlens.llm.common import table
 
 
@@ -27,12 +27,44 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    summary, cut = substring_dedup.repeated_passages(table(spark, sf_dir, "documents"), width=50)
+    cut = cut.select(F.col("id").alias("cut_id"), "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("cut_sha"))
+    copy = F.col("first").isNotNull()
+    return summary.join(cut, F.col("id") == F.col("cut_id"), "left").select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
+        F.when(copy, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("cut_sha", F.lower(F.hex("sha")))).alias("kept_sha256"),
+    )
+
+
 QUERIES = {
+    "op6_substring_dedup": op6_substring_dedup,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
 }
 
 ORACLE_SQL = {
+    "op6_substring_dedup": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), windows AS MATERIALIZED (
+            SELECT doc_id, p, md5(array_to_string(w[p : p + 49], ' ')) AS h
+            FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM d WHERE len(w) >= 50)
+        ), firsts AS (SELECT h, min(doc_id) AS first FROM windows GROUP BY h),
+        gone AS MATERIALIZED (
+            SELECT DISTINCT doc_id, q FROM (
+                SELECT doc_id, unnest(range(p, p + 50)) AS q FROM windows JOIN firsts USING (h) WHERE first < doc_id
+            )
+        ), kept AS (
+            SELECT words.doc_id, string_agg(word, ' ' ORDER BY words.q) AS t
+            FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS q FROM d) words
+            LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.q = words.q WHERE gone.q IS NULL GROUP BY words.doc_id
+        ), lost AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+        SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(lost.n, 0)::BIGINT AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+        FROM d LEFT JOIN lost ON lost.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id
+    """,
     "op4_minhash_near_dedup": r"""
         WITH RECURSIVE d AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
