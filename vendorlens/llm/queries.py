@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vendorlens.llm import decontamination, near_dedup, substring_dedup
+from vendorlens.llm import decontamination, near_dedup, packing, substring_dedup, token_tables
 from vendorlens.llm.common import table
 
 
@@ -39,7 +40,19 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_token_sstables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = token_tables.write_tables(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return token_tables.read_tables(shards).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return pieces.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES = {
+    "op5_token_sstables": op5_token_sstables,
+    "op7_packing": op7_packing,
     "op6_substring_dedup": op6_substring_dedup,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
