@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vendorlens.llm import decontamination, near_dedup, packing, substring_dedup, token_tables
+from vendorlens.llm import decontamination, near_dedup, packing, pii, substring_dedup, token_tables, toxicity
 from vendorlens.llm.common import table
 
 
@@ -50,7 +50,24 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    held_out = lambda c: F.crc32(F.col(c).cast("string")) % 4 == 2
+    model = toxicity.trained(documents, table(spark, sf_dir, "labels"), usable=~held_out("_id"))
+    found = toxicity.scored(documents, model)
+    return found.select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(table(spark, sf_dir, "documents"))
+    count = lambda k: F.expr(f"cast(size(filter(base, x -> x.kind = '{k}')) as long)").alias(f"n_{k}")
+    joined = lambda c: F.expr(f"array_join(transform({c}, x -> concat_ws(':', x.kind, x.start, x.stop)), ',')")
+    return found.select(F.col("id").alias("doc_id"), *[count(k) for k in pii.KINDS], F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 QUERIES = {
+    "op8_toxicity": op8_toxicity,
+    "op10_pii": op10_pii,
     "op5_token_sstables": op5_token_sstables,
     "op7_packing": op7_packing,
     "op6_substring_dedup": op6_substring_dedup,
