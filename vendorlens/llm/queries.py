@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vendorlens.llm import decontamination, near_dedup, packing, pii, substring_dedup, token_tables, toxicity
+from vendorlens.llm import decontamination, near_dedup, packing, pii, substring_dedup, token_tables, topk, toxicity, url_filter
 from vendorlens.llm.common import table
 
 
@@ -65,7 +65,23 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), *[count(k) for k in pii.KINDS], F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
+def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = topk.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, 10)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+#: The rules of op3: longest wins.
+URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "rule string, verdict string")
+    return url_filter.judged(table(spark, sf_dir, "pages"), rules).withColumnRenamed("id", "page_id")
+
+
 QUERIES = {
+    "op2_exact_topk": op2_exact_topk,
+    "op3_url_filter": op3_url_filter,
     "op8_toxicity": op8_toxicity,
     "op10_pii": op10_pii,
     "op5_token_sstables": op5_token_sstables,
@@ -76,6 +92,52 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_exact_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+            FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.v) = len(q.v) WHERE q.vec_id % 100 = 0
+        ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+    """,
+    "op3_url_filter": r"""
+        WITH RECURSIVE rules(rule, verdict) AS (
+            VALUES ('com/en/', 'block'), ('example.com/en/7', 'allow'), ('net/de/', 'allow'), ('example.net/de/8', 'block'), ('org/es/', 'block')
+        ), r AS (SELECT rule, verdict, regexp_extract(rule, '^([^/]*)', 1) AS rule_host, regexp_extract(rule, '^[^/]*(.*)$', 1) AS rule_path FROM rules),
+        tags AS (
+            SELECT url AS u, regexp_extract(t, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS t
+            FROM (SELECT url, unnest(regexp_extract_all(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>')) AS t FROM pages)
+            UNION ALL
+            SELECT url, regexp_extract(t, '(?i)\burl\s*=\s*["'']?([^"''\s>;]+)', 1)
+            FROM (SELECT url, unnest(regexp_extract_all(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>')) AS t FROM pages)
+        ), whole AS (
+            SELECT u, CASE WHEN t LIKE '//%' THEN regexp_extract(u, '^(.*?):', 1) || ':' || t WHEN t LIKE '/%' THEN regexp_extract(u, '^(.*?://[^/?#]*)', 1) || t WHEN contains(t, '://') THEN t END AS t
+            FROM (SELECT u, replace(t, '&amp;', '&') AS t FROM tags WHERE t <> '')
+        ), urls AS (SELECT url FROM pages UNION SELECT t FROM whole),
+        parts AS MATERIALIZED (
+            SELECT url, CASE WHEN contains(url, '://') THEN translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+                   CASE WHEN contains(url, '://') THEN regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) ELSE '' END AS path,
+                   regexp_extract(url, '(?s)^[^?#]*(\?[^#]*)', 1) AS query
+            FROM urls WHERE url IS NOT NULL
+        ), nodes AS MATERIALIZED (SELECT url, host, path, CASE WHEN contains(url, '://') THEN host || CASE WHEN path = '' THEN '/' ELSE path END || query END AS node FROM parts),
+        fits AS MATERIALIZED (
+            SELECT node, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
+            FROM nodes JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) WHERE node IS NOT NULL GROUP BY node
+        ), edges AS MATERIALIZED (
+            SELECT a.node AS a, b.node AS b FROM whole JOIN nodes a ON a.url = whole.u JOIN nodes b ON b.url = whole.t WHERE a.node <> b.node
+            UNION SELECT b.node, a.node FROM whole JOIN nodes a ON a.url = whole.u JOIN nodes b ON b.url = whole.t WHERE a.node <> b.node
+        ), reach AS (
+            SELECT a AS node, a AS other FROM edges UNION SELECT reach.node, edges.b FROM reach JOIN edges ON edges.a = reach.other
+        ), spread AS (
+            SELECT reach.node FROM reach JOIN fits ON fits.node = reach.other GROUP BY reach.node HAVING bool_or(verdict = 'block') AND NOT bool_or(verdict = 'allow')
+        )
+        SELECT p.page_id, coalesce(n.host, '') AS host, coalesce(n.path, '') AS path, f.rule,
+               coalesce(f.verdict, CASE WHEN s.node IS NOT NULL THEN 'block' END, 'allow') AS verdict
+        FROM pages p LEFT JOIN nodes n ON n.url = p.url LEFT JOIN fits f ON f.node = n.node LEFT JOIN spread s ON s.node = n.node
+    """,
     "op6_substring_dedup": r"""
         WITH d AS (
             SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
