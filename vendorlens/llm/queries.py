@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vendorlens.llm import decontamination, near_dedup, packing, pii, substring_dedup, token_tables, topk, toxicity, url_filter
+from vendorlens.llm import decontamination, html_text, near_dedup, packing, pii, substring_dedup, token_tables, topk, toxicity, url_filter
 from vendorlens.llm.common import table
 
 
@@ -79,7 +79,13 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(table(spark, sf_dir, "pages"), rules).withColumnRenamed("id", "page_id")
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extracted(table(spark, sf_dir, "pages"))
+    return found.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 QUERIES = {
+    "op9_html_extraction": op9_html_extraction,
     "op2_exact_topk": op2_exact_topk,
     "op3_url_filter": op3_url_filter,
     "op8_toxicity": op8_toxicity,

@@ -3,12 +3,13 @@
 A tokenizer that splits at white space gives a piece of text the same ids wherever it stands,
 if the piece runs from one end of a non-white run to the next. So each block of texts is cut
 there, each distinct piece is encoded once by the library and kept by a
-64-bit hash (1.5 million pieces at most, so a clash has a chance of 1 in 10 million a store), and
+64-bit hash (600,000 pieces at most and one block more, so a clash has a chance of 1 in 50 million a store), and
 the ids are gathered by position. Texts with white space other than blanks and line feeds are encoded whole.
 """
 
 from __future__ import annotations
 
+import os
 import re
 from functools import lru_cache
 
@@ -22,7 +23,7 @@ _ODD_SPACE = re.compile("[\t\v\f\r\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠
 _ODD_BYTES = np.zeros(256, bool)
 _ODD_BYTES[[9, 11, 12, 13, 28, 29, 30, 31, 0xC2, 0xE1, 0xE2, 0xE3, 0xEF]] = True
 #: Pieces kept in a worker; beyond that the store starts anew.
-KEPT_PIECES = 1_500_000
+KEPT_PIECES = 600_000
 
 
 class Encoder:
@@ -30,6 +31,7 @@ class Encoder:
     (byte-level); otherwise it is dropped and A-Z are lower-cased before the store is asked."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task on each core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -138,7 +140,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encoded(column: pa.Array, path: str, end_id: int, limit: int = 8 << 20):
+def encoded(column: pa.Array, path: str, end_id: int, limit: int = 3 << 20):
     """(lo, hi, ids, offsets) for the rows of a string column, block by block; null is empty."""
     own = encoder(path)
     for block in blocks(column, "space", False, limit):
