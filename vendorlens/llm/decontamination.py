@@ -209,6 +209,25 @@ def grown(ranks: np.ndarray, s: Suffixes, place: int, j: int) -> tuple[int, int,
     return n, int(start - item_first), place
 
 
+def suffix_blocks(benchmark: DataFrame, width: int, item_col: str = "item_id", text_col: str = "text", least_words: int = 1) -> list[Suffixes]:
+    """The benchmark's suffixes in blocks of at most BENCHMARK_BLOCK_BYTES of text."""
+    items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("t is not null")
+    parts: list[Suffixes] = []
+    ids: list[str | None] = []
+    texts: list[str] = []
+    size = 0
+    for row in items.toLocalIterator():
+        if least_words > 1 and sum(len(b.starts) for b in blocks(pa.array([row.t]), "ascii", True)) < least_words:
+            continue
+        if size and size + len(row.t) > BENCHMARK_BLOCK_BYTES:
+            parts.append(Suffixes.of(ids, texts, width))
+            ids, texts, size = [], [], 0
+        ids.append(row.i)
+        texts.append(row.t)
+        size += len(row.t)
+    return [*parts, Suffixes.of(ids, texts, width)]
+
+
 def matches(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 10) -> DataFrame:
     """Per document: id, n_words, n_hit, hit spans (words) and, for each item with an occurring
     window, the longest match and where it is. One row for each input row.
@@ -216,13 +235,7 @@ def matches(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     The benchmark is read to the driver in blocks of at most BENCHMARK_BLOCK_BYTES; the
     documents are passed over once for each block (one block for any usual benchmark).
     """
-    kind = documents.schema[id_col].dataType.simpleString()
-    schema = MATCHES.format(id=kind)
-    items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text_col).alias("t")).where("t is not null")
-    parts: list[Suffixes] = []
-    ids: list[str | None] = []
-    texts: list[str] = []
-    size = 0
+    schema = MATCHES.format(id=documents.schema[id_col].dataType.simpleString())
     source = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(s: Suffixes) -> DataFrame:
@@ -237,18 +250,8 @@ def matches(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
 
         return source.mapInArrow(scan, schema)
 
-    for row in items.toLocalIterator():
-        if size and size + len(row.t) > BENCHMARK_BLOCK_BYTES:
-            parts.append(Suffixes.of(ids, texts, width))
-            ids, texts, size = [], [], 0
-        ids.append(row.i)
-        texts.append(row.t)
-        size += len(row.t)
-    parts.append(Suffixes.of(ids, texts, width))
-    found = [run(s) for s in parts]
-    if len(found) == 1:
-        return found[0]
-    return merged(found)
+    found = [run(s) for s in suffix_blocks(benchmark, width, item_col, item_text_col)]
+    return found[0] if len(found) == 1 else merged(found)
 
 
 def merged(found: list[DataFrame]) -> DataFrame:
@@ -271,8 +274,21 @@ _ARROW = pa.schema([
 ])
 
 
-def decontaminated(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents without any hit, with all their columns. Rows with a null id are judged
-    by no one's id and stay."""
-    bad = matches(documents, benchmark, id_col=id_col, **options).where("n_hit > 0").select(F.col("id").alias(id_col)).distinct()
-    return documents.join(bad, id_col, "left_anti")
+def decontaminated(documents: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 10, least_words: int = 1) -> DataFrame:
+    """The documents in which no window of the benchmark occurs, with all their columns.
+
+    Items of fewer than ``least_words`` words are no evidence and left out.
+    """
+    at = documents.columns.index(text_col)
+    out = documents
+    for s in suffix_blocks(benchmark, width, item_col, item_text_col, least_words):
+        shared = documents.sparkSession.sparkContext.broadcast(s)
+
+        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for block in blocks(batch.column(at), "ascii", True):
+                    clean = [not r["n_hit"] for r in shard_matches(block, shared.value, width)]
+                    yield batch.slice(block.lo, block.hi - block.lo).filter(pa.array(clean))
+
+        out = out.mapInArrow(scan, documents.schema)
+    return out

@@ -50,7 +50,7 @@ _DROPPED_NAMES = (
 _DROPPED = re.compile(rf"(?:^|/)(?:(?:{_DROPPED_TAGS})(?:[.]|/|$)|[a-z]+[.](?:[^/]*[. _-])?(?:{_DROPPED_NAMES})(?:[. _-][^/]*)?(?=/|$))")
 _HEADER = re.compile(r"(?:^|/)header(?:[.]|/|$)")
 _ARTICLE = re.compile(r"(?:^|/)(?:article|main|div[.](?:[^/]*[. ])?(?:article|post|entry|content|story)(?:[-_ ]?(?:body|content|text))?(?:[. ][^/]*)?)(?=/|$)|(?:^|/)(?:article|main)[.]")
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*|[^<>]*)>|<[!?][^>]*>", re.S)
 _NAME = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _SPACE = re.compile(r"\s+")
 
@@ -99,7 +99,8 @@ def parsed(html: str) -> tuple[list[tuple[str, bool]], list[tuple[str, str, bool
         if tag in RAW and not closing:
             if not m[3].rstrip().endswith("/"):
                 stop = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
-                at = stop.end() if stop else end
+                # an unclosed script or style takes the rest, as it does in a browser
+                at = stop.end() if stop else end if tag in ("script", "style") else at
             flush()
         elif tag in CONTAINERS:
             flush()
