@@ -40,13 +40,14 @@ class Suffixes:
     ranks: np.ndarray  # all items' words, a 0 after each item
     start: np.ndarray  # of each suffix in ranks
     left: np.ndarray  # words to the item's end
+    full: np.ndarray  # words of the item
     item: np.ndarray  # item of each suffix
     need: np.ndarray  # match length from which it is a window; 0: no window starts here
     ids: list[str | None]
 
     @classmethod
     def of(cls, ids: list[str | None], texts: list[str | None], width: int) -> Suffixes:
-        h, start, left, item, need, at = [], [], [], [], [], 0
+        h, start, left, full, item, need, at = [], [], [], [], [], [], 0
         first = 0
         for block in blocks(pa.array(texts, pa.string()), "ascii", True):
             hashes = block.hashes()
@@ -56,6 +57,7 @@ class Suffixes:
                 h.append(np.append(own, np.uint64(0)))
                 start.append(at + np.arange(n))
                 left.append(n - np.arange(n))
+                full.append(np.full(n, n))
                 item.append(np.full(n, first + i))
                 w = min(width, n)
                 need.append(np.where(np.arange(n) <= n - w, w, 0))
@@ -65,7 +67,7 @@ class Suffixes:
         h = cat(h, np.uint64)
         vocabulary = np.unique(h[h != 0])
         ranks = np.where(h == 0, 0, np.searchsorted(vocabulary, h) + 1)
-        return cls(vocabulary, ranks.astype(np.int64), cat(start, np.int64), cat(left, np.int64), cat(item, np.int64), cat(need, np.int64), ids)
+        return cls(vocabulary, ranks.astype(np.int64), cat(start, np.int64), cat(left, np.int64), cat(full, np.int64), cat(item, np.int64), cat(need, np.int64), ids)
 
 
 def ranked(hashes: np.ndarray, first: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
@@ -178,15 +180,14 @@ def shard_matches(block: Block, s: Suffixes, width: int) -> Iterator[dict]:
         places, need = order[at], heads[owner, 2]
         np.add.at(covered, places, 1)
         np.add.at(covered, places + need, -1)
-        docs_of = np.searchsorted(begin, places, "right") - 1
-        # (document, distinct window) once, with its first place
-        key = np.unique(np.stack([docs_of, owner], 1), axis=0, return_index=True) if len(places) else (np.empty((0, 2), np.int64), np.empty(0, np.int64))
-        by_window: dict[tuple, list[int]] = {}
+        # matches that can't be grown to the left, one or more for each document and item
         for j in np.flatnonzero(hi > lo):
-            by_window.setdefault((lo[j], hi[j], s.need[j]), []).append(int(j))
-        for (doc, w), i in zip(*key, strict=True):
-            for j in by_window[tuple(heads[w])]:
-                found.setdefault(int(doc), {}).setdefault(int(s.item[j]), []).append((j, int(places[i])))
+            at = order[lo[j] : hi[j]]
+            if s.left[j] < s.full[j]:
+                before = ranks[np.maximum(at - 1, 0)]
+                at = at[(at == 0) | (before == 0) | (before != s.ranks[s.start[j] - 1])]
+            for place, doc in zip(at.tolist(), (np.searchsorted(begin, at, "right") - 1).tolist(), strict=True):
+                found.setdefault(doc, {}).setdefault(int(s.item[j]), []).append((int(j), place))
     hit = np.cumsum(covered[:-1]) > 0
     for d in range(docs):
         own = hit[begin[d] : begin[d] + n_words[d]]
@@ -205,8 +206,7 @@ def grown(ranks: np.ndarray, s: Suffixes, place: int, j: int) -> tuple[int, int,
     own = ranks[place : place + left]
     differ = np.flatnonzero((own != s.ranks[start : start + len(own)]) | (own == 0))
     n = int(differ[0]) if len(differ) else len(own)
-    item_first = s.start[np.searchsorted(s.item, s.item[j])]
-    return n, int(start - item_first), place
+    return n, int(s.full[j] - left), place
 
 
 def suffix_blocks(benchmark: DataFrame, width: int, item_col: str = "item_id", text_col: str = "text", least_words: int = 1) -> list[Suffixes]:
