@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vendorlens.llm.common import id_filter, saved
-from vendorlens.llm.words import Block, blocks, mix, windows
+from vendorlens.llm.words import blocks, mix, windows
 
 #: Words in a run that can be an anchor.
 SEED = 20
@@ -45,6 +45,8 @@ def window_anchors(h: np.ndarray, first: np.ndarray, width: int) -> tuple[np.nda
     span, k = width - seed + 1, 1
     while k < span:  # the minimum over k runs, then over more
         step = min(k, span - k)
+        if step >= len(least):
+            break
         least[: len(least) - step] = np.minimum(least[: len(least) - step], least[step:])
         k += step
     start, print_ = windows(h, first, width)
@@ -209,11 +211,7 @@ def without_repeats(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     a copy of an earlier document becomes empty.
     """
     summary, cut = repeated_passages(documents, id_col=id_col, text_col=text_col, width=width)
-    change = cut.select(F.col("id").alias("_id"), F.col("kept_text").alias("_kept")).union(summary.where("first is not null").select("id", F.lit("")))
-    joined = documents.join(change.dropDuplicates(["_id"]), documents[id_col] == F.col("_id"), "left")
-    return joined.select(*[F.coalesce(F.col("_kept"), documents[text_col]).alias(c) if c == text_col else documents[c] for c in documents.columns])
-
-
-def block_words(block: Block, row: int) -> list[bytes]:
-    """The words of one row, for tests."""
-    return [block.word(k) for k in range(block.first[row], block.first[row + 1])]
+    change = cut.select("id", "kept_text").union(summary.where("first is not null").select("id", F.lit("")))
+    joined = documents.alias("d").join(change.dropDuplicates(["id"]).alias("c"), F.col(f"d.{id_col}") == F.col("c.id"), "left")
+    own = lambda c: F.col(f"d.`{c}`")
+    return joined.select(*[F.coalesce(F.col("c.kept_text"), own(c)).alias(c) if c == text_col else own(c) for c in documents.columns])
