@@ -105,7 +105,7 @@ def test_supplementary_urls(spark):
     cols = "vendor_id long, url string, source string"
     first = spark.createDataFrame([(1, "a", "s"), (1, "", "s")], cols)
     more = spark.createDataFrame([(1, "a", "x"), (1, None, "x"), (1, "b", "x"), (1, "b", "x"), (1, "", "x"), (2, "a", "x")], cols)
-    got = sorted((r.vendor_id, r.url or "-", r.source) for r in evidence.add_supplementary(first, more).collect())
+    got = sorted((r.vendor_id, "-" if r.url is None else r.url, r.source) for r in evidence.add_supplementary(first, more).collect())
     assert got == sorted([(1, "a", "s"), (1, "", "s"), (1, "-", "supplementary"), (1, "b", "supplementary"), (1, "b", "supplementary"), (2, "a", "supplementary")])
 
 
