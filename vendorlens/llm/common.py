@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text taken into one numpy block, in bytes. A longer document is a block of its own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,17 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Text that goes to a Python worker at once.
+BATCH_BYTES = 16 << 20
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """The same frame; its session sends at most BATCH_BYTES to a Python worker at once, however long the texts are."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
+    return df
+
+
 def partitions_for(df: DataFrame, floor: int = 1) -> int:
     """Shuffle partitions for work keyed by hand: the session's setting."""
     return max(floor, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

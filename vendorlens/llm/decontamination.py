@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vendorlens.llm.common import bounded_batches
 from vendorlens.llm.words import Block, blocks, windows
 
 #: Benchmark text sent to the executors at once; a larger benchmark takes several passes.
@@ -236,7 +237,7 @@ def matches(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     documents are passed over once for each block (one block for any usual benchmark).
     """
     schema = MATCHES.format(id=documents.schema[id_col].dataType.simpleString())
-    source = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    source = bounded_batches(documents).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(s: Suffixes) -> DataFrame:
         shared = documents.sparkSession.sparkContext.broadcast(s)
@@ -280,7 +281,7 @@ def decontaminated(documents: DataFrame, benchmark: DataFrame, *, text_col: str
     Items of fewer than ``least_words`` words are no evidence and left out.
     """
     at = documents.columns.index(text_col)
-    out = documents
+    out = bounded_batches(documents)
     for s in suffix_blocks(benchmark, width, item_col, item_text_col, least_words):
         shared = documents.sparkSession.sparkContext.broadcast(s)
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vendorlens.llm.common import saved
+from vendorlens.llm.common import bounded_batches, saved
 from vendorlens.llm.url_filter import host_of
 
 #: A class is valid if it has this many tokens and is on this many pages, or this share of the host's.
@@ -198,7 +198,7 @@ def main_text(html: str | None, keep: frozenset[str], drop: frozenset[str]) -> s
 def extracted(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text) of each page row."""
     kind = pages.schema[id_col].dataType.simpleString()
-    source = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
+    source = bounded_batches(pages).select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
     deduced = templates(source.select(F.xxhash64("id", "url").alias("page"), "host", "html"))
     joined = source.join(saved(deduced, "html-templates"), "host", "left").select("id", "url", "html", "keep", "drop")
 

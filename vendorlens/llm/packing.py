@@ -1,6 +1,6 @@
 """Packing token ids into sequences: first-fit decreasing with a tournament tree of bin capacities.
 
-Documents are dealt to groups at random (a seeded hash of the id), each group packed by itself.
+Pieces of documents are dealt to groups at random (a seeded hash), each group packed by itself.
 A document is cut into full sequences and a rest; the pieces of a group come in descending
 length and each goes to the first bin with room, found by walking down a tournament tree whose
 inner nodes hold the largest room below. Full pieces fill a bin each. A piece's place is final
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vendorlens.llm.common import partitions_for
+from vendorlens.llm.common import bounded_batches, partitions_for
 from vendorlens.llm.tokens import binaries, encoded
 
 LENGTH = 2048
@@ -118,10 +118,10 @@ def packed(documents: DataFrame, tokenizer_path: str, end_id: int, *, id_col: st
     with the end id alone; a null id is packed like any other; rows that share an id are packed
     each by itself; no documents, no sequences; other columns are not read.
     """
-    source = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    source = bounded_batches(documents).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     groups = max(1, -(-source.count() // group_documents))
     pieces = source.mapInArrow(_cut(tokenizer_path, end_id, length), "id long, start long, length long, ids binary, doc_tokens long")
-    # a document's rest is grouped by its id; its full pieces, each a sequence, anywhere
+    # each piece goes to a group by itself, so a very long document is spread over all groups
     group = F.pmod(F.xxhash64(F.lit(seed), "id", "start"), F.lit(groups))
     dealt = pieces.select(group.alias("group"), "*").repartition(partitions_for(documents, 12), "group").sortWithinPartitions("group", F.desc("length"), "id", "start")
     return dealt.mapInArrow(_packed(length), PIECES)

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vendorlens.llm.common import bounded_batches
 from vendorlens.llm.words import Block, blocks
 
 KINDS = ("email", "ip", "card", "phone")
@@ -348,7 +349,7 @@ def personal_data(documents: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     kind = documents.schema[id_col].dataType.simpleString()
     spans = "array<struct<kind:string,start:long,stop:long>>"
-    return documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(scan, f"id {kind}, base {spans}, spans {spans}")
+    return bounded_batches(documents).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(scan, f"id {kind}, base {spans}, spans {spans}")
 
 
 def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -374,4 +375,4 @@ def redacted(documents: DataFrame, *, text_col: str = "text") -> DataFrame:
                 columns = [pa.array(texts, own.column(at).type) if k == at else c for k, c in enumerate(own.columns)]
                 yield pa.RecordBatch.from_arrays(columns, schema=own.schema)
 
-    return documents.mapInArrow(scan, documents.schema)
+    return bounded_batches(documents).mapInArrow(scan, documents.schema)

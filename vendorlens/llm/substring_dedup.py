@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vendorlens.llm.common import id_filter, saved
+from vendorlens.llm.common import bounded_batches, id_filter, saved
 from vendorlens.llm.words import blocks, mix, windows
 
 #: Words in a run that can be an anchor.
@@ -181,7 +181,7 @@ def repeated_passages(documents: DataFrame, *, id_col: str = "doc_id", text_col:
     """(summary, cut): ``summary`` has id, n_words, sha (of all words) and ``first``, the least id with
     the same words (null if the row is that, or is shorter than a window). ``cut`` has, for each
     other document with a repeat: id, n_words, n_removed, kept_text and factors (FACTORS)."""
-    source = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    source = bounded_batches(documents).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     scanned = saved(source.mapInArrow(_first_scan(width), "id long, n_words long, sha binary, c1 long, c2 long, anchors binary"), "substring-scan")
     firsts = scanned.where("c1 is not null and id is not null").groupBy("c1", "c2").agg(F.min("id").alias("first"), F.max("id").alias("last"))
     copied = saved(firsts.where("last > first").drop("last"), "substring-copies")

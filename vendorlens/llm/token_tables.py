@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vendorlens.llm.common import partitions_for, saved
+from vendorlens.llm.common import bounded_batches, partitions_for, saved
 from vendorlens.llm.tokens import binaries, encoded
 
 #: Uncompressed bytes of a block, and ids of a shard; a longer document is a block of its own.
@@ -199,22 +199,23 @@ def _written(path: str, end_id: int):
 
 def write_tables(documents: DataFrame, tokenizer_path: str, end_id: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the shards of all documents and return them as a table: first_id, last_id, n_docs,
-    n_ids, data (the file). Order of shards and of documents in them: ascending id.
+    n_ids, data (the file), shard (its number, in order). Order of shards and of documents in them: ascending id.
 
     Defined cases: a null or empty text has only the end id; rows that share an id follow each
     other by their text; rows with a null id have no key and are left out; no documents, no shard.
     """
-    source = documents.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    source = bounded_batches(documents).where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     ordered = source.repartitionByRange(partitions_for(documents, 24), "id").sortWithinPartitions("id", "text")
-    return saved(ordered.mapInArrow(_written(tokenizer_path, end_id), "first_id long, last_id long, n_docs long, n_ids long, data binary"), "token-shards")
+    shards = ordered.mapInArrow(_written(tokenizer_path, end_id), "first_id long, last_id long, n_docs long, n_ids long, data binary")
+    # ascends with the ranges, so shards that hold rows of one id are in order too
+    return saved(shards.withColumn("shard", F.monotonically_increasing_id()), "token-shards")
 
 
 def read_tables(shards: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of every document in the shards; start counts the ids of all before it,
     ids are little-endian 32-bit integers."""
     # ids before each shard: shards are few (one for SHARD_IDS ids), so they are summed up by range
-    keys = shards.select("first_id", "last_id", "n_ids")
-    before = _running(keys)
+    before = _running(shards.select("shard", "n_ids"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,7 +239,7 @@ def read_tables(shards: DataFrame) -> DataFrame:
                 if docs:
                     yield rows()
 
-    joined = shards.join(before, ["first_id", "last_id", "n_ids"]).select("start", "data")
+    joined = shards.join(before, "shard").select("start", "data")
     return joined.mapInArrow(scan, "doc_id long, start long, n_tokens long, ids binary")
 
 
@@ -246,12 +247,12 @@ def _running(keys: DataFrame) -> DataFrame:
     """The ids before each shard, from sums per range of shards and sums within a range."""
     from pyspark.sql import Window
 
-    parts = keys.repartitionByRange(8, "first_id", "last_id", "n_ids").withColumn("part", F.spark_partition_id())
+    parts = keys.repartitionByRange(8, "shard").withColumn("part", F.spark_partition_id())
     parts = saved(parts, "token-shard-keys")
     total = parts.groupBy("part").agg(F.sum("n_ids").alias("n"))
     earlier = total.alias("a").join(total.alias("b"), F.col("b.part") < F.col("a.part"), "left").groupBy(F.col("a.part").alias("part")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("part").orderBy("first_id", "last_id", "n_ids").rowsBetween(Window.unboundedPreceding, -1)
-    return parts.join(earlier, "part").select("first_id", "last_id", "n_ids", (F.col("base") + F.coalesce(F.sum("n_ids").over(inside), F.lit(0))).alias("start"))
+    inside = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    return parts.join(earlier, "part").select("shard", (F.col("base") + F.coalesce(F.sum("n_ids").over(inside), F.lit(0))).alias("start"))
 
 
 def lookup(shards: DataFrame, doc_ids: list[int]) -> DataFrame:

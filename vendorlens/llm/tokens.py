@@ -3,7 +3,7 @@
 A tokenizer that splits at white space gives a piece of text the same ids wherever it stands,
 if the piece runs from one end of a non-white run to the next. So each block of texts is cut
 there, each distinct piece is encoded once by the library and kept by a
-64-bit hash (600,000 pieces at most and one block more, so a clash has a chance of 1 in 50 million a store), and
+64-bit hash (400,000 pieces at most and one block more, so a clash has a chance of 1 in 100 million a store), and
 the ids are gathered by position. Texts with white space other than blanks and line feeds are encoded whole.
 """
 
@@ -23,7 +23,7 @@ _ODD_SPACE = re.compile("[\t\v\f\r\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠
 _ODD_BYTES = np.zeros(256, bool)
 _ODD_BYTES[[9, 11, 12, 13, 28, 29, 30, 31, 0xC2, 0xE1, 0xE2, 0xE3, 0xEF]] = True
 #: Pieces kept in a worker; beyond that the store starts anew.
-KEPT_PIECES = 600_000
+KEPT_PIECES = 400_000
 
 
 class Encoder:
@@ -73,9 +73,8 @@ class Encoder:
         self.flat[self.used : self.used + len(fresh)] = fresh
         begin = self.used + np.cumsum(size) - size
         self.used += len(fresh)
-        keys = np.concatenate([self.keys, keys])
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.begin, self.size = keys[order], np.concatenate([self.begin, begin])[order], np.concatenate([self.size, size])[order]
+        at = np.searchsorted(self.keys, keys)  # the new keys are sorted and not among the kept
+        self.keys, self.begin, self.size = np.insert(self.keys, at, keys), np.insert(self.begin, at, begin), np.insert(self.size, at, size)
 
     def block(self, block: Block, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of a block's rows, each with ``end_id`` appended. ``texts``: the rows' strings."""
@@ -91,7 +90,8 @@ class Encoder:
         keys, at, piece = np.unique(hashed, return_index=True, return_inverse=True)
         if len(self.keys) > KEPT_PIECES:
             self._clear()
-        new = ~np.isin(keys, self.keys, assume_unique=True)
+        at_key = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+        new = self.keys[at_key] != keys if len(self.keys) else np.ones(len(keys), bool)
         if new.any():
             words = [data[s:e].tobytes().decode() for s, e in zip(starts[at[new]], ends[at[new]], strict=True)]
             self._keep(keys[new], self._encode_pieces(words))
@@ -140,7 +140,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encoded(column: pa.Array, path: str, end_id: int, limit: int = 3 << 20):
+def encoded(column: pa.Array, path: str, end_id: int, limit: int = 3 << 19):
     """(lo, hi, ids, offsets) for the rows of a string column, block by block; null is empty."""
     own = encoder(path)
     for block in blocks(column, "space", False, limit):

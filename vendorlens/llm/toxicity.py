@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vendorlens.llm.common import bounded_batches
 from vendorlens.llm.words import Block, blocks, mix
 
 BITS = 18
@@ -161,7 +162,7 @@ def trained(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     p = known.where("_label = 1").orderBy(order, "_id").limit(MAX_POSITIVE)
     # at most 20,000 rows of two numbers
     chosen = u.select("_id", "_label").union(p).groupBy("_id").agg(F.max("_label").alias("_label"))
-    texts = documents.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
+    texts = bounded_batches(documents).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
     rows = texts.select("_label", "_text").mapInArrow(_featured, "toxic int, features binary").collect()
     x = [np.frombuffer(r.features, np.int32).astype(np.int64) for r in rows]
     y = np.array([r.toxic for r in rows], float)
@@ -181,7 +182,7 @@ def trained(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
 
 def scored(documents: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) for each row, by a map over whole texts."""
-    source = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    source = bounded_batches(documents).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     if model is None:
         return source.select("id", F.lit(0.0).alias("score"))
     shared = documents.sparkSession.sparkContext.broadcast(model)
@@ -206,4 +207,4 @@ def acceptable(documents: DataFrame, model: Model | None, *, threshold: float =
             for block in blocks(batch.column(at), "ascii", True):
                 yield batch.slice(block.lo, block.hi - block.lo).filter(pa.array(shared.value.scores(block) < threshold))
 
-    return documents.mapInArrow(scan, documents.schema)
+    return bounded_batches(documents).mapInArrow(scan, documents.schema)
