@@ -5,8 +5,8 @@ Every document is its set of distinct word shingles, kept as minwise tokens (one
 and sends each of its documents to one child for each chosen function, named by the token
 found there. Two documents of similarity s meet in a child with chance s for each choice, so
 a pair at or over the threshold has more than one child in common on average and keeps meeting
-at any depth, while others part quickly. Nodes of at most LEAF documents are compared
-exhaustively; larger ones branch again. TREES independent trees give the recall:
+at any depth, while others part quickly. Nodes with at most LEAF * LEAF pairs to compare are
+compared exhaustively; larger ones branch again. TREES independent trees give the recall:
 ``missed_per_tree(0.8, 2)`` is 0.0625, so 7 trees miss 4 of a thousand million pairs.
 
 Candidates are confirmed on full shingle sets. Documents with the same set are one node of the
@@ -24,24 +24,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vendorlens.llm.common import partitions_for, saved
+from vendorlens.llm.common import bounded_batches, id_filter, partitions_for, saved
 from vendorlens.llm.components import connected_components
 from vendorlens.llm.words import Block, blocks, mix, windows
 
 FUNCTIONS = 128
 BRANCH = 2
 TREES = 7
-#: Branching before the first comparison, and the size up to which a node is compared whole.
+#: Branching before the first comparison, and the size up to which a node is compared whole (its pairs, LEAF * LEAF).
 FIRST_DEPTH = 2
-LEAF = 64
+LEAF = 2048
 #: Deeper nodes that still hold more are compared block by block of LEAF documents.
 LAST_DEPTH = 12
-#: Of 128 minwise tokens, how many must agree before two sets are fetched: 4.4 deviations under 0.8.
+#: Of 128 minwise tokens, how many must agree before two documents are looked at: 4.5 deviations under 0.8.
 AGREE = 82
+#: Of FINE tokens (taken only for documents that are compared within a node), how many must agree
+#: before two sets are fetched: 4 deviations under 0.8.
+FINE, FINE_AGREE = 512, 373
 #: Rows compared to one leader in one task.
 STAR = 2048
 
-_SEEDS = mix(np.arange(1, FUNCTIONS + 1, dtype=np.uint64))
+_SEEDS = mix(np.arange(1, FINE + 1, dtype=np.uint64))
 _MULTIPLY = (_SEEDS & np.uint64(0xFFFFFFFF)).astype(np.uint32) | np.uint32(1)
 _ADD = (_SEEDS >> np.uint64(32)).astype(np.uint32)
 
@@ -71,12 +74,13 @@ def shingle_sets(block: Block, width: int) -> Iterator[np.ndarray]:
             yield own[np.append(True, own[1:] != own[:-1])]
 
 
-def minwise(shingles: np.ndarray) -> np.ndarray:
+def minwise(shingles: np.ndarray, functions: int = FUNCTIONS) -> np.ndarray:
     """The least of each hash function over the set: its chosen token, as 32 bits."""
     short = (shingles >> np.uint64(32)).astype(np.uint32)
-    out = np.full(FUNCTIONS, 0xFFFFFFFF, np.uint32)
+    out = np.full(functions, 0xFFFFFFFF, np.uint32)
+    multiply, add = _MULTIPLY[:functions, None], _ADD[:functions, None]
     for at in range(0, len(short), 1024):
-        np.minimum(out, (_MULTIPLY[:, None] * short[None, at : at + 1024] + _ADD[:, None]).min(1), out=out)
+        np.minimum(out, (multiply * short[None, at : at + 1024] + add).min(1), out=out)
     return out
 
 
@@ -107,6 +111,20 @@ def _sets(width: int):
     return scan
 
 
+def _fine(width: int):
+    """(id, sketch, nodes): the low byte of FINE minwise tokens, and the sorted nodes. Rows: id, text, nodes."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes = batch.column(2).to_pylist()
+            for block in blocks(batch.column(1), "space", True):
+                low = [(minwise(x, FINE) & np.uint32(255)).astype(np.uint8).tobytes() for x in shingle_sets(block, width)]
+                own = [np.sort(np.array(x, np.int64)).tobytes() for x in nodes[block.lo : block.hi]]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.lo, block.hi - block.lo), pa.array(low, pa.binary()), pa.array(own, pa.binary())], names=["id", "sketch", "nodes"])
+
+    return scan
+
+
 def _chosen(node: np.ndarray, k: int) -> np.ndarray:
     """The k-th function that each node chooses."""
     return (mix(node + np.uint64(0x1234567 + k)) % np.uint64(FUNCTIONS)).astype(np.int64)
@@ -184,8 +202,8 @@ def _bounds(batch: pa.RecordBatch, keys: int) -> np.ndarray:
     return np.flatnonzero(change)
 
 
-def _sketch(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, FUNCTIONS)
+def _sketch(column: pa.Array, functions: int = FUNCTIONS) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, functions)
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,21 +233,44 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(lead_ids[ok]), pa.array(ids[ok])], names=["a", "b"])
 
 
-def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b) with agreeing sketches and different classes in each node. Rows: node, id, class, sketch."""
-    for batch in _groups(batches, 1):
-        ids, cls = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
-        sk = _sketch(batch.column(3))
-        cut = _bounds(batch, 1)
-        a, b = [np.empty(0, ids.dtype)], [np.empty(0, ids.dtype)]
-        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-            for i in range(lo, hi - 1):
-                near = np.flatnonzero((cls[i + 1 : hi] != cls[i]) & ((sk[i + 1 : hi] == sk[i]).sum(1) >= AGREE)) + i + 1
-                if len(near):
-                    a.append(np.full(len(near), ids[i]))
-                    b.append(ids[near])
-        a, b = np.concatenate(a), np.concatenate(b)
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+def _within(most: int | None):
+    """(a, b) with agreeing sketches and different classes in each node; of those of a document, the ``most``
+    alike. Rows: node, id, class, sketch, nodes; the last lists all nodes of the document, so that a pair is
+    named only by the first node that it shares. Documents of a node's largest class are not compared with
+    each other, so a node's work is its size times the rest.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _groups(batches, 1):
+            node, ids, cls = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2))
+            fine = _sketch(batch.column(3), FINE)
+            coarse = np.ascontiguousarray(fine[:, :FUNCTIONS])
+            others = [np.frombuffer(x, np.int64) for x in batch.column(4).to_pylist()]
+            cut = _bounds(batch, 1)
+            a, b = [np.empty(0, ids.dtype)], [np.empty(0, ids.dtype)]
+            for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+                names, sizes = np.unique(cls[lo:hi], return_counts=True)
+                largest = names[sizes.argmax()]
+                for i in np.flatnonzero(cls[lo:hi] != largest) + lo:
+                    near = np.flatnonzero((coarse[lo:hi] == coarse[i]).sum(1) >= AGREE) + lo
+                    near = near[(cls[near] != cls[i]) & ((cls[near] == largest) | (near > i))]
+                    alike = (fine[near] == fine[i]).sum(1)
+                    good = alike >= FINE_AGREE
+                    near, alike = near[good], alike[good]
+                    near = near[np.argsort(-alike, kind="stable")]
+                    mine = []
+                    for j in near.tolist():
+                        if most is not None and len(mine) == most:
+                            break
+                        if np.intersect1d(others[i], others[j], assume_unique=True)[0] == node[i]:
+                            mine.append(j)
+                    if mine:
+                        a.append(np.full(len(mine), ids[i]))
+                        b.append(ids[mine])
+            a, b = np.concatenate(a), np.concatenate(b)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return scan
 
 
 def _confirm(percent: int):
@@ -274,11 +315,18 @@ class _Join:
         firsts = self.signed.where("n > 0 and id is not null").groupBy("k1", "k2").agg(F.min(F.struct("id", "sig")).alias("x"))
         self.classes = saved(firsts.select("k1", "k2", "x.id", "x.sig"), "neardup-classes")
         self.sets: DataFrame | None = None
+        self.links: DataFrame | None = None
+        self.tried: DataFrame | None = None
+        self.labelled: DataFrame | None = None
+
+    def texts(self, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+        """The texts of these documents (with the columns of ``ids``, unless it's a semi-join); a filter
+        before the join keeps most other texts from being shuffled."""
+        return self.documents.where(id_filter(ids)(F.col("id"))).join(ids, "id", how)
 
     def fetch(self, ids: DataFrame) -> None:
         """Have the sets of these documents at hand."""
-        found = self.documents.join(ids, "id", "left_semi").select("id", "text").mapInArrow(_sets(self.width), "id long, shingles binary")
-        found = saved(found, "neardup-sets")
+        found = saved(self.texts(ids).select("id", "text").mapInArrow(_sets(self.width), "id long, shingles binary"), "neardup-sets")
         self.sets = found if self.sets is None else self.sets.unionByName(found)
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
@@ -296,7 +344,7 @@ class _Join:
         sketch = self.classes.select("id", F.col("sig"))
         bytes_ = _low_bytes(sketch)
         nodes = saved(self.kept_nodes(self.classes.select("id", "sig").mapInArrow(_roots, "node long, id long")), "neardup-nodes")
-        links, tried, cls, depth = None, None, None, FIRST_DEPTH
+        depth = FIRST_DEPTH
         while not nodes.isEmpty():
             salt = F.when(F.col("n") <= STAR, 0).otherwise(F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / STAR)))
             members = nodes.select("node", salt.cast("long").alias("salt"), "id", "n")
@@ -304,56 +352,63 @@ class _Join:
             tops = members.where(f"n > {STAR}").groupBy("node", "salt").agg(F.min("id").alias("id")).select("node", F.lit(-1).cast("long").alias("salt"), "id")
             rows = members.select("node", "salt", "id").unionByName(tops).join(bytes_, "id").select("node", "salt", "id", "sketch")
             stars = rows.repartition(self.parts, "node", "salt").sortWithinPartitions("node", "salt", "id").mapInArrow(_stars, "a long, b long").distinct()
-            if tried is not None:
-                stars = stars.join(tried, ["a", "b"], "left_anti")
-            links, tried = self.link(saved(stars, "neardup-stars"), links, tried)
-            cls = self.labels(links)
-            mixed = self.mixed(nodes, cls)
-            leaves = mixed.where(f"n <= {LEAF}") if depth < LAST_DEPTH else self.blocked(mixed)
-            rows = leaves.select("node", "id", "class").join(bytes_, "id").select("node", "id", "class", "sketch")
-            pairs = rows.repartition(self.parts, "node").sortWithinPartitions("node", "id").mapInArrow(_within, "a long, b long").distinct()
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-            links, tried = self.link(saved(pairs, "neardup-pairs"), links, tried)
+            self.link(stars)
+            for most in (2, None):  # first the most alike, which connect nearly all; then all that are left
+                mixed = self.mixed(nodes)
+                leaves = mixed.where(f"n * rest <= {LEAF * LEAF}") if depth < LAST_DEPTH else self.blocked(mixed)
+                leaves = saved(leaves.select("node", "id", "class"), "neardup-leaves")
+                if leaves.isEmpty():
+                    break
+                own = leaves.groupBy("id").agg(F.collect_set("node").alias("nodes"))
+                texts = self.texts(saved(own, "neardup-leaf-nodes"), "inner").mapInArrow(_fine(self.width), "id long, sketch binary, nodes binary")
+                rows = leaves.join(saved(texts, "neardup-fine"), "id").select("node", "id", "class", "sketch", "nodes")
+                self.link(rows.repartition(self.parts, "node").sortWithinPartitions("node", "id").mapInArrow(_within(most), "a long, b long").distinct())
             if depth >= LAST_DEPTH:
                 break
-            big = mixed.where(f"n > {LEAF}").select("node", "id").join(sketch, "id").select("node", "id", "sig")
-            nodes = saved(self.kept_nodes(big.mapInArrow(_branched, "node long, id long").distinct()), "neardup-nodes")
+            big = mixed.where(f"n * rest > {LEAF * LEAF}").select("node", "id").join(sketch, "id").select("node", "id", "sig")
+            nodes = saved(self.kept_nodes(big.mapInArrow(_branched, "node long, id long")), "neardup-nodes")
             depth += 1
-        if links is None:
-            return self.classes.select("id", F.col("id").alias("component")).limit(0)
-        return connected_components(links, "neardup").withColumnRenamed("node", "id")
+        return self.labels()
 
     @staticmethod
     def kept_nodes(nodes: DataFrame) -> DataFrame:
         """(node, id, n) of the nodes with two documents or more."""
-        nodes = nodes.distinct()
-        return nodes.join(nodes.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"), "node")
-
-    def link(self, pairs: DataFrame, links: DataFrame | None, tried: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        if not pairs.isEmpty():
-            ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-            if self.sets is not None:
-                ids = ids.join(self.sets.select("id"), "id", "left_anti")
-            self.fetch(ids)
-            found = self.confirm(pairs)
-            links = found if links is None else links.unionByName(found)
-        return links, pairs if tried is None else tried.unionByName(pairs)
-
-    def labels(self, links: DataFrame | None) -> DataFrame | None:
-        return None if links is None else connected_components(links, "neardup-labels").withColumnRenamed("node", "id")
-
-    def mixed(self, nodes: DataFrame, cls: DataFrame | None) -> DataFrame:
-        """(node, id, n, class) of the nodes whose documents are not all of one class yet."""
-        if cls is None:
-            return nodes.withColumn("class", F.col("id"))
-        known = nodes.join(cls, "id", "left").withColumn("class", F.coalesce("component", "id")).drop("component")
-        spread = known.groupBy("node").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("node")
-        return saved(known.join(spread, "node"), "neardup-mixed")
+        sizes = nodes.groupBy("node").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"))
+        return nodes.join(sizes.where("lo < hi").select("node", "n"), "node")
+
+    def link(self, pairs: DataFrame) -> None:
+        """Confirm the pairs that were not tried before and keep the links."""
+        if self.tried is not None:
+            pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
+        pairs = saved(pairs, "neardup-pairs")
+        if pairs.isEmpty():
+            return
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        self.fetch(saved(ids if self.sets is None else ids.join(self.sets.select("id"), "id", "left_anti"), "neardup-ids"))
+        found = self.confirm(pairs)
+        self.links = found if self.links is None else self.links.unionByName(found)
+        self.tried = pairs if self.tried is None else self.tried.unionByName(pairs)
+        self.labelled = None
+
+    def labels(self) -> DataFrame:
+        """(id, component) of all documents with links so far."""
+        if self.labelled is None:
+            if self.links is None:
+                return self.classes.select("id", F.col("id").alias("component")).limit(0)
+            self.labelled = connected_components(self.links, "neardup-labels").withColumnRenamed("node", "id")
+        return self.labelled
+
+    def mixed(self, nodes: DataFrame) -> DataFrame:
+        """(node, id, n, class, rest) of the nodes whose documents are not all of one class yet; ``rest`` counts
+        those outside the largest class."""
+        known = nodes.join(self.labels(), "id", "left").withColumn("class", F.coalesce("component", "id")).drop("component")
+        sizes = known.groupBy("node", "class").agg(F.count("*").alias("c")).groupBy("node").agg((F.sum("c") - F.max("c")).alias("rest"))
+        return saved(known.join(sizes.where("rest > 0"), "node"), "neardup-mixed")
 
     def blocked(self, mixed: DataFrame) -> DataFrame:
         """Nodes at the last depth as all pairs of their blocks of documents, each a node of its own."""
-        small = mixed.where(f"n <= {LEAF}")
-        big = mixed.where(f"n > {LEAF}").withColumn("blocks", F.ceil(F.col("n") * 2 / LEAF))
+        small = mixed.where(f"n * rest <= {LEAF * LEAF}")
+        big = mixed.where(f"n * rest > {LEAF * LEAF}").withColumn("blocks", F.ceil(F.col("n") * 2 / LEAF))
         own = F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks"))
         big = big.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         big = big.withColumn("node", F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")))
@@ -381,7 +436,7 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     class of its own set, and sets whose least id is the same are one class; a row with a null id takes the component of an equal set, is kept only if there is none, and
     links nothing; the result has as many rows as the input; other columns are not read.
     """
-    source = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    source = bounded_batches(documents).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     join = _Join(source, width, percent)
     found = join.components().select(F.col("id").alias("rep"), "component")
     by_set = join.classes.select("k1", "k2", F.col("id").alias("rep")).join(found, "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
