@@ -73,7 +73,7 @@ def id_filter(ids: DataFrame, column: str = "id"):
     at = ids.where(F.col(column).isNotNull()).select(place(F.col(column)).alias("p"))
     parts = at.groupBy((F.col("p") / 32768).cast("int").alias("k")).agg(F.bitmap_construct_agg(F.col("p") % 32768).alias("bits"))
     bits = np.zeros((FILTER_BITS // 32768, 4096), np.uint8)
-    for row in parts.toLocalIterator():
+    for row in parts.collect():  # at most 1024 rows of 4 KB
         bits[row.k] = np.frombuffer(row.bits, np.uint8)
     shared = spark.sparkContext.broadcast(bits.ravel())
 

@@ -383,7 +383,7 @@ class _Join:
         pairs = saved(pairs, "neardup-pairs")
         if pairs.isEmpty():
             return
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        ids = pairs.select(F.col("a").alias("id")).distinct().union(pairs.select("b").distinct()).distinct()
         self.fetch(saved(ids if self.sets is None else ids.join(self.sets.select("id"), "id", "left_anti"), "neardup-ids"))
         found = self.confirm(pairs)
         self.links = found if self.links is None else self.links.unionByName(found)
