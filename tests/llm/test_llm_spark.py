@@ -228,6 +228,22 @@ def test_template_without_article(spark):
     assert got[3] == ("text 3 " * 30).strip() and got[7] == "" and got[8] == "lone & plain"
 
 
+def test_layouts_of_one_host_are_judged_apart(spark):
+    body = lambda inner: f'<html><body class="has-sidebar search"><div id="top">Home</div>{inner}</body></html>'
+    text = lambda i: f"words of page {i} " * 20
+    inner = [
+        lambda i: f'<article class="post comments-open">{text(i)}</article>',
+        lambda i: f'<div id="text">{text(i)}<div class="w-1/2">deep {i}</div></div>',
+        lambda i: f'<div id="x"><section>{text(i)}</section><ul><li>point {i}</li></ul><table><tr><td>cell {i}</td></tr></table><div class="share">no</div></div>',
+    ]
+    rare = (99, "http://m.org/99", body(f'<div id="rare">{text(99)}</div>'))
+    rows = [(i, f"http://m.org/{i}", body(inner[i % 3](i))) for i in range(30)] + [rare]
+    got = {r.id: r.text for r in html_text.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(30):
+        assert got[i] == (text(i) + ["", f"deep {i}", f"point {i} cell {i}"][i % 3]).strip()
+    assert got[99] == text(99).strip()
+
+
 def test_aliases_take_block_decisions(spark):
     link = '<link href="{}" rel="canonical">'.format
     rows = [

@@ -3,23 +3,26 @@
 Pages of one host are compared. A token is a container tag with its path of containers (opening and
 closing apart). Its occurrence vector says how often it is on each page of the host; tokens with
 the same vector form an equivalence class. Classes that are large and frequent enough and nest
-in each other are the host's template; the places between their tokens are its slots. A slot
-is main text if it lies in the article (or, without one, is the slot with most text that is not
-links) and none of the containers around it is a menu, header, footer, side bar, notice,
-advert, form or comment by its tag or name.
+in each other are the host's template; the places between their tokens are its slots, each with its
+mean text over the host's pages. What is main text is decided for each page by its own containers, so
+layouts of one host don't touch each other: the articles of the page or, without one, the
+innermost div (or body) that holds nearly all of its text that is not links, a slot counting with its
+mean or what it holds, if that is more, and other containers with what they hold. All that lies in it is main text, lists, tables and sections
+too, but for menus, headers, footers, side bars, notices, adverts, forms and comments by tag or name.
 
 Vectors are never gathered: each is a sum of hashes of (page, count), summed up before the
 shuffle, so a host with a third of all pages is no heavier than others.
 
 Defined cases: null or empty html has an empty text; pages without a host are one host (''); hosts
-with one page, and containers that are on too few pages for the template, are judged by their own
-tags and names; repeated rows are judged each by itself; other columns are not read.
+with one page, and containers that are on too few pages for the template, are judged by the page alone;
+names of html, body, article and main elements say nothing; repeated rows are judged each by itself; other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator, Mapping
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -32,7 +35,7 @@ from vendorlens.llm.url_filter import host_of
 
 #: A class is valid if it has this many tokens and is on this many pages, or this share of the host's.
 LEAST_TOKENS, LEAST_PAGES, LEAST_SHARE = 2, 2, 0.01
-#: A slot without an article around it is main text if it has this share of the text of the largest one.
+#: Without an article, what lies outside the main container has less than this share of the page's text.
 SLOT_SHARE = 0.2
 
 CONTAINERS = frozenset("html body div main article section nav header footer aside form table ul ol dl figure details dialog template noscript iframe svg select menu fieldset".split())
@@ -46,8 +49,9 @@ _DROPPED_NAMES = (
     "comment|comments|disqus|replies|respond|share|sharing|social|related|recommended|recommendations|newsletter|subscribe|subscription|signup|login|"
     "search|form|breadcrumb|breadcrumbs|pagination|pager|tags|copyright|legal"
 )
-#: Paths that are no main text: a dropped tag, or a name that is or has such a word; a header only outside the article.
-_DROPPED = re.compile(rf"(?:^|/)(?:(?:{_DROPPED_TAGS})(?:[.]|/|$)|[a-z]+[.](?:[^/]*[. _-])?(?:{_DROPPED_NAMES})(?:[. _-][^/]*)?(?=/|$))")
+#: Paths that are no main text: a dropped tag, or a name (of another element than html, body, article and main) that is or has
+#: such a word; a header only outside the article.
+_DROPPED = re.compile(rf"(?:^|/)(?:(?:{_DROPPED_TAGS})(?:[.]|/|$)|(?!(?:html|body|article|main)[.])[a-z]+[.](?:[^/]*[. _-])?(?:{_DROPPED_NAMES})(?:[. _-][^/]*)?(?=/|$))")
 _HEADER = re.compile(r"(?:^|/)header(?:[.]|/|$)")
 _ARTICLE = re.compile(r"(?:^|/)(?:article|main|div[.](?:[^/]*[. ])?(?:article|post|entry|content|story)(?:[-_ ]?(?:body|content|text))?(?:[. ][^/]*)?)(?=/|$)|(?:^|/)(?:article|main)[.]")
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*|[^<>]*)>|<[!?][^>]*>", re.S)
@@ -55,12 +59,14 @@ _NAME = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\
 _SPACE = re.compile(r"\s+")
 
 
+@lru_cache(1 << 14)
 def dropped(path: str) -> bool:
     """Whether a container's path names something that is no main text."""
     inside = _ARTICLE.search(path)
     return bool(_DROPPED.search(path) or (_HEADER.search(path) and not (inside and _HEADER.search(path).start() > inside.start())))
 
 
+@lru_cache(1 << 14)
 def in_article(path: str) -> bool:
     return bool(_ARTICLE.search(path))
 
@@ -110,7 +116,7 @@ def parsed(html: str) -> tuple[list[tuple[str, bool]], list[tuple[str, str, bool
                     tags.append((stack[depth][1], False))
                     del stack[depth:]
             else:
-                names = " ".join(x for g in _NAME.findall(m[3]) for x in g if x).lower().split()
+                names = " ".join(x for g in _NAME.findall(m[3]) for x in g if x).lower().replace("/", "_").split()
                 own = ".".join([tag, " ".join(names)]) if names else tag
                 path = f"{stack[-1][1]}/{own}" if stack else own
                 stack.append((tag, path))
@@ -148,7 +154,7 @@ def _page_stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, keep, drop): the slots of each host's template that are main text and those that are not.
+    """(host, means, links): the slots of each host's template with the mean text outside links, and those that are mostly links.
 
     ``pages``: id hash, host, html.
     """
@@ -158,41 +164,55 @@ def templates(pages: DataFrame) -> DataFrame:
     size = pages.groupBy("host").agg(F.count("*").alias("host_pages"))
     classes = total.groupBy("host", "pages", "vector").agg(F.count("*").alias("tokens")).join(size, "host")
     valid = classes.where((F.col("tokens") >= LEAST_TOKENS) & (F.col("pages") >= LEAST_PAGES) & (F.col("pages") >= F.col("host_pages") * LEAST_SHARE)).select("host", "pages", "vector")
-    slots = total.where("token like '<%'").join(valid, ["host", "pages", "vector"], "left_semi").select("host", F.substring("token", 2, 1 << 30).alias("path"), "chars", "link_chars")
-    judge = F.udf(lambda p: (2 if dropped(p) else 0) + (1 if in_article(p) else 0), "int")  # one call for each slot of a host
-    slots = slots.withColumn("name", judge("path"))
-    has = F.max(F.when(F.col("name") == 1, F.col("chars")).otherwise(0))
-    largest = slots.groupBy("host").agg(has.alias("article_chars"), F.max(F.when(F.col("name") == 0, F.col("chars")).otherwise(0)).alias("most"))
-    slots = slots.join(largest, "host")
-    plain = (F.col("name") == 0) & (F.col("article_chars") == 0) & (F.col("chars") >= SLOT_SHARE * F.col("most")) & (2 * F.col("link_chars") <= F.col("chars"))
-    keep = (F.col("name") == 1) | plain
-    return slots.groupBy("host").agg(F.collect_list(F.when(keep, F.col("path"))).alias("keep"), F.collect_list(F.when(~keep, F.col("path"))).alias("drop"))
-
-
-def main_text(html: str | None, keep: frozenset[str], drop: frozenset[str]) -> str:
-    """Texts of the main slots in page order. Containers that the template doesn't know stand as the
-    known one around them does, if their own path names nothing to be dropped."""
+    slots = total.where("token like '<%'").join(valid, ["host", "pages", "vector"], "left_semi").select("host", F.substring("token", 2, 1 << 30).alias("path"), "pages", "chars", "link_chars")
+    slots = slots.where("chars > 0").withColumn("mean", (F.col("chars") - F.col("link_chars")) / F.col("pages"))
+    return slots.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("path", "mean"))).alias("means"), F.collect_list(F.when(2 * F.col("link_chars") > F.col("chars"), F.col("path"))).alias("links"))
+
+
+def main_paths(blocks: list[tuple[str, str, bool]], means: Mapping[str, float], links: Collection[str]) -> set[str]:
+    """The paths of a page whose texts are main text."""
+    chars: dict[str, int] = {}
+    for path, text, link in blocks:
+        chars[path] = chars.get(path, 0) + (0 if link else len(text))
+    good = {p for p in chars if not dropped(p)}
+    if articles := {p for p in good if in_article(p)}:
+        return articles
+    if not any(chars[p] for p in good):
+        # a wrapper's name is no reason to lose the only article
+        inside = {p: p[_ARTICLE.search(p).start() :].lstrip("/") for p in chars if in_article(p)}
+        if wrapped := {p for p, own in inside.items() if not dropped(own)}:
+            return wrapped
+    weight = {p: max(means[p], chars[p]) if p in means else chars[p] for p in good}
+    held: dict[str, float] = {}
+    for p, n in weight.items():
+        while True:
+            held[p] = held.get(p, 0) + n
+            if not p:
+                break
+            p = p.rpartition("/")[0]
+    below: dict[str, list[str]] = {}
+    for p in held:
+        if p:
+            below.setdefault(p.rpartition("/")[0], []).append(p)
+    tag = lambda p: p.rpartition("/")[2].partition(".")[0]
+    region = ""
+    while region in below and not (tag(region) == "div" and weight.get(region)):
+        best = max(below[region], key=held.__getitem__)
+        if tag(best) not in ("html", "body", "div") or not held[best] or held[best] < (1 - SLOT_SHARE) * held[""]:
+            break
+        region = best
+    if tag(region) != "div":  # no container for the text alone: menus without a name lie beside it
+        return {p for p in good if p not in links}
+    return {p for p in good if p == region or p.startswith(region + "/")}
+
+
+def main_text(html: str | None, means: Mapping[str, float], links: Collection[str]) -> str:
+    """Main texts of a page in page order, given its host's slots (see ``templates``)."""
     if not html:
         return ""
     blocks = parsed(html)[1]
-    article = any(in_article(p) and not dropped(p) for p, _, _ in blocks)
-    verdict: dict[str, bool] = {}
-
-    def main(path: str) -> bool:
-        if path not in verdict:
-            if path in keep:
-                verdict[path] = True
-            elif path in drop or dropped(path):
-                verdict[path] = False
-            elif in_article(path):
-                verdict[path] = True
-            elif "/" in path and (keep or drop):
-                verdict[path] = main(path.rsplit("/", 1)[0])
-            else:
-                verdict[path] = not article and not keep
-        return verdict[path]
-
-    return _SPACE.sub(" ", " ".join(t for p, t, _ in blocks if main(p))).strip()
+    main = main_paths(blocks, means, links)
+    return _SPACE.sub(" ", " ".join(t for p, t, _ in blocks if p in main)).strip()
 
 
 def extracted(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -200,13 +220,11 @@ def extracted(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
     kind = pages.schema[id_col].dataType.simpleString()
     source = bounded_batches(pages).select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
     deduced = templates(source.select(F.xxhash64("id", "url").alias("page"), "host", "html"))
-    joined = source.join(saved(deduced, "html-templates"), "host", "left").select("id", "url", "html", "keep", "drop")
+    joined = source.join(saved(deduced, "html-templates"), "host", "left").select("id", "url", "html", "means", "links")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple, frozenset[str]] = {}
-        sets = lambda x: known.setdefault(tuple(x or ()), frozenset(x or ()))
         for batch in batches:
-            texts = [main_text(h, sets(k), sets(d)) for h, k, d in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
+            texts = [main_text(h, dict(k or ()), frozenset(d or ())) for h, k, d in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["id", "url", "text"])
 
     return joined.mapInArrow(scan, f"id {kind}, url string, text string")
