@@ -21,8 +21,8 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
-    return near_dedup.deduplicated(docs, width=5, percent=80)
+    """One row of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
+    return near_dedup.deduplicated(docs, every_row=True, width=5, percent=80)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

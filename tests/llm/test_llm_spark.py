@@ -143,6 +143,20 @@ def test_near_copies_of_one_text(spark):
     assert got == want and len(set(want.values())) < 80
 
 
+def test_one_row_of_each_class(spark):
+    import corpus_pipeline
+
+    text = lambda k: " ".join(f"{k}{i}" for i in range(40))
+    near = text("a") + " more"
+    rows = [(1, text("a")), (1, text("a")), (2, near), (2, text("b")), (None, near), (None, text("c")), (None, text("c") + " more"), (3, ""), (3, ""), (None, None), (4, text("d")), (5, text("d"))]
+    df = docs(spark, rows)
+    show = lambda out: sorted((str(r.doc_id), (r.text or "-")[:1]) for r in out.collect())
+    kept = corpus_pipeline.without_copies(spark, df, "")
+    assert kept.columns == df.columns
+    assert show(kept) == sorted([("1", "a"), ("2", "b"), ("None", "c"), ("3", "-"), ("3", "-"), ("None", "-"), ("4", "d")])
+    assert ("2", "b") in show(near_dedup.deduplicated(df)) and ("2", "a") not in show(near_dedup.deduplicated(df))
+
+
 def test_repeats_across_documents(spark):
     rng = random.Random(11)
     passage = [f"p{rng.randrange(10**6)}" for _ in range(80)]

@@ -445,8 +445,41 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     return out.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
 
 
-def deduplicated(documents: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """One document of each class of near-duplicates, with all columns; rows with a null id stay
-    (they have no identity to be dropped by)."""
-    gone = near_duplicates(documents, id_col=id_col, **options).where("not kept").select(F.col("id").alias(id_col)).distinct()
-    return documents.join(gone, id_col, "left_anti")
+#: Names of working columns beside those of the documents.
+_ID, _TEXT, _NUMBER = "_near_id", "_near_text", "_near_number"
+
+
+def deduplicated(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", every_row: bool = False, **options) -> DataFrame:
+    """One document of each class of near-duplicates, with all columns.
+
+    An id with several texts is a document for each of them, so no text goes with another one's copy.
+    As it stands, repeated rows of the document that is kept stay, and so do rows with a null id. With
+    ``every_row`` exactly one row of each class stays: rows with the same id and text are first
+    reduced to one (any of them), and rows with a null id are documents too, behind those with one.
+    Rows without words always stay.
+    """
+    id_, text = F.col(id_col).cast("long"), F.xxhash64(text_col)
+    worded = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    keys = saved(documents.select(id_.alias("id"), text.alias("t"), worded.alias("w")).groupBy("id", "t").agg(F.count("*").alias("c"), F.max("w").alias("w")), "neardup-rows")
+    rows = documents.select("*", id_.alias(_ID), text.alias(_TEXT))
+    repeated = keys.where("c > 1 and w").select(F.xxhash64("id", "t").alias("id"))
+    if every_row and not repeated.isEmpty():
+        # reduced before the shuffle, so a row that is repeated very often is no heavier than others
+        several = worded & id_filter(repeated)(F.xxhash64(_ID, _TEXT))
+        rows = saved(rows.where(~several).unionByName(rows.where(several).dropDuplicates([_ID, _TEXT])), "neardup-single")
+    odd = keys.where("id is not null").groupBy("id").count().where("count > 1").select(F.col("id").alias(_ID), F.lit(True).alias("_near_odd"))
+    # above any usual id: those stay the least of their class
+    own = F.xxhash64(_ID, _TEXT).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    if odd.isEmpty():
+        numbered = rows.where(f"{_ID} is not null").withColumn(_NUMBER, F.col(_ID))
+    else:
+        numbered = rows.where(f"{_ID} is not null").join(odd, _ID, "left").withColumn(_NUMBER, F.when(F.col("_near_odd"), own).otherwise(F.col(_ID)))
+    columns = [*rows.columns, _NUMBER]
+    none = keys.where("id is null")
+    if odd.isEmpty() and none.isEmpty():
+        numbered = rows.withColumn(_NUMBER, F.col(_ID))
+    else:
+        nameless = rows.where(f"{_ID} is null").withColumn(_NUMBER, own if every_row else F.lit(None).cast("long"))
+        numbered = saved(numbered.select(columns).unionByName(nameless.select(columns)), "neardup-numbered")
+    gone = near_duplicates(numbered, id_col=_NUMBER, text_col=text_col, **options).where("not kept").select(F.col("id").alias(_NUMBER)).distinct()
+    return numbered.join(gone, _NUMBER, "left_anti").select(documents.columns)
