@@ -274,6 +274,23 @@ def test_aliases_take_block_decisions(spark):
     assert sorted(r.page_id for r in url_filter.allowed(pages, rules).collect()) == [4, 6, 7, 8, 9]
 
 
+def test_targets_are_resolved(spark):
+    from urllib.parse import urljoin
+
+    url = "http://h.org/a/b/page.html?x=1"
+    targets = ["page2.html", "?id=3", "../x", "../../../y/./z/..", "./", "sub/q?u=http://o.org/", "/r/../s", "//o.org/p", "http://o.org/q"]
+    link = '<link rel="{}" href="{}">'.format
+    pages = [(i, url, link("alternate canonical", t)) for i, t in enumerate(targets)]
+    pages += [(20, url, '<meta http-equiv="refresh" content="0; url=next.html?a=1&amp;b=2">'), (21, "http://h.org", "<link href=z&#46;html rel=canonical>"), (22, url, link("alternate", "no")), (23, url, link("canonical", "mailto:x")), (24, url, link("canonical", "#here"))]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {(r.a, r.b) for r in url_filter.alias_edges(df).collect()}
+    node = lambda u: u.split("://", 1)[1]
+    want = {(node(url), node(urljoin(url, t))) for t in targets} | {(node(url), "h.org/a/b/next.html?a=1&b=2"), ("h.org/", "h.org/z.html")}
+    assert got == want
+    rules = spark.createDataFrame([("h.org/a/x", "block")], "rule string, verdict string")
+    assert {r.id: r.verdict for r in url_filter.judged(df, rules).collect()}[2] == "block"
+
+
 def test_topk_edge_vectors(spark):
     rows = [(0, [1.0, 0.5]), (100, [1.0, 0.5]), (1, [1.0, 0.5]), (2, None), (3, [float("nan"), 1.0]), (4, [None, 1.0]), (5, [float("inf"), 0.0]), (6, [2.0]), (200, [3.0]), (None, [1.0, 1.0]), (7, []), (8, [-1.0, 0.001])]
     df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, score int")

@@ -7,11 +7,15 @@ on any member goes to the whole component unless a member is explicitly allowed.
 
 Defined cases: null URLs and those without ``://`` have an empty host and path, fit no rule, have no
 aliases and are allowed; repeated URLs have one node; null html has no links; relative targets
-are taken from the page's own host; without rules everything is allowed.
+are taken from the page's own URL (a base element is not read), dot segments removed; character references that end in a semicolon
+are decoded; targets of other schemes (mailto:) are none; without rules everything is allowed.
 """
 
 from __future__ import annotations
 
+import re
+from html import unescape
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,22 +42,58 @@ def node_of(url: Column) -> Column:
     return F.when(F.coalesce(F.instr(url, "://"), F.lit(0)) > 0, F.concat(host_of(url), F.when(path_of(url) == "", "/").otherwise(path_of(url)), query))
 
 
-#: href of <link rel=canonical> and target of <meta http-equiv=refresh>, whatever the order of attributes.
-_LINKS = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
+#: href of <link rel=canonical> (any word of rel) and target of <meta http-equiv=refresh>, whatever the order of attributes.
+_LINKS = r"""(?is)<link\b[^>]*>"""
+_CANONICAL = r"""(?is)\srel\s*=\s*(?:"(?:[^">]*\s)?canonical(?:\s[^">]*)?"|'(?:[^'>]*\s)?canonical(?:\s[^'>]*)?'|canonical(?=[\s/>]))"""
 _REFRESH = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
 _HREF = r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""
-_TARGET = r"""(?is)\burl\s*=\s*["']?([^"'\s>;]+)"""
+_TARGET = r"""(?is)\burl\s*=\s*["']?((?:[^"'\s>;&]++|&#?\w++;|&)++)"""
+_REFERENCE = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
+
+
+def decoded(c: Column) -> Column:
+    """Character references decoded, in the few links found."""
+    return F.udf(lambda t: t and _REFERENCE.sub(lambda m: unescape(m[0]), t), "string")(c)
+
+
+
+def without_dots(path: Column) -> Column:
+    """A path that starts with / without its . and .. segments."""
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1)
+    shorter = lambda a: F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(1)))
+    step = lambda a, x: F.when(x == "..", shorter(a)).when(x == ".", a).otherwise(F.concat(a, F.array(x)))
+    kept = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.array(F.lit("")), step)
+    return F.array_join(F.when(last.isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/")
+
+
+def resolved(url: Column, target: Column) -> Column:
+    """The URL that a page's link leads to; null for other schemes and for places in the page itself."""
+    base = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
+    own = F.when(path_of(url) == "", "/").otherwise(path_of(url))
+    path = F.regexp_extract(target, r"(?s)^([^?#]*)", 1)
+    rest = F.substring(target, F.length(path) + 1, F.length(target))
+    folder = F.regexp_replace(own, r"[^/]*\z", "")
+    return (
+        F.when(F.coalesce(F.instr(url, "://"), F.lit(0)) == 0, F.when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), target))
+        .when(target.startswith("//"), F.concat(F.regexp_extract(url, r"(?s)^(.*?):", 1), F.lit(":"), target))
+        .when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+        .when(target.startswith("#") | target.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), None)
+        .when(target.startswith("?"), F.concat(base, own, target))
+        .when(target.startswith("/"), F.concat(base, without_dots(path), rest))
+        .otherwise(F.concat(base, without_dots(F.concat(folder, path)), rest))
+    )
 
 
 def alias_edges(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(a, b): nodes joined by a canonical link or a redirect in a page."""
-    tags = lambda pattern, attribute: F.transform(F.regexp_extract_all(html_col, F.lit(pattern), F.lit(0)), lambda t: F.regexp_extract(t, attribute, 1))
+    tags = lambda pattern: F.regexp_extract_all(html_col, F.lit(pattern), F.lit(0))
+    links = F.transform(F.filter(tags(_LINKS), lambda t: t.rlike(_CANONICAL)), lambda t: F.regexp_extract(t, _HREF, 1))
+    refreshes = F.transform(tags(_REFRESH), lambda t: F.regexp_extract(t, _TARGET, 1))
     maybe = F.col(html_col).rlike(r"(?i)canonical|http-equiv")
-    found = pages.where(maybe).select(F.col(url_col).alias("u"), F.explode(F.concat(tags(_LINKS, _HREF), tags(_REFRESH, _TARGET))).alias("t"))
-    t = F.replace("t", F.lit("&amp;"), F.lit("&"))
-    base = F.regexp_extract("u", r"(?s)^(.*?://[^/?#]*)", 1)
-    whole = F.when(t.startswith("//"), F.concat(F.regexp_extract("u", r"(?s)^(.*?):", 1), F.lit(":"), t)).when(t.startswith("/"), F.concat(base, t)).when(F.instr(t, "://") > 0, t)
-    return found.where("t <> ''").select(node_of(F.col("u")).alias("a"), node_of(whole).alias("b")).where("a is not null and b is not null and a <> b")
+    found = pages.where(maybe).select(F.col(url_col).alias("u"), F.explode(F.concat(links, refreshes)).alias("t")).where("t <> ''")
+    whole = found.select("u", decoded(F.col("t")).alias("t")).select("u", resolved(F.col("u"), F.col("t")).alias("t"))
+    return whole.select(node_of(F.col("u")).alias("a"), node_of(F.col("t")).alias("b")).where("a is not null and b is not null and a <> b")
 
 
 def ruled(urls: DataFrame, rules: DataFrame) -> DataFrame:
