@@ -73,6 +73,18 @@ def test_edge_rows_and_clashing_columns(spark):
     assert toxicity.trained(df, labels.where("toxic = 0")) is None
 
 
+def test_benchmark_in_blocks_as_in_one(spark, monkeypatch):
+    word = lambda k, n: " ".join(f"{k}{i}" for i in range(n))
+    items = [("1", word("a", 15)), ("2", word("b", 4)), (None, word("c", 12)), ("3", f"{word('a', 15)} {word('d', 9)}"), ("4", ""), ("2", word("e", 12))]
+    rows = [(1, f"x {word('a', 15)} {word('d', 9)} y {word('b', 4)}"), (1, f"x {word('a', 15)} {word('d', 9)} y {word('b', 4)}"), (1, word("e", 11)), (None, f"{word('c', 12)} {word('b', 4)}"), (None, word("b", 4)), (None, None), (2, "clean")]
+    df, bench = docs(spark, rows), spark.createDataFrame(items, "item_id string, text string")
+    item = lambda x: (x.item_id or "-", x.longest, x.item_word, x.doc_word)
+    found = lambda: sorted((str(r.id), r.n_words, r.n_hit, [tuple(x) for x in r.spans], sorted(map(item, r["items"]))) for r in decontamination.matches(df, bench).collect())
+    one = found()
+    monkeypatch.setattr(decontamination, "BENCHMARK_BLOCK_BYTES", 30)
+    assert len(one) == len(rows) and found() == one
+
+
 def test_empty_tables(spark):
     none = docs(spark, [])
     bench = spark.createDataFrame([], "item_id long, text string")

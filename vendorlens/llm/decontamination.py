@@ -18,10 +18,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vendorlens.llm.common import bounded_batches
+from vendorlens.llm.common import bounded_batches, saved
 from vendorlens.llm.words import Block, blocks, windows
 
 #: Benchmark text sent to the executors at once; a larger benchmark takes several passes.
@@ -210,10 +211,9 @@ def grown(ranks: np.ndarray, s: Suffixes, place: int, j: int) -> tuple[int, int,
     return n, int(s.full[j] - left), place
 
 
-def suffix_blocks(benchmark: DataFrame, width: int, item_col: str = "item_id", text_col: str = "text", least_words: int = 1) -> list[Suffixes]:
-    """The benchmark's suffixes in blocks of at most BENCHMARK_BLOCK_BYTES of text."""
+def suffix_blocks(benchmark: DataFrame, width: int, item_col: str = "item_id", text_col: str = "text", least_words: int = 1) -> Iterator[Suffixes]:
+    """The benchmark's suffixes in blocks of at most BENCHMARK_BLOCK_BYTES of text, each built when it is asked for."""
     items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("t is not null")
-    parts: list[Suffixes] = []
     ids: list[str | None] = []
     texts: list[str] = []
     size = 0
@@ -221,50 +221,64 @@ def suffix_blocks(benchmark: DataFrame, width: int, item_col: str = "item_id", t
         if least_words > 1 and sum(len(b.starts) for b in blocks(pa.array([row.t]), "ascii", True)) < least_words:
             continue
         if size and size + len(row.t) > BENCHMARK_BLOCK_BYTES:
-            parts.append(Suffixes.of(ids, texts, width))
+            yield Suffixes.of(ids, texts, width)
             ids, texts, size = [], [], 0
         ids.append(row.i)
         texts.append(row.t)
         size += len(row.t)
-    return [*parts, Suffixes.of(ids, texts, width)]
+    yield Suffixes.of(ids, texts, width)
+
+
+def joined(before: dict, more: dict) -> dict:
+    """The matches of one document in some blocks and in a further one: spans that meet are one span."""
+    spans: list[dict] = []
+    for x in sorted([*before["spans"], *more["spans"]], key=lambda x: x["start"]):
+        if spans and x["start"] <= spans[-1]["stop"]:
+            spans[-1]["stop"] = max(spans[-1]["stop"], x["stop"])
+        else:
+            spans.append(dict(x))
+    return {"n_words": more["n_words"], "n_hit": sum(x["stop"] - x["start"] for x in spans), "spans": spans, "items": [*before["items"], *more["items"]]}
 
 
 def matches(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 10) -> DataFrame:
     """Per document: id, n_words, n_hit, hit spans (words) and, for each item with an occurring
     window, the longest match and where it is. One row for each input row.
 
-    The benchmark is read to the driver in blocks of at most BENCHMARK_BLOCK_BYTES; the
-    documents are passed over once for each block (one block for any usual benchmark).
+    The benchmark is read in blocks of at most BENCHMARK_BLOCK_BYTES, one at a time on the driver; the
+    documents are passed over once for each block (one block for any usual benchmark), and
+    the rows carry what earlier blocks found. With several blocks each pass but the last is saved with the texts,
+    so that no more than one block is in a task's memory.
     """
-    schema = MATCHES.format(id=documents.schema[id_col].dataType.simpleString())
-    source = bounded_batches(documents).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = documents.schema[id_col].dataType.simpleString()
+    schema = MATCHES.format(id=kind)
+    rows = bounded_batches(documents).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
-    def run(s: Suffixes) -> DataFrame:
+    def run(rows: DataFrame, s: Suffixes, last: bool) -> tuple[DataFrame, Broadcast]:
+        """Rows: id, text and, after the first pass, the columns found so far; the last pass drops the text."""
         shared = documents.sparkSession.sparkContext.broadcast(s)
+        carried = len(rows.columns) > 2
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for block in blocks(batch.column(1), "ascii", True):
-                    rows = list(shard_matches(block, shared.value, width))
-                    out = pa.Table.from_pylist(rows, schema=_ARROW)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.lo, block.hi - block.lo), *(c.combine_chunks() for c in out.columns)], names=["id", *out.column_names])
-
-        return source.mapInArrow(scan, schema)
-
-    found = [run(s) for s in suffix_blocks(benchmark, width, item_col, item_text_col)]
-    return found[0] if len(found) == 1 else merged(found)
-
-
-def merged(found: list[DataFrame]) -> DataFrame:
-    """The matches of several benchmark blocks as one row for each document row.
-
-    Rows are told apart by their id, so here the ids must be unique.
-    """
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    covered = F.expr("size(array_distinct(flatten(transform(s, x -> sequence(x.start, x.stop - 1)))))")
-    return out.groupBy("id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("s"), F.flatten(F.collect_list("items")).alias("items")).select("id", "n_words", covered.cast("long").alias("n_hit"), F.col("s").alias("spans"), "items")
+                    own = batch.slice(block.lo, block.hi - block.lo)
+                    found = list(shard_matches(block, shared.value, width))
+                    if carried:
+                        found = [joined(a, b) for a, b in zip(own.select(_ARROW.names).to_pylist(), found, strict=True)]
+                    out = pa.Table.from_pylist(found, schema=_ARROW)
+                    kept = [own.column(0)] if last else [own.column(0), own.column(1)]
+                    yield pa.RecordBatch.from_arrays([*kept, *(c.combine_chunks() for c in out.columns)], names=[*["id", "text"][: len(kept)], *out.column_names])
+
+        return rows.mapInArrow(scan, schema if last else schema.replace(f"id {kind}", f"id {kind}, text string", 1)), shared
+
+    parts = suffix_blocks(benchmark, width, item_col, item_text_col)
+    s = next(parts)
+    while (more := next(parts, None)) is not None:
+        found, shared = run(rows, s, False)
+        rows = saved(found, "decontamination-matches")
+        shared.unpersist()
+        s = more
+    return run(rows, s, True)[0]
 
 
 _ARROW = pa.schema([
