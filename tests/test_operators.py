@@ -214,3 +214,96 @@ def test_tables_created_twice(spark):
     create_tables(spark)
     create_tables(spark)
     assert all(spark.catalog.tableExists(t) for t in TABLES)
+
+
+def _stream(spark, frame, path, keys):
+    """The rows as a stream, a file for each value of keys, in their order."""
+    for k in keys:
+        frame.where(F.col("file") == k).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _run(frame, mode, checkpoint):
+    rows: list = []
+    q = frame.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(lambda d, _: rows.extend(d.collect())).start()
+    q.awaitTermination(120)
+    return rows
+
+
+def test_windows_drop_late_rows(spark, tmp_path):
+    at = lambda d, h: dt.datetime(2024, 1, d, h)
+    rows = [(0, at(1, 3), "legal", 10), (0, at(1, 5), "legal", 20), (1, at(4, 0), "legal", 3), (2, at(4, 1), "fin", 3), (3, at(1, 9), "legal", 35), (4, at(9, 0), "legal", 1)]
+    df = spark.createDataFrame(rows, "file int, ts timestamp, category string, weight int")
+    got = _run(streams.window_counts(_stream(spark, df, str(tmp_path / "in"), range(5)), late="1 hour"), "append", str(tmp_path / "cp"))
+    # the row of day 1 in the fourth file came after day 4 had been seen (a batch drops by the watermark of the one before)
+    assert sorted((r.window_start.day, r.category, r.n_signals, r.total_weight) for r in got) == [(1, "legal", 2, 30), (4, "fin", 1, 3), (4, "legal", 1, 3)]
+    assert {(r.window_start.day, r.category): r.n_signals for r in streams.window_counts(df).collect()}[1, "legal"] == 3
+
+
+def test_sessions_of_a_stream(spark, tmp_path):
+    at = lambda h, m: dt.datetime(2024, 1, 1, h, m)
+    rows = [(0, "a", at(0, 0)), (0, "b", at(0, 5)), (1, "a", at(0, 20)), (1, "a", at(2, 0)), (2, "b", at(9, 0)), (3, "a", at(20, 0))]
+    df = spark.createDataFrame(rows, "file int, job string, ts timestamp")
+    stream = _run(streams.activity_sessions(_stream(spark, df, str(tmp_path / "in"), range(4)), "job"), "append", str(tmp_path / "cp"))
+    batch = {(r.job, r.session_start, r.session_end, r.n_events) for r in streams.activity_sessions(df, "job").collect()}
+    assert {tuple(r) for r in stream} == {r for r in batch if r[2] < at(19, 0)} and len(stream) == 4
+
+
+def test_alerts_are_stored_once(spark, tmp_path):
+    at = lambda d: dt.datetime(2024, 1, d)
+    rows = [(0, 7, "v", at(1), "legal", "high", "Lawsuit", 1), (0, 7, "v", at(1), "legal", "high", "Fraud", 2), (1, 7, "v", at(2), "legal", "high", "Lawsuit", 1), (2, 8, "w", at(2), "legal", "high", "Lawsuit", 1)]
+    df = spark.createDataFrame(rows, "file int, vendor_id long, vendor string, ts timestamp, category string, severity string, indicator string, ord int")
+    stream = streams.alert_stream(_stream(spark, df, str(tmp_path / "in"), range(3)), "vendor", late="10 days")
+    for _ in range(2):  # a second run finds nothing new
+        streams.store_alerts(stream, str(tmp_path / "alerts"), str(tmp_path / "cp"), key="vendor").awaitTermination(120)
+    got = spark.read.parquet(str(tmp_path / "alerts"))
+    from vendorlens.schemas import ALERTS
+
+    assert got.drop("batch").schema.simpleString() == spark.createDataFrame([], ALERTS).schema.simpleString()
+    assert sorted((r.vendor_name, r.message, r.risk_level, r.acknowledged) for r in got.collect()) == [("v", "Legal risk detected", "HIGH", False), ("w", "Legal risk detected", "HIGH", False)]
+
+
+def test_landing_table(spark, tmp_path):
+    raw = spark.createDataFrame([("v", "text", "u", None), ("v", None, None, "de"), (None, "lost", "u", "en")], "vendor_name string, content string, url string, language string")
+    for kind in ("search", "filing"):
+        evidence.land(raw, str(tmp_path / "landing"), source_type=kind)
+    got = spark.read.parquet(str(tmp_path / "landing"))
+    assert sorted((r.source_type, r.language, r.content or "-") for r in got.collect()) == [("filing", "de", "-"), ("filing", "en", "text"), ("search", "de", "-"), ("search", "en", "text")]
+    assert got.where("fetched_at is null").count() == 0
+
+
+def test_routine_evidence_comes_down(spark):
+    from vendorlens.operators import analyst
+
+    rows = [("a", "bankruptcy", 35, 0, True), ("a", "shutdown", 35, 1, True), ("a", "fine", 10, 2, False), ("b", "bankruptcy", 35, 0, False), ("b", "shutdown", 35, 1, False)]
+    df = spark.createDataFrame(rows, "v string, keyword string, weight int, ord int, is_routine boolean").withColumns({"category": F.lit("c"), "severity": F.lit("s"), "host": F.lit("h"), "credibility": F.lit(0.95)})
+    got = {r.v: (r.raw_level, r.adjusted_level) for r in analyst.override_level(analyst.supported_signals(df, ["v"]), ["v"]).collect()}
+    assert got == {"a": ("CRITICAL", "LOW"), "b": ("CRITICAL", "CRITICAL")}
+    assert [r.x for r in spark.createDataFrame([("Form 10-K filed",), ("a historical case",), ("fire",), (None,)], "t string").select(analyst.routine(F.col("t")).alias("x")).collect()] == [True, True, False, False]
+
+
+def test_cards_and_prompts(spark):
+    group = "array<struct<category:string,severity:string,indicators:array<string>,weight:bigint>>"
+    rows = [(i, dt.datetime(2024, 1, i), [("Legal", "HIGH", list("abcd"), 1)], [(str(k), "t") for k in range(8)]) for i in range(1, 8)] + [(9, dt.datetime(2023, 1, 1), None, None)]
+    df = spark.createDataFrame(rows, f"report_id long, created_at timestamp, signals {group}, sources array<struct<url:string,title:string>>")
+    shown = dashboard.front_page(df).collect()
+    assert [r.report_id for r in shown] == [7, 6, 5, 4, 3] and shown[0].signals[0].indicators == ["a", "b", "c"] and len(shown[0].sources) == 6
+    assert dashboard.cards(df).where("report_id = 9").first().signals is None
+    texts = spark.createDataFrame([("x" * 4000,), ("",), (None,)], "t string").select(evidence.prompt_text(F.col("t")).alias("p")).collect()
+    assert len(texts[0].p) == 3000 and texts[1].p == texts[2].p == "No scraped content was found."
+    assert spark.range(1).select(scalars.level_colour(F.lit("HIGH"), "engine").alias("x")).first().x == "#FF9500"
+
+
+def test_one_domain_for_sql_and_columns(spark):
+    scalars.register(spark)
+    names = spark.createDataFrame([("\tAcme\n",), (" A b.Io ",), ("x",)], "n string")
+    assert all(r.a == r.b for r in names.select(scalars.vendor_domain(F.col("n")).alias("a"), F.expr("vendor_domain(n)").alias("b")).collect())
+
+
+def test_pooled_text_in_parts(spark):
+    hits = spark.createDataFrame([(1, 1, 0, 2, "t2", "s2"), (1, 1, 0, 1, None, "s1"), (2, 1, 0, 1, "t", "s")], "vendor_id long, pass int, query_id int, rank int, title string, snippet string")
+    scraped = spark.createDataFrame([(1, "x" * 3000), (3, "only")], "vendor_id long, scraped string")
+    pooled = {r.vendor_id: r.pooled for r in evidence.pool_text(hits, scraped).collect()}
+    assert pooled == {1: "s1  s2 t2" + "x" * 2000, 2: "s t", 3: "only"}
+    sizes = {r.vendor_id: (r.n_hits, r.n_chars) for r in evidence.pool_sizes(evidence.pool_parts(hits, scraped)).collect()}
+    assert sizes == {1: (2, len(pooled[1])), 2: (1, 3), 3: (0, 4)}

@@ -10,33 +10,33 @@ from pyspark.sql import functions as F
 SEVERITY_WEIGHTS = {"critical": 35, "high": 20, "medium": 10, "low": 3}
 CATEGORIES = ("financial", "operational", "legal", "reputational", "cybersecurity")
 KEYWORDS = (
-    ("financial", "critical", "bankruptcy|insolvency|chapter 11|chapter 7|liquidation|default|debt restructuring|financial collapse|insolvent"),
-    ("financial", "high", "financial distress|cash flow problems|massive losses|debt crisis|credit downgrade|junk rating|bond default|revenue decline"),
-    ("financial", "medium", "cost cutting|budget cuts|financial pressure|losses|debt increase|declining revenue|profitability concerns|write-down"),
-    ("financial", "low", "restructuring|strategic review|cost optimization|efficiency measures"),
-    ("operational", "critical", "shutdown|factory closure|operations halted|production stopped|supply chain collapse|critical failure"),
-    ("operational", "high", "major layoffs|mass redundancies|facility closure|production delays|supply shortage|operational disruption"),
-    ("operational", "medium", "hiring freeze|workforce reduction|operational challenges|capacity reduction|delays"),
-    ("operational", "low", "restructuring|reorganization|headcount adjustment"),
-    ("legal", "critical", "criminal charges|fraud conviction|sanctions|regulatory shutdown|license revoked|SEC enforcement"),
-    ("legal", "high", "major lawsuit|class action|regulatory investigation|DOJ probe|SEC investigation|fraud allegations|antitrust violation"),
-    ("legal", "medium", "legal dispute|lawsuit|regulatory warning|compliance issues|fine|penalty"),
-    ("legal", "low", "legal review|regulatory inquiry|compliance review"),
-    ("reputational", "critical", "scandal|corruption exposed|massive fraud|executive arrested"),
-    ("reputational", "high", "public backlash|brand crisis|customer exodus|viral negative|boycott|major controversy"),
-    ("reputational", "medium", "negative press|customer complaints|PR crisis|negative reviews"),
-    ("reputational", "low", "criticism|concerns raised|negative sentiment"),
-    ("cybersecurity", "critical", "data breach|ransomware attack|critical vulnerability exploited|systems compromised|cyber attack"),
-    ("cybersecurity", "high", "security breach|hacked|data leak|vulnerability exposed"),
-    ("cybersecurity", "medium", "security incident|data exposure|security concerns"),
-    ("cybersecurity", "low", "security review|vulnerability patched"),
+    ("financial", "critical", ("bankruptcy", "insolvency", "chapter 11", "chapter 7", "liquidation", "default", "debt restructuring", "financial collapse", "insolvent")),
+    ("financial", "high", ("financial distress", "cash flow problems", "massive losses", "debt crisis", "credit downgrade", "junk rating", "bond default", "revenue decline")),
+    ("financial", "medium", ("cost cutting", "budget cuts", "financial pressure", "losses", "debt increase", "declining revenue", "profitability concerns", "write-down")),
+    ("financial", "low", ("restructuring", "strategic review", "cost optimization", "efficiency measures")),
+    ("operational", "critical", ("shutdown", "factory closure", "operations halted", "production stopped", "supply chain collapse", "critical failure")),
+    ("operational", "high", ("major layoffs", "mass redundancies", "facility closure", "production delays", "supply shortage", "operational disruption")),
+    ("operational", "medium", ("hiring freeze", "workforce reduction", "operational challenges", "capacity reduction", "delays")),
+    ("operational", "low", ("restructuring", "reorganization", "headcount adjustment")),
+    ("legal", "critical", ("criminal charges", "fraud conviction", "sanctions", "regulatory shutdown", "license revoked", "SEC enforcement")),
+    ("legal", "high", ("major lawsuit", "class action", "regulatory investigation", "DOJ probe", "SEC investigation", "fraud allegations", "antitrust violation")),
+    ("legal", "medium", ("legal dispute", "lawsuit", "regulatory warning", "compliance issues", "fine", "penalty")),
+    ("legal", "low", ("legal review", "regulatory inquiry", "compliance review")),
+    ("reputational", "critical", ("scandal", "corruption exposed", "massive fraud", "executive arrested")),
+    ("reputational", "high", ("public backlash", "brand crisis", "customer exodus", "viral negative", "boycott", "major controversy")),
+    ("reputational", "medium", ("negative press", "customer complaints", "PR crisis", "negative reviews")),
+    ("reputational", "low", ("criticism", "concerns raised", "negative sentiment")),
+    ("cybersecurity", "critical", ("data breach", "ransomware attack", "critical vulnerability exploited", "systems compromised", "cyber attack")),
+    ("cybersecurity", "high", ("security breach", "hacked", "data leak", "vulnerability exposed")),
+    ("cybersecurity", "medium", ("security incident", "data exposure", "security concerns")),
+    ("cybersecurity", "low", ("security review", "vulnerability patched")),
 )
 
 SCHEMA = "ord INT, category STRING, severity STRING, keyword STRING, weight INT, indicator STRING"
 
 
 def default_rows() -> list[tuple[int, str, str, str, int, str]]:
-    flat = [(c, s, k) for c, s, ks in KEYWORDS for k in ks.split("|")]
+    flat = [(c, s, k) for c, s, ks in KEYWORDS for k in ks]
     return [(i, c, s, k, SEVERITY_WEIGHTS[s], k.title()) for i, (c, s, k) in enumerate(flat)]
 
 

@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-# Least score of each level, and the display colours of the levels.
+# Least score of each level, the two palettes of display colours of the levels (LOW for any other), and
+# the verbs that a command may begin with.
 LEVELS = (("CRITICAL", 70), ("HIGH", 50), ("MEDIUM", 25), ("LOW", 0))
-LEVEL_COLOURS = {"CRITICAL": "#FF2D55", "HIGH": "#FF6B00", "MEDIUM": "#F5A623", "LOW": "#00E87A"}
+PALETTES = {
+    "screen": {"CRITICAL": "#FF2D55", "HIGH": "#FF6B00", "MEDIUM": "#F5A623", "LOW": "#00E87A"},
+    "engine": {"CRITICAL": "#FF2D55", "HIGH": "#FF9500", "MEDIUM": "#FFCC00", "LOW": "#34C759"},
+}
+COMMAND_VERBS = ("scan ", "investigate ", "check ")
 
 
 def risk_level(score: Column) -> Column:
@@ -35,14 +40,15 @@ def vendor_domain(name: Column) -> Column:
 def command_text(c: Column) -> Column:
     """Lower-cased, without the first of each verb token, trimmed."""
     out = F.lower(c)
-    for verb in ("scan ", "investigate ", "check "):
+    for verb in COMMAND_VERBS:
         out = F.regexp_replace(out, f"(?s)^(.*?){verb}", "$1")
     return strip(out)
 
 
-def level_colour(level: Column) -> Column:
-    table = F.create_map(*[F.lit(x) for pair in LEVEL_COLOURS.items() for x in pair])
-    return F.coalesce(F.try_element_at(table, level), F.lit(LEVEL_COLOURS["LOW"]))
+def level_colour(level: Column, palette: str = "screen") -> Column:
+    colours = PALETTES[palette]
+    table = F.create_map(*[F.lit(x) for pair in colours.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, level), F.lit(colours["LOW"]))
 
 
 def first_filled(*columns: Column) -> Column:
@@ -54,4 +60,5 @@ def register(spark: SparkSession) -> None:
     """risk_level, risk_percent and vendor_domain as SQL functions of the session."""
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION risk_level(s INT) RETURNS STRING RETURN CASE WHEN s >= 70 THEN 'CRITICAL' WHEN s >= 50 THEN 'HIGH' WHEN s >= 25 THEN 'MEDIUM' ELSE 'LOW' END")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION risk_percent(p DOUBLE) RETURNS INT RETURN CAST(floor(p * 100 + 0.5) AS INT)")
-    spark.sql(r"CREATE OR REPLACE TEMPORARY FUNCTION vendor_domain(n STRING) RETURNS STRING RETURN CASE WHEN contains(replace(trim(lower(n)), ' ', ''), '.') THEN replace(trim(lower(n)), ' ', '') ELSE concat(replace(trim(lower(n)), ' ', ''), '.com') END")
+    plain = r"replace(regexp_replace(lower(n), '^\\s+|\\s+$', ''), ' ', '')"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION vendor_domain(n STRING) RETURNS STRING RETURN CASE WHEN contains({plain}, '.') THEN {plain} ELSE concat({plain}, '.com') END")

@@ -12,6 +12,9 @@ from vendorlens.operators.evidence import mentions
 SOURCE_CLASSES = {"Official": 0.95, "News": 0.82, "Forum": 0.41, "Unknown": 0.30}
 CREDIBLE, CORROBORATED, TRAJECTORY_STEP = 0.8, 2, 5
 
+#: Words of routine evidence (a pattern of our own on lower-cased text).
+ROUTINE = r"\b(?:annual report|quarterly (?:report|results)|form (?:10-k|10-q|8-k)|proxy statement|earnings call|historical(?:ly)?|market (?:news|update)|share price)\b"
+
 
 def source_class(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
     """(host_suffix, class, credibility) from (host_suffix, class)."""
@@ -34,11 +37,13 @@ def credibility(evidence: DataFrame, classes: DataFrame) -> DataFrame:
 def supported_signals(signals: DataFrame, keys: list[str]) -> DataFrame:
     """For each key and signal: its hosts, whether several have it, the best credibility and the joint confidence.
 
-    ``signals`` has the signal columns with host and credibility; a host counts once."""
+    ``signals`` has the signal columns with host and credibility; a host counts once. With a column ``is_routine`` of the evidence,
+    a signal has one too: whether all of its evidence is routine."""
     own = [*keys, "category", "severity", "keyword", "weight", "ord"]
-    once = signals.groupBy(*own, "host").agg(F.max("credibility").alias("credibility"))
+    news = F.bool_and("is_routine") if "is_routine" in signals.columns else F.lit(False)
+    once = signals.groupBy(*own, "host").agg(F.max("credibility").alias("credibility"), news.alias("is_routine"))
     joint = 1 - F.exp(F.sum(F.log(1 - F.col("credibility"))))
-    return once.groupBy(*own).agg(F.count("*").alias("n_hosts"), F.max("credibility").alias("best"), F.round(joint, 6).alias("confidence")).withColumn("corroborated", F.col("n_hosts") >= CORROBORATED)
+    return once.groupBy(*own).agg(F.count("*").alias("n_hosts"), F.max("credibility").alias("best"), F.round(joint, 6).alias("confidence"), F.bool_and("is_routine").alias("is_routine")).withColumn("corroborated", F.col("n_hosts") >= CORROBORATED)
 
 
 def subject_check(evidence: DataFrame, vendor_col: str = "vendor_name", *, chars: int = 500, least: int = 1) -> DataFrame:
@@ -69,9 +74,19 @@ def top_factors(supported: DataFrame, keys: list[str], n: int = 5) -> DataFrame:
     return supported.withColumn("strength", strength).withColumn("place", place).where(F.col("place") <= n)
 
 
+def routine(text: Column) -> Column:
+    """Whether evidence is routine news: corporate filings, historic cases, market reports."""
+    return F.coalesce(F.lower(text).rlike(ROUTINE), F.lit(False))
+
+
 def override_level(supported: DataFrame, keys: list[str]) -> DataFrame:
-    """Score and level from all signals, and from those only that are corroborated or from a credible source."""
-    solid = F.col("corroborated") | (F.col("best") >= CREDIBLE)
+    """Score and level from all signals, and from those only that are corroborated or from a credible source and not routine.
+
+    ``supported`` may have a column ``is_routine``: whether all evidence of the signal is routine. A level of HIGH or
+    CRITICAL that routine signals alone hold up comes down to MEDIUM or LOW by that.
+    """
+    news = F.coalesce(F.col("is_routine"), F.lit(False)) if "is_routine" in supported.columns else F.lit(False)
+    solid = (F.col("corroborated") | (F.col("best") >= CREDIBLE)) & ~news
     score = lambda w: F.least(F.lit(100), F.coalesce(F.sum(w), F.lit(5))).cast("int")
     both = supported.groupBy(*keys).agg(score(F.col("weight")).alias("raw_score"), score(F.when(solid, F.col("weight"))).alias("adjusted_score"))
     return both.withColumns({"raw_level": risk_level(F.col("raw_score")), "adjusted_level": risk_level(F.col("adjusted_score"))})

@@ -13,6 +13,9 @@ SCOPE, TOP_CRITICAL, LEAST_ALERTS, MOST_ALERTS = 100, 3, 4, 10
 CALL_LIMIT, CALL_FLAG_PERCENT, COST_OPTIMAL, COST_NORMAL = 10, 80, 1.0, 2.5
 FILLERS = (("Regional news signal", "Live scan complete", "MEDIUM"), ("Operational monitor active", "Monitor watching", "LOW"))
 
+# What a report card and the list of reports show.
+SHOWN_INDICATORS, SHOWN_SOURCES, SHOWN_REPORTS = 3, 6, 5
+
 # Texts of the labels by language.
 LABELS = {
     "EN": ("Short-term", "Medium-term", "Long-term", "Improving", "Deteriorating", "Stable"),
@@ -55,6 +58,17 @@ def alerts(reports: DataFrame) -> DataFrame:
     return rows.select("report_id", F.posexplode("_all").alias("position", "a")).select("report_id", "position", "a.*")
 
 
+def cards(reports: DataFrame) -> DataFrame:
+    """The reports with as much as a card shows: the first indicators of each signal group and the first sources."""
+    shown = F.transform("signals", lambda s: s.withField("indicators", F.slice(s.indicators, 1, SHOWN_INDICATORS)))
+    return reports.withColumns({"signals": shown, "sources": F.slice("sources", 1, SHOWN_SOURCES)})
+
+
+def front_page(reports: DataFrame, n: int = SHOWN_REPORTS) -> DataFrame:
+    """The cards of the newest reports."""
+    return cards(recent(reports, n))
+
+
 def governance(usage: DataFrame) -> DataFrame:
     """Percent of the call limit, flag above 80, and cost class of each usage row."""
     share = F.least(F.lit(100.0), F.col("search_calls") / CALL_LIMIT * 100)

@@ -69,7 +69,11 @@ def narrative() -> dict[str, Column]:
 
 def assemble_reports(scores: DataFrame, *, created_at: Column | None = None) -> DataFrame:
     """One report for each row of scores with vendor_id, vendor_name, the score columns, source_count, scraped_chars, parsed,
-    signals and sources."""
+    signals and sources.
+
+    ``raw_intelligence`` repeats the headline fields, so that a history can be rebuilt from it alone (rebuild_history); its findings
+    and actions are those that were parsed, not the default ones.
+    """
     told = narrative()
     empty = F.array().cast("array<string>")
     get = {k: field(k, "array<string>" if k in ("key_findings", "recommended_actions") else "string", d) for k, d in told.items()}
@@ -81,7 +85,12 @@ def assemble_reports(scores: DataFrame, *, created_at: Column | None = None) ->
         get["recommended_actions"].alias("recommended_actions"), field("monitoring_signals", "array<string>", empty).alias("monitoring_signals"),
         field("time_horizon", "string", F.lit(DEFAULT_HORIZON)).alias("time_horizon"),
         F.coalesce("signals", F.array().cast(SIGNALS_JSON)).alias("signals"), F.coalesce("sources", F.array().cast(SOURCES_JSON)).alias("sources"),
-        F.to_json(F.struct(F.col("source_count").alias("search_results_count"), F.col("scraped_chars").alias("scraped_content_chars"))).alias("raw_intelligence"),
+        F.to_json(F.struct(
+            F.col("source_count").alias("search_results_count"), F.col("scraped_chars").alias("scraped_content_chars"),
+            field("primary_risk_category", "string", F.lit(DEFAULT_CATEGORY)).alias("primary_risk_category"), get["risk_headline"].alias("risk_headline"),
+            field("risk_trajectory", "string", F.lit(DEFAULT_TRAJECTORY)).alias("risk_trajectory"), field("time_horizon", "string", F.lit(DEFAULT_HORIZON)).alias("time_horizon"),
+            field("key_findings", "array<string>", empty).alias("key_findings"), field("recommended_actions", "array<string>", empty).alias("recommended_actions"),
+        )).alias("raw_intelligence"),
         F.lit("completed").alias("status"), (F.current_timestamp() if created_at is None else created_at).alias("created_at"),
     )
 
@@ -121,7 +130,11 @@ def delete_reports(reports: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def delete_stored(spark: SparkSession, path: str, ids: DataFrame) -> int:
-    """Delete from a stored table, rewriting only the days that hold one of the ids; returns how many matched."""
+    """Delete from a stored table, rewriting only the days that hold one of the ids; returns how many matched.
+
+    Each day is replaced by Spark's commit as a whole. Days that lose all rows are removed after that; if the
+    job ends in between, they still hold rows with the ids, and the same call again removes them.
+    """
     stored = spark.read.parquet(path)
     hit = stored.join(ids.select("report_id").distinct(), "report_id", "left_semi").groupBy("report_date").count().collect()
     days = [r.report_date for r in hit]

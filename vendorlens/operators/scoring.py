@@ -51,8 +51,8 @@ def score_signals(signals: DataFrame, keys: list[str] | str, *, everyone: DataFr
     )
 
 
-def signal_groups(signals: DataFrame, keys: list[str] | str, *, indicators: int = 5) -> DataFrame:
-    """(keys, category, severity, indicators, weight, ord): one row for each category of a key.
+def signal_groups(signals: DataFrame, keys: list[str] | str, *, indicators: int = 5, counts: bool = False) -> DataFrame:
+    """(keys, category, severity, indicators, weight, ord): one row for each category of a key; with ``counts`` also n, its signals.
 
     The severity is the highest one, indicators are the first distinct ones in lexicon order, and
     ``ord`` (the first entry's place) keeps the order of categories with equal weights.
@@ -64,6 +64,7 @@ def signal_groups(signals: DataFrame, keys: list[str] | str, *, indicators: int
         F.slice(F.array_distinct(F.transform(rows, lambda x: x.indicator)), 1, indicators).alias("indicators"),
         F.sum("weight").alias("weight"),
         F.min("ord").alias("ord"),
+        *([F.count("*").alias("n")] if counts else []),
     ).withColumn("category", title_case(F.col("category")))
 
 
@@ -74,6 +75,29 @@ def grouped_arrays(groups: DataFrame, keys: list[str] | str) -> DataFrame:
     return groups.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: F.struct(x.category.alias("category"), x.severity.alias("severity"), x.indicators.alias("indicators"), x.weight.alias("weight"))).alias("signals"))
 
 
+def scored_groups(signals: DataFrame, keys: list[str] | str, *, categories: int = 5) -> DataFrame:
+    """What score_signals and grouped_arrays say of each key with signals, from one pass over the signals."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    groups = signal_groups(signals, keys, counts=True)
+    item = F.struct((-F.col("weight")).alias("w"), "ord", "category", "severity", "indicators", "weight")
+    has = lambda c, v: F.bool_or(F.col(c) == v)
+    found = groups.groupBy(*keys).agg(
+        F.least(F.lit(100), F.sum("weight")).cast("int").alias("risk_score"), F.sum("n").alias("n_signals"), F.count("*").alias("n_categories"), has("severity", "CRITICAL").alias("critical"),
+        (has("category", "Financial") & has("category", "Operational")).alias("joint"), F.array_sort(F.collect_list(item)).alias("x"),
+    )
+    plain = F.transform("x", lambda x: F.struct(x.category.alias("category"), x.severity.alias("severity"), x.indicators.alias("indicators"), x.weight.alias("weight")))
+    return found.select(
+        *keys, "risk_score", risk_level(F.col("risk_score")).alias("risk_level"), confidence(F.col("n_categories"), F.col("n_signals"), categories).alias("confidence_score"),
+        disruption(F.col("risk_score"), F.col("critical"), F.col("joint")).alias("disruption_probability"), "n_signals", "n_categories", plain.alias("signals"),
+    )
+
+
+def with_no_signals(scores: DataFrame) -> DataFrame:
+    """The scores of keys without signals filled in (rows of an outer join)."""
+    fill = {c: F.lit(v) for c, v in NO_SIGNALS.items()} | {"n_signals": F.lit(0), "n_categories": F.lit(0)}
+    return scores.withColumns({c: F.coalesce(F.col(c), v) for c, v in fill.items()})
+
+
 def rollup_signals(signals: DataFrame, vendor_col: str) -> DataFrame:
     """Vendors hit and total weight for each category and severity, with subtotals and the grand total."""
     return signals.cube("category", "severity").agg(F.grouping_id().alias("grouping"), F.countDistinct(vendor_col).alias("vendors"), F.sum("weight").alias("total_weight"))

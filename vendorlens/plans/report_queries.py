@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vendorlens.functions import scalars
-from vendorlens.operators import analyst, dashboard, reports, scoring
+from vendorlens.operators import analyst, dashboard, evidence, reports, scoring
 from vendorlens.plans.risk_queries import _DOC_SCORES, _signals, query
 from vendorlens.sources import adapters as A
 from vendorlens.streaming import jobs
@@ -34,27 +34,26 @@ def clean_requests(spark, sf_dir):
 
 def _outputs(spark, sf_dir):
     d = A.evidence_text(spark, sf_dir)
-    said = F.substring("text", 1, 80)
-    fields = F.to_json(F.struct(said.alias("executive_summary"), F.array(F.substring("text", 1, 10), F.lit("b")).alias("key_findings"), F.lit("Improving").alias("risk_trajectory")))
+    fields = F.to_json(F.struct(F.col("text").alias("executive_summary"), F.array("text", F.lit("b")).alias("key_findings"), F.lit("Improving").alias("risk_trajectory")))
     k = F.col("doc_id") % 5
     empty = F.to_json(F.struct(F.lit("").alias("executive_summary"), F.lit("Legal").alias("primary_risk_category")))
     raw = F.when(k == 0, fields).when(k == 1, F.concat(F.lit("```json\n"), fields, F.lit("\n```"))).when(k == 2, F.concat(F.lit("Here it is: "), fields, F.lit(" Done."))).when(k == 3, F.lit("no json { here")).otherwise(empty)
     return d.select("doc_id", F.col("source").alias("vendor_name"), "text", raw.alias("raw_output"))
 
 
-@query(f"""WITH {A.TEXT_SQL} SELECT doc_id, CASE WHEN doc_id % 5 < 3 THEN substring(text, 1, 80) WHEN doc_id % 5 = 3 THEN 'missing' ELSE '' END AS executive_summary,
+@query(f"""WITH {A.TEXT_SQL} SELECT doc_id, md5(CASE WHEN doc_id % 5 < 3 THEN text WHEN doc_id % 5 = 3 THEN 'missing' ELSE '' END) AS executive_summary,
     CASE WHEN doc_id % 5 < 3 THEN 'Improving' ELSE 'Stable' END AS risk_trajectory, CASE WHEN doc_id % 5 = 4 THEN 'Legal' ELSE 'Operational' END AS primary_risk_category,
-    CASE WHEN doc_id % 5 < 3 THEN substring(text, 1, 10) || '|b' ELSE '' END AS key_findings FROM f1""")
+    md5(CASE WHEN doc_id % 5 < 3 THEN text || '|b' ELSE '' END) AS key_findings FROM f1""")
 def rescue_parse(spark, sf_dir):
     p = reports.parse_reports(_outputs(spark, sf_dir))
-    get = reports.field
+    get, digest = reports.field, lambda c: F.md5(c.cast("binary"))
     return p.select(
-        "doc_id", get("executive_summary", "string", F.lit("missing")).alias("executive_summary"), get("risk_trajectory", "string", F.lit("Stable")).alias("risk_trajectory"),
-        get("primary_risk_category", "string", F.lit("Operational")).alias("primary_risk_category"), F.array_join(get("key_findings", "array<string>", F.array().cast("array<string>")), "|").alias("key_findings"),
+        "doc_id", digest(get("executive_summary", "string", F.lit("missing"))).alias("executive_summary"), get("risk_trajectory", "string", F.lit("Stable")).alias("risk_trajectory"),
+        get("primary_risk_category", "string", F.lit("Operational")).alias("primary_risk_category"), digest(F.array_join(get("key_findings", "array<string>", F.array().cast("array<string>")), "|")).alias("key_findings"),
     )
 
 
-@query(f"""WITH {A.TEXT_SQL}, p AS (SELECT doc_id, text, CASE WHEN doc_id % 5 < 3 THEN substring(text, 1, 80) ELSE '' END AS s, CASE WHEN doc_id % 5 < 3 THEN substring(text, 1, 10) || ' b' ELSE '' END AS f FROM f1)
+@query(f"""WITH {A.TEXT_SQL}, p AS (SELECT doc_id, text, CASE WHEN doc_id % 5 < 3 THEN text ELSE '' END AS s, CASE WHEN doc_id % 5 < 3 THEN text || ' b' ELSE '' END AS f FROM f1)
     SELECT doc_id, md5(CASE WHEN regexp_replace(s, '^\\s+|\\s+$', '', 'g') = '' OR length(s || ' ' || f) < 50 THEN text ELSE s || ' ' || f END) AS scored_text FROM p""")
 def scoring_text(spark, sf_dir):
     p = reports.parse_reports(_outputs(spark, sf_dir))
@@ -63,12 +62,13 @@ def scoring_text(spark, sf_dir):
     return p.select("doc_id", F.md5(chosen.cast("binary")).alias("scored_text"))
 
 
-_COUNTS_SQL = f"x AS ({_DOC_SCORES}), n AS (SELECT x.*, source AS vendor_name, doc_id % 9 AS source_count, trunc(disruption_probability * 100)::INTEGER AS pct FROM f1 JOIN x USING (doc_id))"
+_COUNTS_SQL = f"x AS ({_DOC_SCORES}), n AS (SELECT x.*, source AS vendor_name, text, doc_id % 9 AS source_count, trunc(disruption_probability * 100)::INTEGER AS pct FROM f1 JOIN x USING (doc_id))"
 
 
 def _counted(spark, sf_dir):
-    s = scoring.score_signals(_signals(spark, sf_dir), "doc_id", everyone=A.evidence_text(spark, sf_dir))
-    return s.join(_outputs(spark, sf_dir), "doc_id").withColumn("source_count", F.col("doc_id") % 9)
+    found = scoring.scored_groups(_signals(spark, sf_dir), "doc_id")
+    rows = _outputs(spark, sf_dir).join(found, "doc_id", "left")
+    return scoring.with_no_signals(rows).withColumn("source_count", F.col("doc_id") % 9)
 
 
 @query(f"""WITH {A.SIGNALS_SQL}, {_COUNTS_SQL} SELECT doc_id, vendor_name || ' was assessed from public evidence. ' || source_count || ' sources were gathered. ' || n_signals || ' risk indicators in ' || n_categories
@@ -79,24 +79,39 @@ def default_narrative(spark, sf_dir):
     return rows.select("doc_id", told["executive_summary"].alias("executive_summary"), told["risk_headline"].alias("risk_headline"), reports.percent(F.col("disruption_probability")).alias("percent"))
 
 
+def _assembled(spark, sf_dir):
+    rows = reports.parse_reports(_counted(spark, sf_dir)).withColumns({"vendor_id": F.col("doc_id"), "scraped_chars": F.lit(0), "sources": F.lit(None).cast(reports.SOURCES_JSON)})
+    return reports.assemble_reports(rows, created_at=F.lit("2024-01-01").cast("timestamp"))
+
+
 @query(f"""WITH {A.SIGNALS_SQL}, {_COUNTS_SQL}, g AS (SELECT doc_id, count(DISTINCT category) AS c FROM sig GROUP BY doc_id) SELECT doc_id AS vendor_id, vendor_name, risk_score, risk_level, confidence_score, disruption_probability,
     CASE WHEN doc_id % 5 = 4 THEN 'Legal' ELSE 'Operational' END AS primary_risk_category, CASE WHEN doc_id % 5 < 3 THEN 'Improving' ELSE 'Stable' END AS risk_trajectory, 'Near-term' AS time_horizon,
-    coalesce(c, 0)::INTEGER AS n_groups, CASE WHEN doc_id % 5 < 3 THEN 2 ELSE 5 END::INTEGER AS n_findings, 3::INTEGER AS n_actions, '{{"search_results_count":' || source_count || ',"scraped_content_chars":0}}' AS raw_intelligence, 'completed' AS status FROM n LEFT JOIN g USING (doc_id)""")
+    coalesce(c, 0)::INTEGER AS n_groups, CASE WHEN doc_id % 5 < 3 THEN 2 ELSE 5 END::INTEGER AS n_findings, 3::INTEGER AS n_actions, source_count::VARCHAR AS raw_sources, '0' AS raw_chars, 'completed' AS status FROM n LEFT JOIN g USING (doc_id)""")
 def report_assemble(spark, sf_dir):
-    groups = scoring.grouped_arrays(scoring.signal_groups(_signals(spark, sf_dir), "doc_id"), "doc_id")
-    rows = reports.parse_reports(_counted(spark, sf_dir)).join(groups, "doc_id", "left")
-    rows = rows.withColumns({"vendor_id": F.col("doc_id"), "scraped_chars": F.lit(0), "sources": F.lit(None).cast(reports.SOURCES_JSON)})
-    out = reports.assemble_reports(rows, created_at=F.lit("2024-01-01").cast("timestamp"))
-    keep = ["vendor_id", "vendor_name", "risk_score", "risk_level", "confidence_score", "disruption_probability", "primary_risk_category", "risk_trajectory", "time_horizon", "raw_intelligence", "status"]
-    return out.select(*keep, F.size("signals").alias("n_groups"), F.size("key_findings").alias("n_findings"), F.size("recommended_actions").alias("n_actions"))
+    keep = ["vendor_id", "vendor_name", "risk_score", "risk_level", "confidence_score", "disruption_probability", "primary_risk_category", "risk_trajectory", "time_horizon", "status"]
+    raw = lambda k: F.get_json_object("raw_intelligence", f"$.{k}")
+    return _assembled(spark, sf_dir).select(
+        *keep, F.size("signals").alias("n_groups"), F.size("key_findings").alias("n_findings"), F.size("recommended_actions").alias("n_actions"),
+        raw("search_results_count").alias("raw_sources"), raw("scraped_content_chars").alias("raw_chars"),
+    )
 
 
-@query("""WITH old AS (SELECT s_suppkey AS vendor_id, s_name AS name FROM supplier WHERE s_suppkey % 2 = 0), new AS (SELECT DISTINCT s_name AS name FROM supplier WHERE s_name NOT IN (SELECT name FROM old))
-    SELECT count(*) AS n, count(DISTINCT vendor_id) AS ids, max(vendor_id)::BIGINT AS top, md5(string_agg(name, ',' ORDER BY name)) AS names FROM (SELECT * FROM old UNION ALL SELECT (SELECT max(vendor_id) FROM old) + row_number() OVER (ORDER BY name), name FROM new)""")
+@query(f"""WITH {A.SIGNALS_SQL}, {_COUNTS_SQL} SELECT doc_id AS vendor_id, CASE WHEN doc_id % 5 = 4 THEN 'Legal' ELSE 'Operational' END AS primary_risk_category, vendor_name || ': ' || risk_level || ' risk from ' || source_count || ' sources.' AS risk_headline,
+    CASE WHEN doc_id % 5 < 3 THEN 'Improving' ELSE 'Stable' END AS risk_trajectory, 'Near-term' AS time_horizon, md5(CASE WHEN doc_id % 5 < 3 THEN text || '|b' ELSE '' END) AS key_findings, 0::INTEGER AS n_actions FROM n""")
+def report_round_trip(spark, sf_dir):
+    """Reports assembled, and their headline fields rebuilt from the raw part alone."""
+    stored = _assembled(spark, sf_dir).select("vendor_id", "vendor_name", "signals", "created_at", F.try_parse_json("raw_intelligence").alias("raw"))
+    keep = ["vendor_id", "primary_risk_category", "risk_headline", "risk_trajectory", "time_horizon"]
+    return reports.rebuild_history(stored).select(*keep, F.md5(F.array_join("key_findings", "|").cast("binary")).alias("key_findings"), F.size("recommended_actions").alias("n_actions"))
+
+
+@query("""WITH old AS (SELECT s_suppkey AS vendor_id, s_name AS name FROM supplier WHERE s_suppkey % 2 = 0) SELECT name, vendor_id AS known_id, false AS is_new FROM old UNION ALL SELECT DISTINCT s_name, NULL, true FROM supplier WHERE s_name NOT IN (SELECT name FROM old)""")
 def vendor_upsert(spark, sf_dir):
     s = A.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("vendor_id"), F.col("s_name").alias("name"))
-    out = reports.upsert_vendors(s.where("vendor_id % 2 = 0"), s.select("name"))
-    return out.agg(F.count("*").alias("n"), F.countDistinct("vendor_id").alias("ids"), F.max("vendor_id").alias("top"), F.md5(F.array_join(F.array_sort(F.collect_list("name")), ",").cast("binary")).alias("names"))
+    old = s.where("vendor_id % 2 = 0")
+    top = old.agg(F.max("vendor_id").alias("top"))
+    new = F.col("vendor_id") > F.col("top")
+    return reports.upsert_vendors(old, s.select("name")).crossJoin(F.broadcast(top)).select("name", F.when(~new, F.col("vendor_id")).alias("known_id"), new.alias("is_new"))
 
 
 @query(f"WITH {A.REPORTS_SQL} SELECT reports.report_id, reports.vendor_id, risk_score FROM reports WHERE report_id NOT IN (SELECT l_orderkey FROM lineitem WHERE l_orderkey IS NOT NULL AND l_quantity > 45)")
@@ -151,10 +166,24 @@ def leaderboard(spark, sf_dir):
     return dashboard.leaderboard(A.reports(spark, sf_dir)).select("report_id", "vendor_name", "risk_score", "disruption_probability")
 
 
-@query(f"""WITH {A.REPORTS_SQL} SELECT risk_level, vendor_id, CASE risk_level WHEN 'CRITICAL' THEN '#FF2D55' WHEN 'HIGH' THEN '#FF6B00' WHEN 'MEDIUM' THEN '#F5A623' ELSE '#00E87A' END AS colour, count(*) AS n FROM reports GROUP BY risk_level, vendor_id""")
+@query(f"""WITH {A.REPORTS_SQL} SELECT risk_level, vendor_id, CASE risk_level WHEN 'CRITICAL' THEN '#FF2D55' WHEN 'HIGH' THEN '#FF6B00' WHEN 'MEDIUM' THEN '#F5A623' ELSE '#00E87A' END AS colour,
+    CASE risk_level WHEN 'CRITICAL' THEN '#FF2D55' WHEN 'HIGH' THEN '#FF9500' WHEN 'MEDIUM' THEN '#FFCC00' ELSE '#34C759' END AS engine_colour, count(*) AS n FROM reports GROUP BY risk_level, vendor_id""")
 def level_colour(spark, sf_dir):
     r = A.reports(spark, sf_dir).groupBy("risk_level", "vendor_id").agg(F.count("*").alias("n"))
-    return r.withColumn("colour", scalars.level_colour(F.col("risk_level")))
+    return r.withColumns({"colour": scalars.level_colour(F.col("risk_level")), "engine_colour": scalars.level_colour(F.col("risk_level"), "engine")})
+
+
+@query(f"""WITH {A.REPORTS_SQL} SELECT report_id, CASE WHEN risk_score >= 70 THEN 'CRITICAL' WHEN risk_score >= 50 THEN 'HIGH' WHEN risk_score >= 25 THEN 'MEDIUM' ELSE 'LOW' END AS level, floor(disruption_probability * 100 + 0.5)::INTEGER AS percent,
+    replace(regexp_replace(lower(vendor_name), '^\\s+|\\s+$', '', 'g'), ' ', '') || '.com' AS domain FROM reports""")
+def sql_functions(spark, sf_dir):
+    """The functions of the session's SQL."""
+    scalars.register(spark)
+    return A.reports(spark, sf_dir).selectExpr("report_id", "risk_level(risk_score) AS level", "risk_percent(disruption_probability) AS percent", "vendor_domain(vendor_name) AS domain")
+
+
+def _sources(n):
+    """So many sources; null for none."""
+    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n.cast("int")), lambda i: F.struct(F.concat(F.lit("https://s.example.com/"), i.cast("string")).alias("url"), F.lit("t").alias("title"))))
 
 
 def _grouped(spark, sf_dir):
@@ -171,9 +200,17 @@ def alerts(spark, sf_dir):
     return dashboard.alerts(_grouped(spark, sf_dir))
 
 
-@query(f"WITH {A.SIGNALS_SQL} SELECT doc_id AS report_id, 0::INTEGER AS n_sources, count(DISTINCT category)::INTEGER AS n_signals FROM sig GROUP BY doc_id")
+@query(f"WITH {A.SIGNALS_SQL} SELECT doc_id AS report_id, (doc_id % 4)::INTEGER AS n_sources, count(DISTINCT category)::INTEGER AS n_signals FROM sig GROUP BY doc_id")
 def report_counters(spark, sf_dir):
-    return dashboard.report_counts(_grouped(spark, sf_dir).withColumn("sources", F.lit(None).cast(reports.SOURCES_JSON)))
+    return dashboard.report_counts(_grouped(spark, sf_dir).withColumn("sources", _sources(F.col("report_id") % 4)))
+
+
+@query(f"""WITH {A.SIGNALS_SQL}, ind AS (SELECT doc_id, category, indicator, min(ord) AS o, row_number() OVER (PARTITION BY doc_id, category ORDER BY min(ord)) AS r FROM sig GROUP BY doc_id, category, indicator),
+    c AS (SELECT doc_id, category, string_agg(indicator, '|' ORDER BY o) AS t FROM ind WHERE r <= 3 GROUP BY doc_id, category)
+    SELECT doc_id AS report_id, upper(category[1]) || category[2:] AS category, t AS indicators, least(6, doc_id % 9)::INTEGER AS n_sources FROM c""")
+def report_cards(spark, sf_dir):
+    shown = dashboard.cards(_grouped(spark, sf_dir).withColumn("sources", _sources(F.col("report_id") % 9)))
+    return shown.select("report_id", F.explode("signals").alias("s"), F.coalesce(F.size("sources"), F.lit(0)).alias("n_sources")).select("report_id", "s.category", F.array_join("s.indicators", "|").alias("indicators"), "n_sources")
 
 
 @query("""WITH u AS (SELECT user_id::VARCHAR AS job_id, (count(*) % 12)::INTEGER AS search_calls, round(sum(value) / 100, 4) AS model_cost FROM events GROUP BY user_id)
@@ -201,22 +238,23 @@ def localise(spark, sf_dir):
 
 
 @query(f"""WITH {A.TEXT_SQL} SELECT doc_id AS report_id, CASE doc_id % 3 WHEN 0 THEN 'Legal' WHEN 1 THEN 'Financial-Risk' ELSE 'Cybersecurity' END AS primary_risk_category, CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'Near-term' END AS time_horizon,
-    CASE WHEN doc_id % 3 = 0 THEN substring(text, 1, 20) ELSE source || ' risk profile' END AS risk_headline, CASE WHEN doc_id % 3 = 0 THEN 'a|b' ELSE '' END AS key_findings FROM f1""")
+    md5(CASE WHEN doc_id % 3 = 0 THEN text ELSE source || ' risk profile' END) AS risk_headline, CASE WHEN doc_id % 3 = 0 THEN 'a|b' ELSE '' END AS key_findings FROM f1""")
 def history_rebuild(spark, sf_dir):
     d = A.evidence_text(spark, sf_dir)
     k = F.col("doc_id") % 3
-    raw = F.when(k == 0, F.to_json(F.struct(F.lit("Legal").alias("primary_risk_category"), F.lit("").alias("time_horizon"), F.substring("text", 1, 20).alias("risk_headline"), F.array(F.lit("a"), F.lit("b")).alias("key_findings")))).otherwise("{}")
+    raw = F.when(k == 0, F.to_json(F.struct(F.lit("Legal").alias("primary_risk_category"), F.lit("").alias("time_horizon"), F.col("text").alias("risk_headline"), F.array(F.lit("a"), F.lit("b")).alias("key_findings")))).otherwise("{}")
     sig = F.when(k == 1, '[{"category":"financial-risk","severity":"HIGH","indicators":["x"],"weight":20}]').otherwise("[]")
     legacy = d.select(F.col("doc_id").alias("report_id"), F.col("source").alias("vendor_name"), sig.alias("signals"), F.lit("[]").alias("sources"), raw.alias("raw_intelligence"), F.lit("2024-01-01").cast("timestamp").alias("created_at"))
     out = reports.rebuild_history(reports.decode_legacy(legacy))
-    return out.select("report_id", "primary_risk_category", "time_horizon", "risk_headline", F.array_join("key_findings", "|").alias("key_findings"))
+    return out.select("report_id", "primary_risk_category", "time_horizon", F.md5(F.col("risk_headline").cast("binary")).alias("risk_headline"), F.array_join("key_findings", "|").alias("key_findings"))
 
 
-@query("""WITH v AS (SELECT DISTINCT source AS vendor_name FROM documents) SELECT d.doc_id, v.vendor_name, lang AS language, 'documents' AS source_type, length(coalesce(text, ''))::INTEGER AS n_chars FROM documents d JOIN v ON v.vendor_name = d.source""")
+@query("""SELECT doc_id, coalesce(source, '') AS vendor_name, coalesce(nullif(CASE WHEN doc_id % 4 > 0 THEN lang END, ''), 'en') AS language, 'documents' AS source_type, md5(text) AS content, '2024-01-01' AS fetched FROM documents""")
 def evidence_landing(spark, sf_dir):
-    """Raw content in the shape of the landing table."""
-    d = A.read(spark, sf_dir, "documents").where("source is not null")
-    return d.select("doc_id", F.col("source").alias("vendor_name"), F.col("lang").alias("language"), F.lit("documents").alias("source_type"), F.length(F.coalesce("text", F.lit(""))).alias("n_chars"))
+    """Raw content in the shape of the landing table; the document's number is its url here."""
+    d = A.read(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("")).alias("vendor_name"), F.col("doc_id").cast("string").alias("url"), F.when(F.col("doc_id") % 4 > 0, F.col("lang")).alias("language"), F.col("text").alias("content"))
+    rows = evidence.landed(d, source_type="documents", fetched_at=F.lit("2024-01-01").cast("timestamp"))
+    return rows.select(F.col("url").cast("long").alias("doc_id"), "vendor_name", "language", "source_type", F.md5(F.col("content").cast("binary")).alias("content"), F.date_format("fetched_at", "yyyy-MM-dd").alias("fetched"))
 
 
 # --- jobs

@@ -24,7 +24,8 @@ def query(sql: str | None = None):
 
 
 def _signals(spark, sf_dir):
-    return signals.extract_signals(A.evidence_text(spark, sf_dir), ["doc_id", "source"], "text", lexicon(spark), distinct=False)
+    # the given files are single row groups: deal their rows out to all cores
+    return signals.extract_signals(A.evidence_text(spark, sf_dir), ["doc_id", "source"], "text", lexicon(spark), distinct=False, spread=spark.sparkContext.defaultParallelism)
 
 
 def _vendor_signals(spark, sf_dir):
@@ -103,19 +104,20 @@ def primary_category(spark, sf_dir):
 
 def _payloads(spark, sf_dir):
     e = A.evidence(spark, sf_dir)
-    hit = F.to_json(F.struct(F.struct("title", F.when(F.col("doc_id") % 2 == 0, F.col("url")).otherwise("").alias("link"), "url", F.substring("snippet", 1, 200).alias("snippet")).alias("h")))
+    hit = F.to_json(F.struct(F.struct("title", F.when(F.col("doc_id") % 2 == 0, F.col("url")).otherwise("").alias("link"), "url", F.col("snippet")).alias("h")))
     hit = F.regexp_extract(hit, r'(?s)^\{"h":(.*)\}$', 1)
     listed = F.concat(F.lit('{"organic":['), hit, F.lit("]}"))
+    escaped = F.replace(F.replace("snippet", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     quoted = F.to_json(F.struct(listed.alias("body")))
-    page = F.to_json(F.struct(F.concat(F.lit("<article><h1>Title "), F.col("doc_id").cast("string"), F.lit('</h1><a href="'), "url", F.lit('">x</a><p>Some <b>text</b></p></article>')).alias("body")))
+    page = F.to_json(F.struct(F.concat(F.lit("<article><h1>Title "), F.col("doc_id").cast("string"), F.lit('</h1><a href="'), "url", F.lit('">x</a><p>Some <b>text</b> '), escaped, F.lit("</p></article>")).alias("body")))
     kind = F.col("doc_id") % 5
     payload = F.when(kind == 0, listed).when(kind == 1, quoted).when(kind == 2, page).when(kind == 3, F.concat(F.lit('{"body":'), listed, F.lit("}"))).otherwise(F.concat(F.lit("{broken "), listed))
     return e.select(F.col("doc_id").alias("response_id"), "vendor_id", "query_id", payload.alias("payload"))
 
 
 @query(f"""WITH {A.EVIDENCE_SQL}
-    SELECT doc_id AS response_id, vendor_id, query_id::INTEGER AS query_id, 0 AS rank, title, url, substring(snippet, 1, 200) AS snippet FROM ev WHERE doc_id % 5 IN (0, 1, 3)
-    UNION ALL SELECT doc_id, vendor_id, query_id::INTEGER, 0, 'Title ' || doc_id, url, 'Some text' FROM ev WHERE doc_id % 5 = 2""")
+    SELECT doc_id AS response_id, vendor_id, query_id::INTEGER AS query_id, 0 AS rank, title, url, snippet FROM ev WHERE doc_id % 5 IN (0, 1, 3)
+    UNION ALL SELECT doc_id, vendor_id, query_id::INTEGER, 0, 'Title ' || doc_id, url, regexp_replace('Some text ' || replace(replace(snippet, '&', '&amp;'), '<', '&lt;'), '\\s+$', '') FROM ev WHERE doc_id % 5 = 2""")
 def serp_normalise(spark, sf_dir):
     return evidence.normalise_serp(_payloads(spark, sf_dir))
 
@@ -131,11 +133,11 @@ def html_hits(spark, sf_dir):
     return evidence.html_hits(linked, ["page_id"])
 
 
-@query("""WITH n AS (SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN '  ' || s_name || ' ' WHEN 1 THEN replace(s_name, '#', ' ') ELSE s_name || '.Org' END AS name FROM supplier),
-    p AS (SELECT *, replace(trim(lower(name)), ' ', '') AS d FROM n) SELECT s_suppkey AS vendor_id, name, CASE WHEN contains(d, '.') THEN d ELSE d || '.com' END AS domain FROM p""")
+@query("""WITH n AS (SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN chr(9) || ' ' || s_name || ' ' WHEN 1 THEN replace(s_name, '#', ' ') ELSE s_name || '.Org' END AS name FROM supplier),
+    p AS (SELECT *, replace(regexp_replace(lower(name), '^\\s+|\\s+$', '', 'g'), ' ', '') AS d FROM n) SELECT s_suppkey AS vendor_id, name, CASE WHEN contains(d, '.') THEN d ELSE d || '.com' END AS domain FROM p""")
 def vendor_domain(spark, sf_dir):
     k = F.col("s_suppkey") % 3
-    name = F.when(k == 0, F.concat(F.lit("  "), "s_name", F.lit(" "))).when(k == 1, F.replace("s_name", F.lit("#"), F.lit(" "))).otherwise(F.concat("s_name", F.lit(".Org")))
+    name = F.when(k == 0, F.concat(F.lit("\t "), "s_name", F.lit(" "))).when(k == 1, F.replace("s_name", F.lit("#"), F.lit(" "))).otherwise(F.concat("s_name", F.lit(".Org")))
     return A.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("vendor_id"), name.alias("name")).withColumn("domain", scalars.vendor_domain(F.col("name")))
 
 
@@ -165,9 +167,9 @@ def _all_evidence(spark, sf_dir):
     return evidence.add_supplementary(evidence.mention_filter(A.evidence(spark, sf_dir)), A.supplementary(spark, sf_dir))
 
 
-@query(f"WITH {_ALL_SQL} SELECT doc_id, vendor_id, pass, query_id::INTEGER AS query_id, url FROM added")
+@query(f"WITH {_ALL_SQL} SELECT doc_id, vendor_id, pass, query_id::INTEGER AS query_id, url, CASE pass WHEN 1 THEN 'search' ELSE 'supplementary' END AS source FROM added")
 def evidence_antijoin(spark, sf_dir):
-    return _all_evidence(spark, sf_dir).select("doc_id", "vendor_id", "pass", "query_id", "url")
+    return _all_evidence(spark, sf_dir).select("doc_id", "vendor_id", "pass", "query_id", "url", "source")
 
 
 _TERMS = [("The", ["lawsuit", "fraud", "scandal"]), ("der", ["shutdown", "delays", "losses"]), ("que", ["breach", "hacked", "leak"])]
@@ -197,15 +199,13 @@ def report_sources(spark, sf_dir):
 
 
 def _scraped(spark, sf_dir):
-    d = A.evidence(spark, sf_dir)
-    one = d.groupBy("vendor_id").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
-    pick = lambda c, kind: d.join(one.select("vendor_id", F.col(c).alias("doc_id")), ["vendor_id", "doc_id"]).select("vendor_id", F.lit(kind).alias("kind"), F.col("snippet").alias("text"))
-    return pick("a", "filing").union(pick("b", "regional").where("vendor_id % 2 = 0"))
+    # each document stands for a vendor: it is its filing and, for even ones, its regional text
+    d = A.evidence(spark, sf_dir).select(F.col("doc_id").alias("vendor_id"), F.col("snippet").alias("text"))
+    kinds = F.when(F.col("vendor_id") % 2 == 0, F.array(F.lit("filing"), F.lit("regional"))).otherwise(F.array(F.lit("filing")))
+    return d.select("vendor_id", F.explode(kinds).alias("kind"), "text")
 
 
-_SCRAPED_SQL = """one AS (SELECT vendor_id, min(doc_id) AS a, max(doc_id) AS b FROM ev GROUP BY vendor_id),
-    scraped AS (SELECT one.vendor_id, x.snippet || CASE WHEN one.vendor_id % 2 = 0 AND y.snippet <> '' THEN chr(10) || chr(10) || '[Regional context]: ' || substring(y.snippet, 1, 1000) ELSE '' END AS scraped
-                FROM one JOIN ev x ON x.doc_id = a JOIN ev y ON y.doc_id = b)"""
+_SCRAPED_SQL = """scraped AS (SELECT doc_id AS vendor_id, snippet || CASE WHEN doc_id % 2 = 0 AND snippet <> '' THEN chr(10) || chr(10) || '[Regional context]: ' || substring(snippet, 1, 1000) ELSE '' END AS scraped FROM ev)"""
 
 
 @query(f"WITH {A.EVIDENCE_SQL}, {_SCRAPED_SQL} SELECT vendor_id, length(scraped)::INTEGER AS n_chars, md5(scraped) AS scraped FROM scraped")
@@ -213,13 +213,27 @@ def scraped_merge(spark, sf_dir):
     return evidence.merge_scraped(_scraped(spark, sf_dir)).select("vendor_id", F.length("scraped").alias("n_chars"), F.md5(F.col("scraped").cast("binary")).alias("scraped"))
 
 
-@query(f"""WITH {_ALL_SQL}, {_SCRAPED_SQL}, p AS (SELECT vendor_id, string_agg(snippet || ' ' || title, ' ' ORDER BY pass, query_id, rank) AS t FROM added GROUP BY vendor_id)
+@query(f"""WITH {_ALL_SQL}, {_SCRAPED_SQL}, p AS (SELECT doc_id AS vendor_id, string_agg(snippet || ' ' || title, ' ' ORDER BY pass, query_id, rank) AS t FROM added GROUP BY doc_id)
     SELECT vendor_id, length(coalesce(t, '') || substring(coalesce(scraped, ''), 1, 2000))::INTEGER AS n_chars, md5(coalesce(t, '') || substring(coalesce(scraped, ''), 1, 2000)) AS pooled FROM p FULL JOIN scraped USING (vendor_id)""")
 def text_pool(spark, sf_dir):
-    pooled = evidence.pool_text(_all_evidence(spark, sf_dir), evidence.merge_scraped(_scraped(spark, sf_dir)))
+    """Pooled texts, each document being a vendor with its hits of both passes."""
+    found = _all_evidence(spark, sf_dir).withColumn("vendor_id", F.col("doc_id"))
+    pooled = evidence.pool_text(found, evidence.merge_scraped(_scraped(spark, sf_dir)))
     return pooled.select("vendor_id", F.length("pooled").alias("n_chars"), F.md5(F.col("pooled").cast("binary")).alias("pooled"))
 
 
+@query(f"WITH {_ALL_SQL} SELECT vendor_id, count(*) AS n_hits, length(string_agg(snippet || ' ' || title, ' '))::BIGINT AS n_chars FROM added GROUP BY vendor_id")
+def text_pool_sizes(spark, sf_dir):
+    """Sizes of the pooled text of each source, whose hits no task gathers."""
+    return evidence.pool_sizes(evidence.pool_parts(_all_evidence(spark, sf_dir)))
+
+
+@query(f"WITH {A.TEXT_SQL} SELECT doc_id, md5(CASE WHEN doc_id % 10 = 0 OR text = '' THEN 'No scraped content was found.' ELSE substring(text, 1, 3000) END) AS prompt FROM f1")
+def prompt_texts(spark, sf_dir):
+    text = F.when(F.col("doc_id") % 10 != 0, F.col("text"))
+    return A.evidence_text(spark, sf_dir).select("doc_id", F.md5(evidence.prompt_text(text).cast("binary")).alias("prompt"))
+
+
 # --- analyst rules
 
 _CLASSES = [("src0.example.com", "Official"), ("src1.example.com", "News"), ("src2.example.com", "News"), ("example.org", "Forum")]
@@ -242,14 +256,16 @@ def credibility(spark, sf_dir):
 
 def _supported(spark, sf_dir):
     # documents of four sources tell of one vendor, so that signals have several hosts
-    hosts = _credible(spark, sf_dir).where("pass = 1").select("doc_id", "host", "credibility")
+    told = F.concat(F.when(F.col("doc_id") % 7 < 3, "Quarterly results: ").otherwise(""), F.coalesce("title", F.lit("")))
+    hosts = _credible(spark, sf_dir).where("pass = 1").select("doc_id", "host", "credibility", analyst.routine(told).alias("is_routine"))
     s = _signals(spark, sf_dir).join(hosts, "doc_id").withColumn("vendor_id", F.col("doc_id") % 37)
     return analyst.supported_signals(s, ["vendor_id"])
 
 
 _SUPPORT_SQL = f"""{A.EVIDENCE_SQL}, {_CRED_SQL}, sig AS (SELECT f1.doc_id, l.* FROM f1 JOIN lexicon l ON contains(lower(f1.text), l.keyword)),
-    hosts AS (SELECT doc_id % 37 AS vendor_id, category, severity, keyword, weight, ord, host, max(credibility) AS credibility FROM sig JOIN cred USING (doc_id) WHERE pass = 1 GROUP BY doc_id % 37, category, severity, keyword, weight, ord, host),
-    sup AS (SELECT vendor_id, category, severity, keyword, weight, ord, count(*) AS n_hosts, max(credibility) AS best, round(1 - exp(sum(ln(1 - credibility))), 6) AS confidence, count(*) >= 2 AS corroborated FROM hosts GROUP BY vendor_id, category, severity, keyword, weight, ord)"""
+    news AS (SELECT doc_id, regexp_matches(lower(CASE WHEN doc_id % 7 < 3 THEN 'Quarterly results: ' ELSE '' END || coalesce(title, '')), '{analyst.ROUTINE}') AS is_routine FROM ev),
+    hosts AS (SELECT doc_id % 37 AS vendor_id, category, severity, keyword, weight, ord, host, max(credibility) AS credibility, bool_and(is_routine) AS is_routine FROM sig JOIN cred USING (doc_id) JOIN news USING (doc_id) WHERE pass = 1 GROUP BY doc_id % 37, category, severity, keyword, weight, ord, host),
+    sup AS (SELECT vendor_id, category, severity, keyword, weight, ord, count(*) AS n_hosts, max(credibility) AS best, round(1 - exp(sum(ln(1 - credibility))), 6) AS confidence, count(*) >= 2 AS corroborated, bool_and(is_routine) AS is_routine FROM hosts GROUP BY vendor_id, category, severity, keyword, weight, ord)"""
 
 
 @query(f"WITH {_SUPPORT_SQL} SELECT vendor_id, category, severity, keyword, n_hosts, confidence, corroborated FROM sup")
@@ -265,7 +281,7 @@ def top_factors(spark, sf_dir):
 _LEVEL = "CASE WHEN {s} >= 70 THEN 'CRITICAL' WHEN {s} >= 50 THEN 'HIGH' WHEN {s} >= 25 THEN 'MEDIUM' ELSE 'LOW' END"
 
 
-@query(f"""WITH {_SUPPORT_SQL}, o AS (SELECT vendor_id, least(100, coalesce(sum(weight), 5))::INTEGER AS raw_score, least(100, coalesce(sum(weight) FILTER (corroborated OR best >= 0.8), 5))::INTEGER AS adjusted_score FROM sup GROUP BY vendor_id)
+@query(f"""WITH {_SUPPORT_SQL}, o AS (SELECT vendor_id, least(100, coalesce(sum(weight), 5))::INTEGER AS raw_score, least(100, coalesce(sum(weight) FILTER ((corroborated OR best >= 0.8) AND NOT is_routine), 5))::INTEGER AS adjusted_score FROM sup GROUP BY vendor_id)
     SELECT vendor_id, raw_score, adjusted_score, {_LEVEL.format(s='raw_score')} AS raw_level, {_LEVEL.format(s='adjusted_score')} AS adjusted_level FROM o""")
 def override_level(spark, sf_dir):
     return analyst.override_level(_supported(spark, sf_dir), ["vendor_id"])

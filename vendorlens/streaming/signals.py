@@ -60,3 +60,17 @@ def alert_stream(signals: DataFrame, key: str, ts_col: str = "ts", *, late: str
     else:
         rows = rows.groupBy(key, "category", "severity").agg(F.min(ts_col).alias(ts_col), F.min_by("indicator", F.struct(ts_col, "ord")).alias("indicator"))
     return rows.select(key, ts_col, F.concat(F.initcap("category"), F.lit(" risk detected")).alias("message"), F.upper("severity").alias("risk_level"), F.array("indicator").alias("triggered_signals"), F.lit(False).alias("acknowledged"))
+
+
+def store_alerts(alerts: DataFrame, path: str, checkpoint: str, *, key: str, id_col: str | None = None, ts_col: str = "ts"):
+    """Append a stream of alerts (alert_stream) to the stored table, a batch at a time; returns the query.
+
+    A batch that is run again after a failure replaces its own files, so no alert is stored twice.
+    """
+
+    def append(batch: DataFrame, number: int) -> None:
+        vendor = F.col(id_col).cast("long") if id_col else F.lit(None).cast("long")
+        rows = batch.select(vendor.alias("vendor_id"), F.col(key).cast("string").alias("vendor_name"), "risk_level", "message", "triggered_signals", "acknowledged", F.col(ts_col).alias("created_at"))
+        rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return alerts.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(append).trigger(availableNow=True).start()
