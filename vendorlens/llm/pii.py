@@ -23,7 +23,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vendorlens.llm.common import bounded_batches
 from vendorlens.llm.words import Block, blocks
 
 KINDS = ("email", "ip", "card", "phone")
@@ -33,6 +32,8 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _MAIL_RUN = re.compile(r"[A-Za-z0-9._%+@-]+")
 _NUMBER_RUN = re.compile(r"[0-9+][\x20().0-9+-]*")
+_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 
 #: Words and labels: o outside, and for each kind the first word (E I C P) and the next (c p).
 #: Every row is one chain. Invented; the only training data of the field.
@@ -83,10 +84,23 @@ LABELS = "oEICPcp"
 _KIND_OF = {"E": "email", "I": "ip", "C": "card", "P": "phone"}
 _TRIM_LEFT, _TRIM_RIGHT = "<([{\"'", ">)]}\"',;:!?."
 _BUCKETS = 1 << 10
+_DIGITS = frozenset("0123456789")
+#: Words, with padding, that are decoded at once; a longer chain alone.
+DECODE_WORDS = 1 << 14
+
+
+def small(part: str) -> bool:
+    """Whether ASCII digits say 255 or less, however many of them there are."""
+    part = part.lstrip("0")
+    return len(part) < 3 or len(part) == 3 and part <= "255"
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
-    """(kind, start, end) of the fixed patterns: leftmost, not overlapping, for each kind."""
+    """(kind, start, end) of the fixed patterns: leftmost, not overlapping, for each kind.
+
+    In linear time: an email is looked for at each @ once, an ip takes four parts of a dotted run at a time, and cards and
+    phones are tried once in a run of their characters.
+    """
     out = []
     at = text.find("@")
     while at >= 0:  # matches lie inside runs of their characters
@@ -94,18 +108,37 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
         while lo and _MAIL_RUN.match(text[lo - 1]):
             lo -= 1
         run = _MAIL_RUN.match(text, lo)
-        out += [("email", m.start(), m.end()) for m in EMAIL.finditer(text, lo, run.end())]
+        out += [("email", a, b) for a, b in emails(text, lo, run.end())]
         at = text.find("@", run.end())
     for run in _NUMBER_RUN.finditer(text):
         a, b = run.span()
         if b - a < 7:
             continue
-        out += [("ip", m.start(), m.end()) for m in IP.finditer(text, a, b) if all(int(x) <= 255 for x in m[0].split("."))]
+        for dotted in _DOTTED.finditer(text, a, b):
+            parts, at = dotted[0].split("."), dotted.start()
+            for k in range(0, len(parts) - 3, 4):
+                stop = at + sum(map(len, parts[k : k + 4])) + 3
+                if all(map(small, parts[k : k + 4])):
+                    out.append(("ip", at, stop))
+                at = stop + 1
         for m in CARD.finditer(text, a, b):
-            digits = [int(c) for c in m[0] if c.isdigit()]
+            digits = [int(c) for c in m[0] if c not in " -"] if m.end() - m.start() < 40 else []
             if 12 <= len(digits) <= 19 and luhn(digits):
                 out.append(("card", m.start(), m.end()))
-        out += [("phone", m.start(), m.end()) for m in PHONE.finditer(text, a, b) if 9 <= sum(c.isdigit() for c in m[0]) <= 15]
+        out += [("phone", *m.span()) for m in PHONE.finditer(text, a, b) if 9 <= sum("0" <= c <= "9" for c in m[0]) <= 15]
+    return out
+
+
+def emails(text: str, lo: int, hi: int) -> list[tuple[int, int]]:
+    """Start and end of the emails in a run of their characters: all that is free before an @, if a domain follows it."""
+    out, free = [], lo
+    at = text.find("@", lo, hi)
+    while at >= 0:
+        found = _DOMAIN.match(text, at + 1, hi) if at > free else None
+        if found:
+            out.append((free, found.end()))
+        free = found.end() if found else at + 1
+        at = text.find("@", at + 1, hi)
     return out
 
 
@@ -116,15 +149,15 @@ def luhn(digits: list[int]) -> bool:
 
 def shape(word: str) -> str:
     """Each run of digits as 9 and its length, of letters as x, marks as they are; long runs are bounded."""
-    return re.sub(r"[0-9]+|[^\W\d_]+", lambda m: f"9{min(len(m[0]), 17)}" if m[0][0].isdigit() else "x", word)[:24]
+    return re.sub(r"[0-9]+|[^\W\d_]+", lambda m: f"9{min(len(m[0]), 17)}" if m[0][0] in _DIGITS else "x", word)[:24]
 
 
 def word_features(word: str) -> list[str]:
     core = word.strip(_TRIM_LEFT + _TRIM_RIGHT)
-    digits = sum(c.isdigit() for c in core)
+    digits = sum(c in _DIGITS for c in core)
     letters = any(c.isalpha() for c in core)
     parts = core.split(".")
-    quad = len(parts) == 4 and all(p.isdigit() and int(p) <= 255 for p in (*parts[:3], parts[3].split(":")[0]))
+    quad = len(parts) == 4 and all(p and _DIGITS.issuperset(p) and small(p) for p in (*parts[:3], parts[3].split(":")[0]))
     groups = [len(g) for g in re.findall(r"[0-9]+", core)]
     return [
         "shape=" + shape(core),
@@ -277,19 +310,22 @@ def chains_of(block: Block) -> list[tuple[int, np.ndarray]]:
     return [(int(row[a[0]]), at[a]) for a in np.split(np.arange(len(at)), cuts)]
 
 
-def field_spans(block: Block, field: Field) -> dict[int, list[tuple[str, int, int]]]:
-    """(kind, start, end) in code points that the field finds, by row."""
+def field_spans(block: Block, field: Field, points: np.ndarray) -> dict[int, list[tuple[str, int, int]]]:
+    """(kind, start, end) in code points that the field finds, by row; ``points``: those before each byte of the block."""
     chains = chains_of(block)
     if not chains:
         return {}
     words = [[block.word(i).decode() for i in at] for _, at in chains]
     order = np.argsort([len(w) for w in words], kind="stable")
     labels: list[np.ndarray] = [np.empty(0)] * len(words)
-    for k in range(0, len(order), 2048):
-        part = order[k : k + 2048]
-        for i, y in zip(part, field.decode([words[j] for j in part]), strict=True):
+    k = 0
+    while k < len(order):  # chains of like length, by their lengths in ascending order
+        stop = k + 1
+        while stop < len(order) and (stop + 1 - k) * len(words[order[stop]]) <= DECODE_WORDS:
+            stop += 1
+        for i, y in zip(order[k:stop], field.decode([words[j] for j in order[k:stop]]), strict=True):
             labels[i] = y
-    points = np.concatenate([[0], np.cumsum((block.data & 0xC0) != 0x80, dtype=np.int64)])
+        k = stop
     out: dict[int, list[tuple[str, int, int]]] = {}
     for (row, at), own, y in zip(chains, words, labels, strict=True):
         i = 0
@@ -316,8 +352,9 @@ def spans_of(column: pa.Array, field: Field) -> Iterator[tuple[int, int, list[tu
     rank = {k: i for i, k in enumerate(KINDS)}
     order = lambda s: (s[1], rank[s[0]], s[2])
     for block in blocks(column, "space", False):
-        found = field_spans(block, field)
         d = block.data
+        points = np.concatenate([[0], np.cumsum((d & 0xC0) != 0x80, dtype=np.int64)])
+        found = field_spans(block, field, points)
         sums = np.concatenate([[0], np.cumsum(((d >= 0x30) & (d <= 0x39)) | (d == 0x40), dtype=np.int64)])
         texts = column.slice(block.lo, block.hi - block.lo)
         sizes = np.concatenate([[0], np.cumsum([len(t.as_buffer()) if t.is_valid else 0 for t in texts])])
@@ -325,7 +362,7 @@ def spans_of(column: pa.Array, field: Field) -> Iterator[tuple[int, int, list[tu
         rows: list[tuple[list, list]] = [([], [])] * (block.hi - block.lo)
         for i in asked.tolist():
             text = texts[i].as_py()
-            first = int(np.count_nonzero((d[: sizes[i]] & 0xC0) != 0x80)) if i in found else 0
+            first = int(points[sizes[i]])
             base = sorted(base_spans(text), key=order)
             more = [(k, a - first, b - first) for k, a, b in found.get(i, [])]
             more = [s for s in more if all(s[2] <= a or b <= s[1] for _, a, b in base)]
@@ -349,7 +386,7 @@ def personal_data(documents: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     kind = documents.schema[id_col].dataType.simpleString()
     spans = "array<struct<kind:string,start:long,stop:long>>"
-    return bounded_batches(documents).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(scan, f"id {kind}, base {spans}, spans {spans}")
+    return documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(scan, f"id {kind}, base {spans}, spans {spans}")
 
 
 def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -375,4 +412,4 @@ def redacted(documents: DataFrame, *, text_col: str = "text") -> DataFrame:
                 columns = [pa.array(texts, own.column(at).type) if k == at else c for k, c in enumerate(own.columns)]
                 yield pa.RecordBatch.from_arrays(columns, schema=own.schema)
 
-    return bounded_batches(documents).mapInArrow(scan, documents.schema)
+    return documents.mapInArrow(scan, documents.schema)
