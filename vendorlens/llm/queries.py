@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vendorlens.llm import decontamination, html_text, near_dedup, packing, pii, substring_dedup, token_tables, topk, toxicity, url_filter
-from vendorlens.llm.common import table
+from vendorlens.llm.common import small_batches, table
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,9 +32,9 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     summary, cut = substring_dedup.repeated_passages(table(spark, sf_dir, "documents"), width=50)
-    cut = cut.select(F.col("id").alias("cut_id"), "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("cut_sha"))
+    cut = cut.select(F.col("id").alias("cut_id"), F.col("t").alias("cut_t"), "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("cut_sha"))
     copy = F.col("first").isNotNull()
-    return summary.join(cut, F.col("id") == F.col("cut_id"), "left").select(
+    return summary.join(cut, (F.col("id") == F.col("cut_id")) & (F.col("t") == F.col("cut_t")), "left").select(
         F.col("id").alias("doc_id"),
         "n_words",
         F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
@@ -84,17 +86,31 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def _limited(query):
+    """The query in a session that sends small batches to Python."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 QUERIES = {
-    "op9_html_extraction": op9_html_extraction,
-    "op2_exact_topk": op2_exact_topk,
-    "op3_url_filter": op3_url_filter,
-    "op8_toxicity": op8_toxicity,
-    "op10_pii": op10_pii,
-    "op5_token_sstables": op5_token_sstables,
-    "op7_packing": op7_packing,
-    "op6_substring_dedup": op6_substring_dedup,
-    "op4_minhash_near_dedup": op4_minhash_near_dedup,
-    "op1_benchmark_decontamination": op1_benchmark_decontamination,
+    f.__name__: _limited(f)
+    for f in (
+        op9_html_extraction,
+        op2_exact_topk,
+        op3_url_filter,
+        op8_toxicity,
+        op10_pii,
+        op5_token_sstables,
+        op7_packing,
+        op6_substring_dedup,
+        op4_minhash_near_dedup,
+        op1_benchmark_decontamination,
+    )
 }
 
 ORACLE_SQL = {
@@ -114,14 +130,32 @@ ORACLE_SQL = {
             VALUES ('com/en/', 'block'), ('example.com/en/7', 'allow'), ('net/de/', 'allow'), ('example.net/de/8', 'block'), ('org/es/', 'block')
         ), r AS (SELECT rule, verdict, regexp_extract(rule, '^([^/]*)', 1) AS rule_host, regexp_extract(rule, '^[^/]*(.*)$', 1) AS rule_path FROM rules),
         tags AS (
-            SELECT url AS u, regexp_extract(t, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS t
-            FROM (SELECT url, unnest(regexp_extract_all(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>')) AS t FROM pages)
+            SELECT url AS u, regexp_extract(t, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS t
+            FROM (SELECT url, unnest(regexp_extract_all(html, '(?is)<link\b[^>]*>')) AS t FROM pages)
+            WHERE regexp_matches(t, '(?is)\srel\s*=\s*(?:"(?:[^">]*\s)?canonical(?:\s[^">]*)?"|''(?:[^''>]*\s)?canonical(?:\s[^''>]*)?''|canonical[\s/>])')
             UNION ALL
-            SELECT url, regexp_extract(t, '(?i)\burl\s*=\s*["'']?([^"''\s>;]+)', 1)
+            SELECT url, regexp_extract(t, '(?is)\burl\s*=\s*["'']?((?:[^"''\s>;&]|&#?\w+;|&)+)', 1)
             FROM (SELECT url, unnest(regexp_extract_all(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>')) AS t FROM pages)
+        ), plain AS (
+            SELECT u, replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS t FROM tags WHERE t <> ''
+        ), based AS (
+            SELECT row_number() OVER () AS k, u, t, regexp_extract(u, '(?s)^(.*?://[^/?#]*)', 1) AS base,
+                   CASE WHEN regexp_extract(u, '(?s)^.*?://[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(u, '(?s)^.*?://[^/?#]*([^?#]*)', 1) END AS own,
+                   regexp_extract(t, '(?s)^([^?#]*)', 1) AS path, substring(t, length(regexp_extract(t, '(?s)^([^?#]*)', 1)) + 1) AS rest,
+                   CASE WHEN NOT contains(coalesce(u, ''), '://') THEN CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN 'whole' END
+                        WHEN t LIKE '//%' THEN 'host' WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN 'whole'
+                        WHEN t LIKE '#%' OR regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+                        WHEN t LIKE '?%' THEN 'query' WHEN t LIKE '/%' THEN 'root' ELSE 'folder' END AS kind
+            FROM plain
+        ), dots AS (
+            SELECT k, CASE kind WHEN 'root' THEN path ELSE regexp_replace(own, '[^/]*$', '') || path END AS i, '' AS o FROM based WHERE kind IN ('root', 'folder')
+            UNION ALL
+            SELECT k, substring(i, length(seg) + 2), CASE seg WHEN '..' THEN regexp_replace(o, '/[^/]*$', '') WHEN '.' THEN o ELSE o || '/' || seg END
+                   || CASE WHEN seg IN ('.', '..') AND length(i) = length(seg) + 1 THEN '/' ELSE '' END
+            FROM (SELECT k, i, o, regexp_extract(i, '(?s)^/([^/]*)', 1) AS seg FROM dots WHERE i <> '')
         ), whole AS (
-            SELECT u, CASE WHEN t LIKE '//%' THEN regexp_extract(u, '^(.*?):', 1) || ':' || t WHEN t LIKE '/%' THEN regexp_extract(u, '^(.*?://[^/?#]*)', 1) || t WHEN contains(t, '://') THEN t END AS t
-            FROM (SELECT u, replace(t, '&amp;', '&') AS t FROM tags WHERE t <> '')
+            SELECT u, CASE kind WHEN 'host' THEN regexp_extract(u, '(?s)^(.*?):', 1) || ':' || t WHEN 'whole' THEN t WHEN 'query' THEN base || own || t ELSE base || dots.o || rest END AS t
+            FROM based LEFT JOIN dots ON dots.k = based.k AND dots.i = '' WHERE kind IS NOT NULL
         ), urls AS (SELECT url FROM pages UNION SELECT t FROM whole),
         parts AS MATERIALIZED (
             SELECT url, CASE WHEN contains(url, '://') THEN translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
