@@ -1,20 +1,21 @@
-"""Token ids in sorted-string-table shards: write, read back, and look up one document.
+"""Token ids in sorted-string-table shards: write, read back, and look up documents.
 
-A shard is a binary file with the documents of one range of ids in ascending order:
+A shard has the documents of one range of ids in ascending order:
 
     blocks      entries (shared, rest of the key, key suffix, value), compressed by zlib
-    index       for each block: its first and last key, place and length
+    index       for each block: its first and last key and its number of ids
     filter      a Bloom filter of all keys
-    footer      48 bytes: places and lengths of index and filter, entries, ids, magic
+    footer      40 bytes: place of index and filter, entries, ids, magic
 
 A key is the document's number as 20 digits (sign and 19), so keys sort as the numbers do, and
 each key holds only what differs from the one before. A value is the number of ids and the ids
 as little-endian integers, 16 bits wide where the block's ids allow it. A lookup reads the
-footer, asks the filter, searches the index by halves and reads one block.
+tails (index, filter, footer) of the shards in range, asks the filter, searches the index by halves and reads one block.
 
-Spark writes the shards: the documents are range-partitioned by id, each task makes its files
-as rows of bytes, and they go to the shared folder as binary columns of a Parquet table, one row
-for each file, so any store that Spark writes to will do and a lost task is simply run again.
+Spark writes the shards: the documents are range-partitioned by id, and each task puts its shards, one after the
+other, into a file of the shared folder, a record for each block and one for the tail. The file is Parquet as a container,
+so any store that Spark writes to will do and a lost task is simply run again; its pages are a few records
+long, so that a filter on shard and block skips the bytes of all other blocks.
 """
 
 from __future__ import annotations
@@ -22,14 +23,14 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vendorlens.llm.common import bounded_batches, partitions_for, saved
+from vendorlens.llm.common import partitions_for, saved
 from vendorlens.llm.tokens import binaries, encoded
 
 #: Uncompressed bytes of a block, and ids of a shard; a longer document is a block of its own.
@@ -37,8 +38,14 @@ BLOCK_BYTES = 256 << 10
 SHARD_IDS = 4_000_000
 BITS_PER_KEY = 10
 HASHES = 7
-MAGIC = b"TOKSST01"
-FOOTER = struct.Struct("<QQQQQ8s")
+MAGIC = b"TOKSST02"
+FOOTER = struct.Struct("<QQQQ8s")
+ENTRY = struct.Struct("<20s20sQ")
+
+#: A record of a shard: a block, or (block -1) the tail. ``before``: ids of the shard's earlier blocks.
+RECORDS = "shard long, block int, first_id long, last_id long, n_docs long, n_ids long, before long, data binary"
+#: Records of a page of the container, and bytes of its row groups.
+PAGES = {"parquet.page.row.count.limit": "2", "parquet.page.size": "262144", "parquet.block.size": str(16 << 20), "compression": "none"}
 
 
 def key_of(doc_id: int) -> bytes:
@@ -76,177 +83,148 @@ def _bits(key: bytes, size: int) -> Iterator[int]:
 
 
 class ShardWriter:
-    """Builds one shard in memory (at most SHARD_IDS ids and one document more)."""
+    """Builds one shard, block by block."""
 
     def __init__(self):
-        self.out, self.index, self.keys = bytearray(), [], []
+        self.index: list[tuple[bytes, bytes, int]] = []
+        self.keys: list[bytes] = []
         self.block: list[tuple[bytes, np.ndarray]] = []
         self.size = self.ids = 0
 
-    def add(self, doc_id: int, ids: np.ndarray) -> None:
-        """Keys must not descend; equal keys stay in the order they came."""
-        if self.size and self.size + 4 * len(ids) > BLOCK_BYTES:
-            self._flush()
+    def add(self, doc_id: int, ids: np.ndarray) -> dict | None:
+        """Keys must not descend; equal keys stay in the order they came. Returns the block before, if it is full."""
+        full = self.flush() if self.size and self.size + 4 * len(ids) > BLOCK_BYTES else None
         self.block.append((key_of(doc_id), ids))
         self.size += 4 * len(ids) + 24
-        self.ids += len(ids)
+        return full
 
-    def _flush(self) -> None:
+    def flush(self) -> dict | None:
+        """The record of the open block."""
         if not self.block:
-            return
+            return None
         wide = max((int(x.max()) for _, x in self.block if len(x)), default=0) > 0xFFFF
-        raw, last = bytearray([wide]), b""
+        raw, last, n = bytearray([wide]), b"", 0
         for key, ids in self.block:
             same = next((i for i, (a, b) in enumerate(zip(key, last)) if a != b), min(len(key), len(last)))
             raw += varint(same) + varint(len(key) - same) + key[same:] + varint(len(ids)) + ids.astype("<u4" if wide else "<u2").tobytes()
-            last = key
+            last, n = key, n + len(ids)
             self.keys.append(key)
-        packed = zlib.compress(bytes(raw), 1)
-        self.index.append((self.block[0][0], self.block[-1][0], len(self.out), len(packed)))
-        self.out += packed
+        first = self.block[0][0]
+        out = {"block": len(self.index), "first_id": id_of(first), "last_id": id_of(last), "n_docs": len(self.block), "n_ids": n, "before": self.ids, "data": zlib.compress(bytes(raw), 1)}
+        self.index.append((first, last, n))
+        self.ids += n
         self.block, self.size = [], 0
+        return out
 
-    def finish(self) -> bytes:
-        self._flush()
-        index = b"".join(a + b + struct.pack("<QQ", at, n) for a, b, at, n in self.index)
+    def tail(self) -> dict | None:
+        """The record of index, filter and footer, after the last flush; None for a shard without documents."""
+        if not self.index:
+            return None
+        index = b"".join(ENTRY.pack(*x) for x in self.index)
         bits = max(64, BITS_PER_KEY * len(self.keys))
         bloom = bytearray((bits + 7) // 8)
         for key in self.keys:
             for b in _bits(key, bits):
                 bloom[b >> 3] |= 1 << (b & 7)
-        head = len(self.out)
-        filter_ = struct.pack("<Q", bits) + bytes(bloom)
-        return bytes(self.out) + index + filter_ + FOOTER.pack(head, len(index), head + len(index), len(self.keys), self.ids, MAGIC)
-
+        data = index + struct.pack("<Q", bits) + bytes(bloom) + FOOTER.pack(0, len(index), len(self.keys), self.ids, MAGIC)
+        return {"block": -1, "first_id": id_of(self.index[0][0]), "last_id": id_of(self.index[-1][1]), "n_docs": len(self.keys), "n_ids": self.ids, "before": 0, "data": data}
 
-@dataclass
-class Shard:
-    """A shard as it is read back."""
 
-    data: bytes
+class Tail:
+    """A shard's index and filter as they are read back."""
 
-    def __post_init__(self):
-        self.at, self.n, self.filter, self.entries, self.ids, magic = FOOTER.unpack(self.data[-FOOTER.size :])
+    def __init__(self, data: bytes):
+        self.data = data
+        self.at, self.filter, self.entries, self.ids, magic = FOOTER.unpack(data[-FOOTER.size :])
         if magic != MAGIC:
-            raise ValueError("not a token shard")
-        self.bits = struct.unpack_from("<Q", self.data, self.filter)[0]
-
-    def _entry(self, i: int) -> tuple[bytes, bytes, int, int]:
-        at = self.at + 56 * i
-        return self.data[at : at + 20], self.data[at + 20 : at + 40], *struct.unpack_from("<QQ", self.data, at + 40)
-
-    def _block(self, at: int, n: int) -> Iterator[tuple[bytes, np.ndarray]]:
-        raw = zlib.decompress(self.data[at : at + n])
-        width, last, at = (4, b"", 1) if raw[0] else (2, b"", 1)
-        while at < len(raw):
-            same, at = read_varint(raw, at)
-            rest, at = read_varint(raw, at)
-            last = last[:same] + raw[at : at + rest]
-            count, at = read_varint(raw, at + rest)
-            yield last, np.frombuffer(raw, f"<u{width}", count, at).astype("<u4")
-            at += width * count
-
-    def __iter__(self) -> Iterator[tuple[int, np.ndarray]]:
-        """(doc_id, ids) in the order of the file."""
-        for i in range(self.n // 56):
-            for key, ids in self._block(*self._entry(i)[2:]):
-                yield id_of(key), ids
+            raise ValueError("not the tail of a token shard")
+        self.blocks = (self.filter - self.at) // ENTRY.size
+        self.bits = struct.unpack_from("<Q", data, self.filter)[0]
 
     def may_hold(self, doc_id: int) -> bool:
         bloom = self.filter + 8
         return all(self.data[bloom + (b >> 3)] >> (b & 7) & 1 for b in _bits(key_of(doc_id), self.bits))
 
-    def get(self, doc_id: int) -> np.ndarray | None:
-        """The ids of a document (of the first, if several have its id), or None."""
+    def block_of(self, doc_id: int) -> int | None:
+        """The only block that can hold a document (the first, if rows that share its id fill several)."""
         if not self.may_hold(doc_id):
             return None
-        key, lo, hi = key_of(doc_id), 0, self.n // 56
+        key, lo, hi = key_of(doc_id), 0, self.blocks
         while lo < hi:  # the first block whose last key is not below
             mid = (lo + hi) // 2
-            lo, hi = (mid + 1, hi) if self._entry(mid)[1] < key else (lo, mid)
-        if lo < self.n // 56:
-            for found, ids in self._block(*self._entry(lo)[2:]):
-                if found == key:
-                    return ids
-        return None
+            lo, hi = (mid + 1, hi) if ENTRY.unpack_from(self.data, self.at + ENTRY.size * mid)[1] < key else (lo, mid)
+        return lo if lo < self.blocks and ENTRY.unpack_from(self.data, self.at + ENTRY.size * lo)[0] <= key else None
+
+
+def entries(data: bytes) -> Iterator[tuple[int, np.ndarray]]:
+    """(doc_id, ids) of a block, in order."""
+    raw = zlib.decompress(data)
+    width, last, at = (4, b"", 1) if raw[0] else (2, b"", 1)
+    while at < len(raw):
+        same, at = read_varint(raw, at)
+        rest, at = read_varint(raw, at)
+        last = last[:same] + raw[at : at + rest]
+        count, at = read_varint(raw, at + rest)
+        yield id_of(last), np.frombuffer(raw, f"<u{width}", count, at).astype("<u4")
+        at += width * count
+
+
+_RECORD = pa.schema([("shard", pa.int64()), ("block", pa.int32()), *((n, pa.int64()) for n in ("first_id", "last_id", "n_docs", "n_ids", "before")), ("data", pa.binary())])
 
 
 def _written(path: str, end_id: int):
-    """One row for each shard: first and last id, entries, ids, bytes. Rows (id, text) in order of id."""
+    """The records of a task's shards. Rows (id, text) in order of id."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, first, last = ShardWriter(), None, None
-
-        def done() -> pa.RecordBatch:
-            data = shard.finish()
-            values = [first, last, len(shard.keys), shard.ids, data]
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["first_id", "last_id", "n_docs", "n_ids", "data"])
+        number, shard = TaskContext.get().partitionId() << 32, ShardWriter()
+        record = lambda x: pa.RecordBatch.from_pylist([{"shard": number} | x], schema=_RECORD)
 
         for batch in batches:
             docs = batch.column(0).to_pylist()
             for lo, hi, ids, offsets in encoded(batch.column(1), path, end_id):
                 for i in range(lo, hi):
                     if shard.ids >= SHARD_IDS:
-                        yield done()
-                        shard, first = ShardWriter(), None
-                    first, last = (docs[i] if first is None else first), docs[i]
-                    shard.add(docs[i], ids[offsets[i - lo] : offsets[i - lo + 1]])
-        if first is not None:
-            yield done()
+                        yield from (record(x) for x in (shard.flush(), shard.tail()) if x)
+                        number, shard = number + 1, ShardWriter()
+                    if full := shard.add(docs[i], ids[offsets[i - lo] : offsets[i - lo + 1]]):
+                        yield record(full)
+        yield from (record(x) for x in (shard.flush(), shard.tail()) if x)
 
     return scan
 
 
 def write_tables(documents: DataFrame, tokenizer_path: str, end_id: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write the shards of all documents and return them as a table: first_id, last_id, n_docs,
-    n_ids, data (the file), shard (its number, in order). Order of shards and of documents in them: ascending id.
+    """Write the shards of all documents and return their records (RECORDS) as they are read back. Order of shards, of blocks
+    in them and of documents in these: ascending id.
 
     Defined cases: a null or empty text has only the end id; rows that share an id follow each
     other by their text; rows with a null id have no key and are left out; no documents, no shard.
     """
-    source = bounded_batches(documents).where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    ordered = source.repartitionByRange(partitions_for(documents, 24), "id").sortWithinPartitions("id", "text")
-    shards = ordered.mapInArrow(_written(tokenizer_path, end_id), "first_id long, last_id long, n_docs long, n_ids long, data binary")
-    # ascends with the ranges, so shards that hold rows of one id are in order too
-    return saved(shards.withColumn("shard", F.monotonically_increasing_id()), "token-shards")
+    source = documents.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    # the text's hash lets the ranges split an id that very many rows share
+    ordered = source.repartitionByRange(partitions_for(documents, 24), "id", F.xxhash64("text")).sortWithinPartitions("id", F.xxhash64("text"), "text")
+    return saved(ordered.mapInArrow(_written(tokenizer_path, end_id), RECORDS), "token-shards", **PAGES)
 
 
 def read_tables(shards: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of every document in the shards; start counts the ids of all before it,
     ids are little-endian 32-bit integers."""
-    # ids before each shard: shards are few (one for SHARD_IDS ids), so they are summed up by range
-    before = _running(shards.select("shard", "n_ids"))
+    # shards are few (one for SHARD_IDS ids), and a block knows its place in its shard
+    before = _running(shards.where("block = -1").select("shard", "n_ids"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                docs, ids, sizes = [], [], [0]
-
-                def rows() -> pa.RecordBatch:
-                    offsets = np.cumsum(sizes)
-                    n = np.diff(offsets)
-                    return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(start + offsets[:-1]), pa.array(n), binaries(np.concatenate(ids), offsets)], names=["doc_id", "start", "n_tokens", "ids"])  # noqa: B023
-
-                held = 0
-                for doc, own in Shard(data):
-                    docs.append(doc)
-                    ids.append(own)
-                    sizes.append(len(own))
-                    held += len(own)
-                    if held > 1_000_000:
-                        yield rows()
-                        start, docs, ids, sizes, held = start + held, [], [], [0], 0
-                if docs:
-                    yield rows()
-
-    joined = shards.join(before, "shard").select("start", "data")
+                docs, ids = zip(*entries(data), strict=True)
+                offsets = np.cumsum([0, *map(len, ids)])
+                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(start + offsets[:-1]), pa.array(np.diff(offsets)), binaries(np.concatenate(ids), offsets)], names=["doc_id", "start", "n_tokens", "ids"])
+
+    joined = shards.where("block >= 0").join(before, "shard").select((F.col("start") + F.col("before")).alias("start"), "data")
     return joined.mapInArrow(scan, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def _running(keys: DataFrame) -> DataFrame:
     """The ids before each shard, from sums per range of shards and sums within a range."""
-    from pyspark.sql import Window
-
     parts = keys.repartitionByRange(8, "shard").withColumn("part", F.spark_partition_id())
     parts = saved(parts, "token-shard-keys")
     total = parts.groupBy("part").agg(F.sum("n_ids").alias("n"))
@@ -256,17 +234,34 @@ def _running(keys: DataFrame) -> DataFrame:
 
 
 def lookup(shards: DataFrame, doc_ids: list[int]) -> DataFrame:
-    """(doc_id, ids as an array) of the asked documents: ranges first, then filter, index and block."""
-    wanted = sorted(set(doc_ids))
+    """(doc_id, ids as an array) of the asked documents, once for each id: the tails of the shards in range say which blocks
+    can hold them, and only those are read."""
+    wanted = np.unique(np.array(list(doc_ids), np.int64))
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for number, first, last, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own, tail = wanted[np.searchsorted(wanted, first) : np.searchsorted(wanted, last, "right")].tolist(), Tail(data)
+                found += [{"shard": number, "block": b, "doc_id": d} for d in own if (b := tail.block_of(d)) is not None]
+            yield pa.RecordBatch.from_pylist(found, schema=pa.schema([("shard", pa.int64()), ("block", pa.int32()), ("doc_id", pa.int64())]))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                shard = Shard(data)
-                found = [(d, x) for d in wanted if first <= d <= last and (x := shard.get(d)) is not None]
-                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.int64()), pa.array([x.tolist() for _, x in found], pa.list_(pa.int64()))], names=["doc_id", "ids"])
-
-    near = F.lit(False)
-    for d in wanted:
-        near = near | (F.col("first_id") <= d) & (F.col("last_id") >= d)
-    return shards.where(near).select("first_id", "last_id", "data").mapInArrow(scan, "doc_id long, ids array<long>")
+            for asked, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held: dict[int, np.ndarray] = {}
+                for doc, ids in entries(data):
+                    if doc in asked:
+                        held.setdefault(doc, ids)
+                yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([x.tolist() for x in held.values()], pa.list_(pa.int64()))], names=["doc_id", "ids"])
+
+    near = shards.where("block = -1")
+    if len(wanted):
+        near = near.where((F.col("first_id") <= int(wanted[-1])) & (F.col("last_id") >= int(wanted[0])))
+    places = saved(near.select("shard", "first_id", "last_id", "data").mapInArrow(tails, "shard long, block int, doc_id long"), "token-places")
+    # rows that share an id may fill the end of one shard and the start of others: the first is meant
+    first = places.groupBy("doc_id").agg(F.min(F.struct("shard", "block")).alias("x")).select("doc_id", "x.shard", "x.block")
+    asked = first.groupBy("shard", "block").agg(F.collect_list("doc_id").alias("asked"))
+    bounds = first.agg(*(f(c).alias(f"{n}_{c}") for c in ("shard", "block") for n, f in (("lo", F.min), ("hi", F.max)))).first()
+    inside = F.lit(False) if bounds.lo_shard is None else F.col("shard").between(bounds.lo_shard, bounds.hi_shard) & F.col("block").between(bounds.lo_block, bounds.hi_block)
+    return shards.where(inside).join(asked, ["shard", "block"]).select("asked", "data").mapInArrow(read, "doc_id long, ids array<long>")

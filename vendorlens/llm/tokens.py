@@ -4,7 +4,8 @@ A tokenizer that splits at white space gives a piece of text the same ids wherev
 if the piece runs from one end of a non-white run to the next. So each block of texts is cut
 there, each distinct piece is encoded once by the library and kept by a
 64-bit hash (400,000 pieces at most and one block more, so a clash has a chance of 1 in 100 million a store), and
-the ids are gathered by position. Texts with white space other than blanks and line feeds are encoded whole.
+the ids are gathered by position. Texts with white space other than blanks and line feeds are encoded whole,
+and so are texts that hold the string of a special token, which the library takes for that token.
 """
 
 from __future__ import annotations
@@ -35,7 +36,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Strings that the library takes out of a text before all else.
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.spaced = self.tokenizer.normalizer is None
         self._clear()
 
@@ -82,6 +84,9 @@ class Encoder:
         data = block.data if self.spaced else lower_bytes(block.data)
         source = Block(block.lo, block.hi, data, block.starts, block.ends, block.first)
         odd = [i for i in self._suspects(block, texts) if _ODD_SPACE.search(texts[i] or "")]
+        raw = lower_bytes(block.data).tobytes()
+        if held := [x for x in self.special if x.lower().encode() in raw]:
+            odd = sorted({*odd, *(i for i, t in enumerate(texts) if t and any(x.lower() in t.lower() for x in held))})
         starts, ends, row = self._pieces(source, texts)
         if odd:
             keep = ~np.isin(row, odd)
