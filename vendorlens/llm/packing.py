@@ -1,6 +1,7 @@
 """Packing token ids into sequences: first-fit decreasing with a tournament tree of bin capacities.
 
-Pieces of documents are dealt to groups at random (a seeded hash), each group packed by itself.
+Pieces of documents are dealt to groups at random (a seeded hash of a piece's document, place, ids and, among equal
+pieces of a task, number), each group packed by itself; groups are as even as the hash and go to tasks in turn.
 A document is cut into full sequences and a rest; the pieces of a group come in descending
 length and each goes to the first bin with room, found by walking down a tournament tree whose
 inner nodes hold the largest room below. Full pieces fill a bin each. A piece's place is final
@@ -9,6 +10,7 @@ when it arrives, so a task holds bins, not ids, and its memory doesn't depend on
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vendorlens.llm.common import bounded_batches, partitions_for
+from vendorlens.llm.common import partitions_for
 from vendorlens.llm.tokens import binaries, encoded
 
 LENGTH = 2048
-#: Documents of a group, on average. Each group leaves a few bins with room.
-GROUP_DOCUMENTS = 8192
+#: Documents and bytes of text of a group, on average, at most. Each group leaves a few bins with room.
+GROUP_DOCUMENTS, GROUP_BYTES = 8192, 4 << 20
 #: Sequence ids of a group start at group * GROUP_SPAN.
 GROUP_SPAN = 1 << 40
 
@@ -72,10 +74,12 @@ class TournamentTree:
 
 
 def _cut(path: str, end_id: int, length: int):
-    """(id, start, length, ids, doc_tokens) of the pieces of rows (id, text)."""
+    """(id, start, length, ids, doc_tokens, copy) of the pieces of rows (id, text); ``copy`` numbers equal pieces of a task."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, int] = {}
         for batch in batches:
+            owners = batch.column(0).to_pylist()
             for lo, hi, ids, offsets in encoded(batch.column(1), path, end_id):
                 n = np.diff(offsets)
                 pieces = -(-n // length)
@@ -83,7 +87,12 @@ def _cut(path: str, end_id: int, length: int):
                 start = (np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * length
                 size = np.minimum(length, n[doc] - start)
                 cuts = np.append(offsets[:-1][doc] + start, offsets[-1])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc + lo)), pa.array(start), pa.array(size), binaries(ids, cuts), pa.array(n[doc])], names=["id", "start", "length", "ids", "doc_tokens"])
+                own, copy = binaries(ids, cuts), []
+                for d, at, x in zip(doc.tolist(), start.tolist(), own, strict=True):
+                    key = hash((owners[lo + d], at, zlib.crc32(x.as_buffer())))
+                    copy.append(seen.get(key, 0))
+                    seen[key] = copy[-1] + 1
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc + lo)), pa.array(start), pa.array(size), own, pa.array(n[doc]), pa.array(copy, pa.int64())], names=["id", "start", "length", "ids", "doc_tokens", "copy"])
 
     return scan
 
@@ -111,17 +120,18 @@ def _packed(length: int):
     return scan
 
 
-def packed(documents: DataFrame, tokenizer_path: str, end_id: int, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, group_documents: int = GROUP_DOCUMENTS, seed: int = 17) -> DataFrame:
+def packed(documents: DataFrame, tokenizer_path: str, end_id: int, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, group_documents: int = GROUP_DOCUMENTS, group_bytes: int = GROUP_BYTES, seed: int = 17) -> DataFrame:
     """The pieces of all documents (PIECES): which ids of which document lie where in which sequence.
 
     ``ids`` are little-endian 32-bit integers. Defined cases: a null or empty text is a piece
     with the end id alone; a null id is packed like any other; rows that share an id are packed
-    each by itself; no documents, no sequences; other columns are not read.
+    each by itself, and rows that are equal are spread like others; no documents, no sequences; other columns are not read.
     """
-    source = bounded_batches(documents).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    groups = max(1, -(-source.count() // group_documents))
-    pieces = source.mapInArrow(_cut(tokenizer_path, end_id, length), "id long, start long, length long, ids binary, doc_tokens long")
+    source = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    size = source.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    groups = max(1, -(-size.rows // group_documents), -(-size.bytes // group_bytes))
+    pieces = source.mapInArrow(_cut(tokenizer_path, end_id, length), "id long, start long, length long, ids binary, doc_tokens long, copy long")
     # each piece goes to a group by itself, so a very long document is spread over all groups
-    group = F.pmod(F.xxhash64(F.lit(seed), "id", "start"), F.lit(groups))
-    dealt = pieces.select(group.alias("group"), "*").repartition(partitions_for(documents, 12), "group").sortWithinPartitions("group", F.desc("length"), "id", "start")
-    return dealt.mapInArrow(_packed(length), PIECES)
+    group = F.pmod(F.xxhash64(F.lit(seed), "id", "start", "ids", "copy"), F.lit(groups))
+    dealt = pieces.select(group.alias("group"), "id", "start", "length", "ids", "doc_tokens").repartitionById(min(groups, partitions_for(documents)), F.col("group").cast("int"))
+    return dealt.sortWithinPartitions("group", F.desc("length"), "id", "start").mapInArrow(_packed(length), PIECES)
