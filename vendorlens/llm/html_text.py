@@ -1,17 +1,22 @@
 """Main text of web pages by template deduction from equivalence classes.
 
-Pages of one host are compared. A token is a container tag with its path of containers (opening and
-closing apart). Its occurrence vector says how often it is on each page of the host; tokens with
-the same vector form an equivalence class. Classes that are large and frequent enough and nest
-in each other are the host's template; the places between their tokens are its slots, each with its
-mean text over the host's pages. What is main text is decided for each page by its own containers, so
-layouts of one host don't touch each other: the articles of the page or, without one, the
-innermost div (or body) that holds nearly all of its text that is not links, a slot counting with its
-mean or what it holds, if that is more, and other containers with what they hold. All that lies in it is main text, lists, tables and sections
-too, but for menus, headers, footers, side bars, notices, adverts, forms and comments by tag or name.
+Pages of one host are compared. Tokens are elements (containers, told apart by the path of containers that they
+are in; opening and closing are one token) and texts at a path. A token's occurrence vector says how often it is on each
+page of the host, and tokens with the same vector form an equivalence class. A class is valid if it is large and frequent
+enough, its elements follow the same sibling on every page (ordered), and all of them lie in one place of the
+class around them (nested). Valid classes, nested in each other, are the host's template. Texts that are the same on nearly all
+pages belong to it; the places between its elements are its slots, each with its mean text over the pages, without links
+and without what belongs to the template.
+
+A page is then judged by its slots: the main text is in the container that holds nearly all of their text, found by
+walking down from the root. Slots of links or of the template's own texts count nothing, a slot with little text on this page counts with its mean,
+and places of no valid class count with what they hold. Names have no say in that but
+for things that vary from page to page just as articles do: elements whose tag or name says menu, header, footer, side bar,
+notice, advert, form or comment are left out, and where no container holds nearly all text, elements
+named as articles are taken.
 
 Vectors are never gathered: each is a sum of hashes of (page, count), summed up before the
-shuffle, so a host with a third of all pages is no heavier than others.
+shuffle, so a host with a third of all pages is no heavier than others. Paths are 64-bit hashes of their elements.
 
 Defined cases: null or empty html has an empty text; pages without a host are one host (''); hosts
 with one page, and containers that are on too few pages for the template, are judged by the page alone;
@@ -21,7 +26,9 @@ names of html, body, article and main elements say nothing; repeated rows are ju
 from __future__ import annotations
 
 import re
-from collections.abc import Collection, Iterator, Mapping
+from collections import Counter
+from collections.abc import Iterator, Mapping
+from dataclasses import dataclass, field
 from functools import lru_cache
 from html import unescape
 
@@ -30,55 +37,74 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vendorlens.llm.common import bounded_batches, saved
+from vendorlens.llm.common import saved
 from vendorlens.llm.url_filter import host_of
 
 #: A class is valid if it has this many tokens and is on this many pages, or this share of the host's.
 LEAST_TOKENS, LEAST_PAGES, LEAST_SHARE = 2, 2, 0.01
-#: Without an article, what lies outside the main container has less than this share of the page's text.
+#: A text belongs to the template if it is on so many pages and on this share of those that have its path.
+FIXED_PAGES, FIXED_SHARE = 4, 0.8
+#: What lies outside the main container has less than this share of a page's text.
 SLOT_SHARE = 0.2
 
 CONTAINERS = frozenset("html body div main article section nav header footer aside form table ul ol dl figure details dialog template noscript iframe svg select menu fieldset".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Containers that can be a page's main one.
+WRAPPERS = frozenset(("html", "body", "div", "main", "article"))
 #: Their content is never text.
-RAW = ("script", "style", "title", "textarea", "noscript", "iframe", "svg", "template", "select", "object", "canvas")
-_DROPPED_TAGS = "nav|footer|aside|form|menu|noscript|iframe|svg|select|dialog|template|fieldset"
-_DROPPED_NAMES = (
-    "ad|ads|adv|advert|adverts|advertisement|banner|banners|sponsor|sponsored|promo|promotion|promotions|nav|navbar|navigation|menu|menus|topbar|toolbar|"
-    "header|masthead|footer|sidebar|side|aside|widget|widgets|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|"
-    "comment|comments|disqus|replies|respond|share|sharing|social|related|recommended|recommendations|newsletter|subscribe|subscription|signup|login|"
-    "search|form|breadcrumb|breadcrumbs|pagination|pager|tags|copyright|legal"
+RAW = frozenset(("script", "style", "title", "textarea", "noscript", "iframe", "svg", "template", "select", "object", "canvas"))
+_DROPPED_TAGS = frozenset("nav footer aside form menu noscript iframe svg select dialog template fieldset".split())
+#: An element with such a word in a class, id or role is no main text.
+_DROPPED_NAMES = frozenset(
+    "ad ads adv advert adverts advertisement banner banners sponsor sponsored promo promotion promotions nav navbar navigation menu menus topbar toolbar "
+    "header masthead footer sidebar side aside widget widgets cookie cookies consent gdpr notice notices alert popup modal overlay "
+    "comment comments disqus replies respond share sharing social related recommended recommendations newsletter subscribe subscription signup login "
+    "search form breadcrumb breadcrumbs pagination pager tags copyright legal".split()
 )
-#: Paths that are no main text: a dropped tag, or a name (of another element than html, body, article and main) that is or has
-#: such a word; a header only outside the article.
-_DROPPED = re.compile(rf"(?:^|/)(?:(?:{_DROPPED_TAGS})(?:[.]|/|$)|(?!(?:html|body|article|main)[.])[a-z]+[.](?:[^/]*[. _-])?(?:{_DROPPED_NAMES})(?:[. _-][^/]*)?(?=/|$))")
-_HEADER = re.compile(r"(?:^|/)header(?:[.]|/|$)")
-_ARTICLE = re.compile(r"(?:^|/)(?:article|main|div[.](?:[^/]*[. ])?(?:article|post|entry|content|story)(?:[-_ ]?(?:body|content|text))?(?:[. ][^/]*)?)(?=/|$)|(?:^|/)(?:article|main)[.]")
+_ARTICLE_NAME = re.compile(r"(?:article|post|entry|content|story)(?:[-_]?(?:body|content|text))?")
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*|[^<>]*)>|<[!?][^>]*>", re.S)
 _NAME = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _SPACE = re.compile(r"\s+")
 
 
-@lru_cache(1 << 14)
-def dropped(path: str) -> bool:
-    """Whether a container's path names something that is no main text."""
-    inside = _ARTICLE.search(path)
-    return bool(_DROPPED.search(path) or (_HEADER.search(path) and not (inside and _HEADER.search(path).start() > inside.start())))
+@dataclass(slots=True)
+class Place:
+    """A path of containers on a page."""
+
+    key: int  # a hash of the path
+    parent: int  # place of the path without its last element
+    tag: str
+    left_out: bool  # an element of the path is named as no main text
+    left_out_inside: bool  # one from the article on
+    article: bool  # the path is in an element named as an article
+    before: int = 0  # the sibling that it first follows on the page
+    count: int = 0
+    last: int = 0  # the child that was opened last
+
+
+@dataclass
+class Page:
+    places: list[Place]
+    blocks: list[tuple[int, str, bool]] = field(default_factory=list)  # (place, text, in a link)
 
 
 @lru_cache(1 << 14)
-def in_article(path: str) -> bool:
-    return bool(_ARTICLE.search(path))
+def named(tag: str, names: str) -> tuple[bool, bool]:
+    """(is no main text, is an article) by an element's tag and names."""
+    plain = tag in ("html", "body", "article", "main")
+    words = re.split(r"[\s._-]+", names)
+    article = tag in ("article", "main") or tag == "div" and any(_ARTICLE_NAME.fullmatch(n) for n in names.split())
+    return tag in _DROPPED_TAGS or not plain and not _DROPPED_NAMES.isdisjoint(words), article
 
 
-def parsed(html: str) -> tuple[list[tuple[str, bool]], list[tuple[str, str, bool]]]:
-    """(tags, blocks): container tags as (path, opening) and texts as (path of containers, text, in a link).
+def parsed(html: str) -> Page:
+    """The containers of a page and its texts, in order.
 
     A text is cut at tags that are not inline; character references are decoded, white space is as it was.
     """
-    tags: list[tuple[str, bool]] = []
-    blocks: list[tuple[str, str, bool]] = []
-    stack: list[tuple[str, str]] = []  # (tag, path)
+    page = Page([Place(0, -1, "", False, False, False)])
+    places, known = page.places, {0: 0}
+    stack, open_ = [0], Counter()
     held: list[str] = []
     link = False
     at, end = 0, len(html)
@@ -87,7 +113,7 @@ def parsed(html: str) -> tuple[list[tuple[str, bool]], list[tuple[str, str, bool
         if held:
             text = "".join(held)
             if text and not text.isspace():
-                blocks.append((stack[-1][1] if stack else "", text, link))
+                page.blocks.append((stack[-1], text, link))
             held.clear()
 
     while at < end:
@@ -110,121 +136,157 @@ def parsed(html: str) -> tuple[list[tuple[str, bool]], list[tuple[str, str, bool
             flush()
         elif tag in CONTAINERS:
             flush()
-            if closing:
-                depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-                if depth is not None:
-                    tags.append((stack[depth][1], False))
-                    del stack[depth:]
-            else:
-                names = " ".join(x for g in _NAME.findall(m[3]) for x in g if x).lower().replace("/", "_").split()
-                own = ".".join([tag, " ".join(names)]) if names else tag
-                path = f"{stack[-1][1]}/{own}" if stack else own
-                stack.append((tag, path))
-                tags.append((path, True))
+            if not closing:
+                names = " ".join(x for g in _NAME.findall(m[3]) for x in g if x).lower()
+                up = stack[-1]
+                above = places[up]
+                key = xxhash.xxh64_intdigest(f"{tag} {names}", seed=above.key & 0xFFFFFFFFFFFF) >> 1
+                if key not in known:
+                    out, article = named(tag, names)
+                    out = out or tag == "header" and not above.article
+                    inside = article or above.article
+                    known[key] = len(places)
+                    places.append(Place(key, up, tag, above.left_out or out, inside and (above.left_out_inside or out), inside, above.last if above.last != key else 0))
+                above.last = key
+                places[known[key]].count += 1
+                stack.append(known[key])
+                open_[tag] += 1
+            elif open_[tag]:
+                while True:
+                    gone = places[stack.pop()].tag
+                    open_[gone] -= 1
+                    if gone == tag:
+                        break
         elif tag not in INLINE:
             flush()
         elif tag == "a":
             link = not closing
     flush()
-    return tags, blocks
+    return page
+
+
+_STATS = pa.schema([("host", pa.string()), *((n, pa.int64()) for n in ("key", "parent", "text", "pages", "vector", "before_lo", "before_hi", "chars", "link_chars"))])
 
 
 def _page_stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of a batch by (host, token): pages, vector, characters, characters in links. Rows: id hash, host, html."""
+    """Sums of a batch by (host, path, text): for elements (text 0) and texts. Rows: id hash, host, html."""
     for batch in batches:
-        sums: dict[tuple[str, str], list[int]] = {}
+        sums: dict[tuple, list[int]] = {}
+
+        def add(token: tuple, seen: str, before: int, chars: int, links: int) -> None:
+            own = sums.setdefault(token, [0, 0, before, before, 0, 0])  # noqa: B023
+            own[0] += 1
+            own[1] = (own[1] + xxhash.xxh64_intdigest(seen)) & 0x7FFFFFFFFFFF
+            own[2], own[3] = min(own[2], before), max(own[3], before)
+            own[4] += chars
+            own[5] += links
+
         for page, host, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            tags, texts = parsed(html or "")
-            count: dict[str, int] = {}
-            for path, opening in tags:
-                token = ("<" if opening else ">") + path
-                count[token] = count.get(token, 0) + 1
-            chars: dict[str, list[int]] = {}
-            for path, text, link in texts:
-                own = chars.setdefault("<" + path, [0, 0])
-                own[0] += len(text)
-                own[1] += len(text) if link else 0
-            for token, n in count.items():
-                own = sums.setdefault((host, token), [0, 0, 0, 0])
-                own[0] += 1
-                own[1] = (own[1] + xxhash.xxh64_intdigest(f"{page}:{n}")) & 0x7FFFFFFFFFFF
-                own[2] += chars.get(token, (0, 0))[0]
-                own[3] += chars.get(token, (0, 0))[1]
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.string()), *(pa.array([v[i] for v in sums.values()], pa.int64()) for i in range(4))], names=["host", "token", "pages", "vector", "chars", "link_chars"])
+            own = parsed(html or "")
+            chars, texts = [[0, 0] for _ in own.places], Counter()
+            for at, text, link in own.blocks:
+                chars[at][0] += len(text)
+                chars[at][1] += len(text) if link else 0
+                texts[at, xxhash.xxh64_intdigest(_SPACE.sub(" ", text).strip()) >> 1 | 1, len(text)] += 1
+            for i, x in enumerate(own.places[1:], 1):
+                add((host, x.key, own.places[x.parent].key, 0), f"{page}:{x.count}", x.before, *chars[i])
+            for (at, text, n), count in texts.items():
+                add((host, own.places[at].key, own.places[own.places[at].parent].key, text), f"{page}:{count}", 0, n * count, 0)
+        names = list(sums)
+        yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in names], _STATS.field(i).type) for i in range(4)), *(pa.array([v[i] for v in sums.values()], pa.int64()) for i in range(6))], schema=_STATS)
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, means, links): the slots of each host's template with the mean text outside links, and those that are mostly links.
+    """(host, slots): the slots of each host's template as a map from a path to its mean text (0 if it holds the
+    template's own texts, -1 if it holds links).
 
     ``pages``: id hash, host, html.
     """
-    stats = pages.mapInArrow(_page_stats, "host string, token string, pages long, vector long, chars long, link_chars long")
-    total = stats.groupBy("host", "token").agg(F.sum("pages").alias("pages"), (F.sum("vector") % F.lit(0x7FFFFFFFFFFF)).alias("vector"), F.sum("chars").alias("chars"), F.sum("link_chars").alias("link_chars"))
-    total = saved(total, "html-tokens")
+    stats = pages.mapInArrow(_page_stats, "host string, key long, parent long, text long, pages long, vector long, before_lo long, before_hi long, chars long, link_chars long")
+    total = stats.groupBy("host", "key", "parent", "text").agg(
+        F.sum("pages").alias("pages"), (F.sum("vector") % F.lit(0x7FFFFFFFFFFF)).alias("vector"), F.min("before_lo").alias("before_lo"), F.max("before_hi").alias("before_hi"), F.sum("chars").alias("chars"), F.sum("link_chars").alias("link_chars")
+    )
+    total = saved(total.where("text = 0 or pages > 1"), "html-tokens")
+    elements, texts = total.where("text = 0"), total.where("text <> 0")
     size = pages.groupBy("host").agg(F.count("*").alias("host_pages"))
-    classes = total.groupBy("host", "pages", "vector").agg(F.count("*").alias("tokens")).join(size, "host")
-    valid = classes.where((F.col("tokens") >= LEAST_TOKENS) & (F.col("pages") >= LEAST_PAGES) & (F.col("pages") >= F.col("host_pages") * LEAST_SHARE)).select("host", "pages", "vector")
-    slots = total.where("token like '<%'").join(valid, ["host", "pages", "vector"], "left_semi").select("host", F.substring("token", 2, 1 << 30).alias("path"), "pages", "chars", "link_chars")
-    slots = slots.where("chars > 0").withColumn("mean", (F.col("chars") - F.col("link_chars")) / F.col("pages"))
-    return slots.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("path", "mean"))).alias("means"), F.collect_list(F.when(2 * F.col("link_chars") > F.col("chars"), F.col("path"))).alias("links"))
-
-
-def main_paths(blocks: list[tuple[str, str, bool]], means: Mapping[str, float], links: Collection[str]) -> set[str]:
-    """The paths of a page whose texts are main text."""
-    chars: dict[str, int] = {}
-    for path, text, link in blocks:
-        chars[path] = chars.get(path, 0) + (0 if link else len(text))
-    good = {p for p in chars if not dropped(p)}
-    if articles := {p for p in good if in_article(p)}:
-        return articles
+    # a token's class is its vector; the element around it is in the same class or tells where the class is nested
+    around = elements.select("host", F.col("key").alias("parent"), F.col("vector").alias("outer"), F.col("pages").alias("outer_pages"))
+    tokens = total.join(around, ["host", "parent"], "left")
+    inner = (F.col("outer") == F.col("vector")) & (F.col("outer_pages") == F.col("pages")) & (F.col("text") == 0)
+    place = F.when(F.col("text") != 0, None).when(~F.coalesce(inner, F.lit(False)), F.col("parent"))
+    classes = tokens.groupBy("host", "pages", "vector").agg(
+        F.count("*").alias("tokens"), F.min(place).alias("place_lo"), F.max(place).alias("place_hi"), F.min(F.col("before_lo") == F.col("before_hi")).alias("ordered")
+    ).join(size, "host")
+    valid = classes.where((F.col("tokens") >= LEAST_TOKENS) & (F.col("pages") >= LEAST_PAGES) & (F.col("pages") >= F.col("host_pages") * LEAST_SHARE) & F.col("ordered") & (F.col("place_lo") == F.col("place_hi")))
+    slots = elements.join(valid.select("host", "pages", "vector"), ["host", "pages", "vector"], "left_semi").where("chars > 0").select("host", "key", "pages", "chars", "link_chars")
+    fixed = texts.select("host", "key", F.col("pages").alias("own"), F.col("chars").alias("own_chars")).join(slots.select("host", "key", "pages"), ["host", "key"])
+    fixed = fixed.where((F.col("own") >= FIXED_PAGES) & (F.col("own") >= FIXED_SHARE * F.col("pages"))).groupBy("host", "key").agg(F.sum("own_chars").alias("fixed"))
+    slots = slots.join(fixed, ["host", "key"], "left").withColumn("free", F.greatest(F.lit(0), F.col("chars") - F.col("link_chars") - F.coalesce("fixed", F.lit(0))) / F.col("pages"))
+    slots = slots.withColumn("own_text", F.coalesce("fixed", F.lit(0)) >= 0.9 * F.col("chars"))
+    whole = slots.groupBy("host").agg(F.sum("free").alias("host_free"))
+    # copies of one article are no template: its own texts are fewer than what varies
+    own_text = F.col("own_text") & (F.col("host_free") - F.col("free") >= F.col("chars") / F.col("pages"))
+    kept = slots.join(whole, "host").select("host", "key", F.when(own_text, 0.0).when(2 * F.col("link_chars") > F.col("chars"), -1.0).otherwise((F.col("chars") - F.col("link_chars")) / F.col("pages")).alias("mean"))
+    return kept.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("key", "mean"))).alias("slots"))
+
+
+def main_places(page: Page, slots: Mapping[int, float]) -> set[int]:
+    """The places of a page whose texts are main text."""
+    places = page.places
+    chars: dict[int, int] = {}
+    for at, text, link in page.blocks:
+        chars[at] = chars.get(at, 0) + (0 if link else len(text))
+    mean = {p: slots.get(places[p].key) for p in chars}
+    good = {p for p in chars if not places[p].left_out and mean[p] != 0}
     if not any(chars[p] for p in good):
         # a wrapper's name is no reason to lose the only article
-        inside = {p: p[_ARTICLE.search(p).start() :].lstrip("/") for p in chars if in_article(p)}
-        if wrapped := {p for p, own in inside.items() if not dropped(own)}:
+        if wrapped := {p for p in chars if places[p].article and not places[p].left_out_inside}:
             return wrapped
-    weight = {p: max(means[p], chars[p]) if p in means else chars[p] for p in good}
-    held: dict[str, float] = {}
-    for p, n in weight.items():
-        while True:
-            held[p] = held.get(p, 0) + n
-            if not p:
-                break
-            p = p.rpartition("/")[0]
-    below: dict[str, list[str]] = {}
-    for p in held:
-        if p:
-            below.setdefault(p.rpartition("/")[0], []).append(p)
-    tag = lambda p: p.rpartition("/")[2].partition(".")[0]
-    region = ""
-    while region in below and not (tag(region) == "div" and weight.get(region)):
-        best = max(below[region], key=held.__getitem__)
-        if tag(best) not in ("html", "body", "div") or not held[best] or held[best] < (1 - SLOT_SHARE) * held[""]:
+        good = {p for p in chars if not places[p].left_out}
+    held = [0.0] * len(places)
+    for p in good:  # what a slot usually holds, or holds here
+        held[p] = 0 if mean[p] == -1 else max(chars[p], mean[p] or 0)
+    direct = list(held)
+    below: dict[int, list[int]] = {}
+    for p in range(len(places) - 1, 0, -1):
+        held[places[p].parent] += held[p]
+        if held[p]:
+            below.setdefault(places[p].parent, []).append(p)
+    region = 0
+    while region in below and not (places[region].tag in ("div", "article") and (direct[region] or places[region].tag == "article")):
+        best = max(below[region], key=lambda p: (held[p], -p))
+        if places[best].tag not in WRAPPERS or held[best] < (1 - SLOT_SHARE) * held[0]:
             break
         region = best
-    if tag(region) != "div":  # no container for the text alone: menus without a name lie beside it
-        return {p for p in good if p not in links}
-    return {p for p in good if p == region or p.startswith(region + "/")}
+    inside = [False] * len(places)
+    for p in range(len(places)):
+        inside[p] = p == region or p > 0 and inside[places[p].parent]
+    if places[region].tag not in ("div", "article", "main"):  # no container holds nearly all: names may tell
+        if articles := {p for p in good if places[p].article}:
+            return articles
+        good = {p for p in good if chars[p] and mean[p] != -1} or good  # menus without a name lie beside the text
+    return {p for p in good if inside[p]}
 
 
-def main_text(html: str | None, means: Mapping[str, float], links: Collection[str]) -> str:
+def main_text(html: str | None, slots: Mapping[int, float]) -> str:
     """Main texts of a page in page order, given its host's slots (see ``templates``)."""
     if not html:
         return ""
-    blocks = parsed(html)[1]
-    main = main_paths(blocks, means, links)
-    return _SPACE.sub(" ", " ".join(t for p, t, _ in blocks if p in main)).strip()
+    page = parsed(html)
+    main = main_places(page, slots)
+    return _SPACE.sub(" ", " ".join(t for p, t, _ in page.blocks if p in main)).strip()
 
 
 def extracted(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text) of each page row."""
     kind = pages.schema[id_col].dataType.simpleString()
-    source = bounded_batches(pages).select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
+    source = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
     deduced = templates(source.select(F.xxhash64("id", "url").alias("page"), "host", "html"))
-    joined = source.join(saved(deduced, "html-templates"), "host", "left").select("id", "url", "html", "means", "links")
+    joined = source.join(saved(deduced, "html-templates"), "host", "left").select("id", "url", "html", "slots")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(h, dict(k or ()), frozenset(d or ())) for h, k, d in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
+            texts = [main_text(h, dict(s or ())) for h, s in zip(*(batch.column(i).to_pylist() for i in (2, 3)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["id", "url", "text"])
 
     return joined.mapInArrow(scan, f"id {kind}, url string, text string")
