@@ -56,7 +56,6 @@ def decoded(c: Column) -> Column:
     return F.udf(lambda t: t and _REFERENCE.sub(lambda m: unescape(m[0]), t), "string")(c)
 
 
-
 def without_dots(path: Column) -> Column:
     """A path that starts with / without its . and .. segments."""
     parts = F.split(path, "/")
@@ -114,8 +113,12 @@ def rules_table(rules: DataFrame) -> DataFrame:
 
 def judged(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, host, path, rule, verdict) of each page row: the rule's verdict, else that of its aliases, else allow."""
+    return _judged(pages, rules, id_col, url_col, html_col).drop("url")
+
+
+def _judged(pages: DataFrame, rules: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
     url = F.col(url_col)
-    seen = pages.select(F.col(id_col).alias("id"), host_of(url).alias("host"), path_of(url).alias("path"), node_of(url).alias("node"))
+    seen = pages.select(F.col(id_col).alias("id"), url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path"), node_of(url).alias("node"))
     edges = saved(alias_edges(pages, url_col=url_col, html_col=html_col), "url-edges")
     components = connected_components(edges, "url")
     table = rules_table(rules)
@@ -126,10 +129,10 @@ def judged(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", url_c
     marks = ruled(aliases, table).join(components, "node").groupBy("component").agg(F.max(F.col("verdict") == "allow").alias("allowed"), F.max(F.col("verdict") == "block").alias("blocked"))
     spread = components.join(marks.where("blocked and not allowed"), "component").select("node", F.lit("block").alias("spread"))
     out = seen.join(own, "node", "left").join(spread, "node", "left")
-    return out.select("id", "host", "path", "rule", F.coalesce("verdict", "spread", F.lit("allow")).alias("verdict"))
+    return out.select("id", "url", "host", "path", "rule", F.coalesce("verdict", "spread", F.lit("allow")).alias("verdict"))
 
 
-def allowed(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", **columns) -> DataFrame:
-    """The pages that are not blocked, with all their columns."""
-    gone = judged(pages, rules, id_col=id_col, **columns).where("verdict = 'block'").select(F.col("id").alias(id_col)).distinct()
-    return pages.join(gone, id_col, "left_anti")
+def allowed(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """The pages that are not blocked, with all their columns; rows that share an id are judged each by its url."""
+    gone = _judged(pages, rules, id_col, url_col, html_col).where("verdict = 'block'").select(F.col("url").alias("_blocked_url")).distinct()
+    return pages.join(gone, F.col(url_col) == F.col("_blocked_url"), "left_anti")
