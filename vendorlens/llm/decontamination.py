@@ -8,7 +8,8 @@ so there is no shuffle and a hot source or passage only adds work where its rows
 Defined cases: a null or empty text has no words and is clean; an item without words has no
 window; an item shorter than the window is one window; repeated rows are judged each by
 itself; items with a null id mark words but are not listed; an empty benchmark marks
-nothing; columns of the documents are kept, none of them is read but id and text.
+nothing; columns of the documents are kept, none of them is read but id and text. Words are told
+apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -22,11 +23,11 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vendorlens.llm.common import bounded_batches, saved
+from vendorlens.llm.common import saved
 from vendorlens.llm.words import Block, blocks, windows
 
 #: Benchmark text sent to the executors at once; a larger benchmark takes several passes.
-BENCHMARK_BLOCK_BYTES = 32 << 20
+BENCHMARK_BLOCK_BYTES = 8 << 20
 
 MATCHES = (
     "id {id}, n_words long, n_hit long, spans array<struct<start:int,stop:int>>, "
@@ -69,7 +70,7 @@ class Suffixes:
         h = cat(h, np.uint64)
         vocabulary = np.unique(h[h != 0])
         ranks = np.where(h == 0, 0, np.searchsorted(vocabulary, h) + 1)
-        return cls(vocabulary, ranks.astype(np.int64), cat(start, np.int64), cat(left, np.int64), cat(full, np.int64), cat(item, np.int64), cat(need, np.int64), ids)
+        return cls(vocabulary, ranks.astype(np.int32), *(cat(x, np.int32) for x in (start, left, full, item, need)), ids)
 
 
 def ranked(hashes: np.ndarray, first: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
@@ -211,21 +212,21 @@ def grown(ranks: np.ndarray, s: Suffixes, place: int, j: int) -> tuple[int, int,
     return n, int(s.full[j] - left), place
 
 
-def suffix_blocks(benchmark: DataFrame, width: int, item_col: str = "item_id", text_col: str = "text", least_words: int = 1) -> Iterator[Suffixes]:
-    """The benchmark's suffixes in blocks of at most BENCHMARK_BLOCK_BYTES of text, each built when it is asked for."""
+def suffix_blocks(benchmark: DataFrame, width: int, item_col: str = "item_id", text_col: str = "text") -> Iterator[Suffixes]:
+    """The benchmark's suffixes in blocks of at most BENCHMARK_BLOCK_BYTES of text (a longer item stands alone), each
+    built when it is asked for: about 35 bytes a word, and one block at a time on the driver and in a task."""
     items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("t is not null")
     ids: list[str | None] = []
     texts: list[str] = []
     size = 0
     for row in items.toLocalIterator():
-        if least_words > 1 and sum(len(b.starts) for b in blocks(pa.array([row.t]), "ascii", True)) < least_words:
-            continue
-        if size and size + len(row.t) > BENCHMARK_BLOCK_BYTES:
+        own = len(row.t.encode())
+        if size and size + own > BENCHMARK_BLOCK_BYTES:
             yield Suffixes.of(ids, texts, width)
             ids, texts, size = [], [], 0
         ids.append(row.i)
         texts.append(row.t)
-        size += len(row.t)
+        size += own
     yield Suffixes.of(ids, texts, width)
 
 
@@ -251,7 +252,7 @@ def matches(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     """
     kind = documents.schema[id_col].dataType.simpleString()
     schema = MATCHES.format(id=kind)
-    rows = bounded_batches(documents).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(rows: DataFrame, s: Suffixes, last: bool) -> tuple[DataFrame, Broadcast]:
         """Rows: id, text and, after the first pass, the columns found so far; the last pass drops the text."""
@@ -289,21 +290,29 @@ _ARROW = pa.schema([
 ])
 
 
-def decontaminated(documents: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 10, least_words: int = 1) -> DataFrame:
+def decontaminated(documents: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 10) -> DataFrame:
     """The documents in which no window of the benchmark occurs, with all their columns.
 
-    Items of fewer than ``least_words`` words are no evidence and left out.
+    With several benchmark blocks what is left is saved before each further one, as in ``matches``.
     """
     at = documents.columns.index(text_col)
-    out = bounded_batches(documents)
-    for s in suffix_blocks(benchmark, width, item_col, item_text_col, least_words):
+
+    def run(rows: DataFrame, s: Suffixes) -> tuple[DataFrame, Broadcast]:
         shared = documents.sparkSession.sparkContext.broadcast(s)
 
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for block in blocks(batch.column(at), "ascii", True):
                     clean = [not r["n_hit"] for r in shard_matches(block, shared.value, width)]
                     yield batch.slice(block.lo, block.hi - block.lo).filter(pa.array(clean))
 
-        out = out.mapInArrow(scan, documents.schema)
-    return out
+        return rows.mapInArrow(scan, documents.schema), shared
+
+    rows, parts = documents, suffix_blocks(benchmark, width, item_col, item_text_col)
+    s = next(parts)
+    while (more := next(parts, None)) is not None:
+        found, shared = run(rows, s)
+        rows = saved(found, "decontamination-clean")
+        shared.unpersist()
+        s = more
+    return run(rows, s)[0]
