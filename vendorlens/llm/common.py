@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,35 +22,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir.
 
-    Only where the session has none (tests on one machine) a temporary folder is set.
+    Where the session has none, a temporary folder is set if all runs on this machine (tests); a
+    cluster must name one, since each machine would write to a disk of its own.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back.
+def saved(df: DataFrame, name: str, **options) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it back. ``options``: those of the writer.
 
     It cuts the lineage, and what was written survives the loss of any executor.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(**{"compression": "zstd"} | options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 #: Text that goes to a Python worker at once.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
-def bounded_batches(df: DataFrame) -> DataFrame:
-    """The same frame; its session sends at most BATCH_BYTES to a Python worker at once, however long the texts are."""
-    conf = df.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
-    return df
+def small_batches(spark: SparkSession) -> None:
+    """Have the session send at most BATCH_BYTES to a Python worker at once, however long the texts are.
+
+    For applications (the registered queries and the pipeline call it); operators leave the session as it is.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
 
 
 def partitions_for(df: DataFrame, floor: int = 1) -> int:
@@ -58,28 +62,28 @@ def partitions_for(df: DataFrame, floor: int = 1) -> int:
     return max(floor, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-#: Bits of the filter below: 4 MB, whatever the number of ids.
-FILTER_BITS = 1 << 25
+#: Bits of the filter below (4 MB), and of one of its rows.
+FILTER_BITS, ROW_BITS = 1 << 25, 1 << 15
+
+
+def id_bits(ids: DataFrame, column: str = "id") -> DataFrame:
+    """The ids as a table of bits (_k, _bits) for ``sifted``: FILTER_BITS bits however many ids there are."""
+    place = F.pmod(F.xxhash64(F.col(column)), F.lit(FILTER_BITS))
+    at = ids.where(F.col(column).isNotNull()).select(place.alias("p"))
+    parts = at.groupBy((F.col("p") / ROW_BITS).cast("long").alias("k")).agg(F.bitmap_construct_agg(F.col("p") % ROW_BITS).alias("bits")).collect()  # at most 1024 rows of 4 KB
+    rows = pa.table({"_k": pa.array([r.k for r in parts], pa.int64()), "_bits": pa.array([np.frombuffer(r.bits, "<i8") for r in parts], pa.list_(pa.int64()))})
+    return ids.sparkSession.createDataFrame(rows, "_k long, _bits array<long>")
 
 
-def id_filter(ids: DataFrame, column: str = "id"):
-    """A test that is true for every id in ``ids`` and for few others, for use before a join.
+def sifted(df: DataFrame, bits: DataFrame, column: str = "id", how: str = "left_semi") -> DataFrame:
+    """The rows of ``df`` whose ``column`` is among the ids of ``id_bits``, and few others: for use before a join.
+    ``left_anti`` gives exactly the other rows.
 
-    It is a bitmap of FILTER_BITS bits however many ids there are (with very many it lets more
-    rows pass and loses none), built by Spark's bitmap aggregates and sent to the executors.
+    With very many ids more rows pass and none is lost. The bits are a broadcast table of at most
+    1024 rows, so the test runs in the JVM; no row is shuffled or sent to Python for it.
     """
-    spark = ids.sparkSession
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-    at = ids.where(F.col(column).isNotNull()).select(place(F.col(column)).alias("p"))
-    parts = at.groupBy((F.col("p") / 32768).cast("int").alias("k")).agg(F.bitmap_construct_agg(F.col("p") % 32768).alias("bits"))
-    bits = np.zeros((FILTER_BITS // 32768, 4096), np.uint8)
-    for row in parts.collect():  # at most 1024 rows of 4 KB
-        bits[row.k] = np.frombuffer(row.bits, np.uint8)
-    shared = spark.sparkContext.broadcast(bits.ravel())
-
-    @F.pandas_udf("boolean")
-    def known(p: pd.Series) -> pd.Series:
-        p = p.fillna(0).to_numpy(np.int64)
-        return pd.Series((shared.value[p >> 3] >> (p & 7)) & 1 == 1)
-
-    return lambda c: known(place(c))
+    place = F.pmod(F.xxhash64(F.col(column)), F.lit(FILTER_BITS))
+    inside = place % ROW_BITS
+    word = F.get(F.col("_bits"), F.shiftright(inside, 6).cast("int"))
+    known = F.call_function("shiftright", word, (inside % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return df.join(F.broadcast(bits), (F.shiftright(place, 15) == F.col("_k")) & known, how)

@@ -6,7 +6,8 @@ and sends each of its documents to one child for each chosen function, named by
 found there. Two documents of similarity s meet in a child with chance s for each choice, so
 a pair at or over the threshold has more than one child in common on average and keeps meeting
 at any depth, while others part quickly. Nodes with at most LEAF * LEAF pairs to compare are
-compared exhaustively; larger ones branch again. TREES independent trees give the recall:
+compared exhaustively, in tiles of at most TILE documents and those that they are compared with, so no
+task holds a whole node; larger ones branch again. TREES independent trees give the recall:
 ``missed_per_tree(0.8, 2)`` is 0.0625, so 7 trees miss 4 of a thousand million pairs.
 
 Candidates are confirmed on full shingle sets. Documents with the same set are one node of the
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vendorlens.llm.common import bounded_batches, id_filter, partitions_for, saved
+from vendorlens.llm.common import id_bits, partitions_for, saved, sifted
 from vendorlens.llm.components import connected_components
 from vendorlens.llm.words import Block, blocks, mix, windows
 
@@ -34,15 +35,17 @@ TREES = 7
 #: Branching before the first comparison, and the size up to which a node is compared whole (its pairs, LEAF * LEAF).
 FIRST_DEPTH = 2
 LEAF = 2048
-#: Deeper nodes that still hold more are compared block by block of LEAF documents.
+#: Documents of a node that one task compares, with at most PROBES others.
+TILE, PROBES = 512, 2048
+#: At this depth larger nodes are compared too, in as many tiles as it takes.
 LAST_DEPTH = 12
 #: Of 128 minwise tokens, how many must agree before two documents are looked at: 4.5 deviations under 0.8.
 AGREE = 82
 #: Of FINE tokens (taken only for documents that are compared within a node), how many must agree
 #: before two sets are fetched: 4 deviations under 0.8.
 FINE, FINE_AGREE = 512, 373
-#: Rows compared to one leader in one task.
-STAR = 2048
+#: Sketches compared to one leader in one task, and full sets.
+STAR, CONFIRMED = 2048, 256
 
 _SEEDS = mix(np.arange(1, FINE + 1, dtype=np.uint64))
 _MULTIPLY = (_SEEDS & np.uint64(0xFFFFFFFF)).astype(np.uint32) | np.uint32(1)
@@ -112,15 +115,13 @@ def _sets(width: int):
 
 
 def _fine(width: int):
-    """(id, sketch, nodes): the low byte of FINE minwise tokens, and the sorted nodes. Rows: id, text, nodes."""
+    """(id, sketch): the low byte of FINE minwise tokens. Rows: id, text."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes = batch.column(2).to_pylist()
             for block in blocks(batch.column(1), "space", True):
                 low = [(minwise(x, FINE) & np.uint32(255)).astype(np.uint8).tobytes() for x in shingle_sets(block, width)]
-                own = [np.sort(np.array(x, np.int64)).tobytes() for x in nodes[block.lo : block.hi]]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.lo, block.hi - block.lo), pa.array(low, pa.binary()), pa.array(own, pa.binary())], names=["id", "sketch", "nodes"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.lo, block.hi - block.lo), pa.array(low, pa.binary())], names=["id", "sketch"])
 
     return scan
 
@@ -234,26 +235,27 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _within(most: int | None):
-    """(a, b) with agreeing sketches and different classes in each node; of those of a document, the ``most``
-    alike. Rows: node, id, class, sketch, nodes; the last lists all nodes of the document, so that a pair is
-    named only by the first node that it shares. Documents of a node's largest class are not compared with
-    each other, so a node's work is its size times the rest.
+    """(a, b) with agreeing sketches and different classes in each tile; of those of a document, the ``most``
+    alike. Rows: tile, id, probe, node, class, main, sketch, nodes. Probes are compared with the tile's other
+    rows: those of the node's largest class (main), and others of a larger id. ``nodes`` are all nodes of the document at
+    this depth, so that a pair is named only by the first node that it shares.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _groups(batches, 1):
-            node, ids, cls = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2))
-            fine = _sketch(batch.column(3), FINE)
+            _, ids, probe, node, cls, main = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(6))
+            fine = _sketch(batch.column(6), FINE)
             coarse = np.ascontiguousarray(fine[:, :FUNCTIONS])
-            others = [np.frombuffer(x, np.int64) for x in batch.column(4).to_pylist()]
+            places, names = batch.column(7).offsets.to_numpy(), batch.column(7).values.to_numpy()
+            others = lambda i: names[places[i] : places[i + 1]]  # noqa: B023, E731
             cut = _bounds(batch, 1)
             a, b = [np.empty(0, ids.dtype)], [np.empty(0, ids.dtype)]
             for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-                names, sizes = np.unique(cls[lo:hi], return_counts=True)
-                largest = names[sizes.argmax()]
-                for i in np.flatnonzero(cls[lo:hi] != largest) + lo:
-                    near = np.flatnonzero((coarse[lo:hi] == coarse[i]).sum(1) >= AGREE) + lo
-                    near = near[(cls[near] != cls[i]) & ((cls[near] == largest) | (near > i))]
+                base = np.flatnonzero(~probe[lo:hi]) + lo
+                sketches = coarse[base]
+                for i in np.flatnonzero(probe[lo:hi]) + lo:
+                    near = base[(sketches == coarse[i]).sum(1) >= AGREE]
+                    near = near[(cls[near] != cls[i]) & (main[near] | (ids[near] > ids[i]))]
                     alike = (fine[near] == fine[i]).sum(1)
                     good = alike >= FINE_AGREE
                     near, alike = near[good], alike[good]
@@ -262,7 +264,7 @@ def _within(most: int | None):
                     for j in near.tolist():
                         if most is not None and len(mine) == most:
                             break
-                        if np.intersect1d(others[i], others[j], assume_unique=True)[0] == node[i]:
+                        if np.intersect1d(others(i), others(j), assume_unique=True)[0] == node[i]:
                             mine.append(j)
                     if mine:
                         a.append(np.full(len(mine), ids[i]))
@@ -319,21 +321,19 @@ class _Join:
         self.tried: DataFrame | None = None
         self.labelled: DataFrame | None = None
 
-    def texts(self, ids: DataFrame, how: str = "left_semi") -> DataFrame:
-        """The texts of these documents (with the columns of ``ids``, unless it's a semi-join); a filter
-        before the join keeps most other texts from being shuffled."""
-        return self.documents.where(id_filter(ids)(F.col("id"))).join(ids, "id", how)
+    def mapped(self, ids: DataFrame, scan, schema: str) -> DataFrame:
+        """What ``scan`` makes of the texts of these documents, and of few others; no text is shuffled."""
+        return sifted(self.documents, id_bits(ids)).select("id", "text").mapInArrow(scan, schema)
 
     def fetch(self, ids: DataFrame) -> None:
-        """Have the sets of these documents at hand."""
-        found = saved(self.texts(ids).select("id", "text").mapInArrow(_sets(self.width), "id long, shingles binary"), "neardup-sets")
+        """Have the sets of these documents at hand (and of few others, which none asks for)."""
+        found = saved(self.mapped(ids, _sets(self.width), "id long, shingles binary").join(ids, "id", "left_semi"), "neardup-sets")
         self.sets = found if self.sets is None else self.sets.unionByName(found)
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that reach the similarity on full sets."""
-        salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(64)).cast("int"))
-        per_leader = salted.groupBy("a").count().where(f"count > {STAR}").select("a", F.lit(True).alias("big"))
-        salted = salted.join(per_leader, "a", "left").withColumn("salt", F.when(F.col("big"), F.col("salt")).otherwise(0))
+        per_leader = pairs.groupBy("a").agg(F.ceil(F.count("*") / CONFIRMED).alias("salts")).where("salts > 1")
+        salted = pairs.join(per_leader, "a", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("b"), F.col("salts")), F.lit(0)).cast("int"))
         partners = salted.select("a", "salt", "b").join(self.sets.withColumnRenamed("id", "b"), "b").select("a", "salt", "b", "shingles")
         leaders = salted.select("a", "salt").distinct().join(self.sets.withColumnRenamed("id", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "shingles")
         rows = partners.unionByName(leaders).repartition(self.parts, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
@@ -355,14 +355,13 @@ class _Join:
             self.link(stars)
             for most in (2, None):  # first the most alike, which connect nearly all; then all that are left
                 mixed = self.mixed(nodes)
-                leaves = mixed.where(f"n * rest <= {LEAF * LEAF}") if depth < LAST_DEPTH else self.blocked(mixed)
-                leaves = saved(leaves.select("node", "id", "class"), "neardup-leaves")
+                leaves = mixed.where(f"n * rest <= {LEAF * LEAF}") if depth < LAST_DEPTH else mixed
                 if leaves.isEmpty():
                     break
-                own = leaves.groupBy("id").agg(F.collect_set("node").alias("nodes"))
-                texts = self.texts(saved(own, "neardup-leaf-nodes"), "inner").mapInArrow(_fine(self.width), "id long, sketch binary, nodes binary")
-                rows = leaves.join(saved(texts, "neardup-fine"), "id").select("node", "id", "class", "sketch", "nodes")
-                self.link(rows.repartition(self.parts, "node").sortWithinPartitions("node", "id").mapInArrow(_within(most), "a long, b long").distinct())
+                own = saved(leaves.groupBy("id").agg(F.sort_array(F.collect_set("node")).alias("nodes")), "neardup-leaf-nodes")
+                fine = saved(self.mapped(own, _fine(self.width), "id long, sketch binary").join(own, "id"), "neardup-fine")
+                rows = self.tiles(leaves).join(fine, "id").select("tile", "id", "probe", "node", "class", "main", "sketch", "nodes")
+                self.link(rows.repartition(self.parts, "tile").sortWithinPartitions("tile", "id").mapInArrow(_within(most), "a long, b long").distinct())
             if depth >= LAST_DEPTH:
                 break
             big = mixed.where(f"n * rest > {LEAF * LEAF}").select("node", "id").join(sketch, "id").select("node", "id", "sig")
@@ -399,20 +398,24 @@ class _Join:
         return self.labelled
 
     def mixed(self, nodes: DataFrame) -> DataFrame:
-        """(node, id, n, class, rest) of the nodes whose documents are not all of one class yet; ``rest`` counts
-        those outside the largest class."""
+        """(node, id, n, class, rest, main) of the nodes whose documents are not all of one class yet; ``main`` is
+        whether a row is of the node's largest class, ``rest`` counts the others."""
         known = nodes.join(self.labels(), "id", "left").withColumn("class", F.coalesce("component", "id")).drop("component")
-        sizes = known.groupBy("node", "class").agg(F.count("*").alias("c")).groupBy("node").agg((F.sum("c") - F.max("c")).alias("rest"))
-        return saved(known.join(sizes.where("rest > 0"), "node"), "neardup-mixed")
+        sizes = known.groupBy("node", "class").agg(F.count("*").alias("c"))
+        sizes = sizes.groupBy("node").agg((F.sum("c") - F.max("c")).alias("rest"), F.max_by("class", F.struct("c", "class")).alias("largest"))
+        return saved(known.join(sizes.where("rest > 0"), "node").withColumn("main", F.col("class") == F.col("largest")).drop("largest"), "neardup-mixed")
 
-    def blocked(self, mixed: DataFrame) -> DataFrame:
-        """Nodes at the last depth as all pairs of their blocks of documents, each a node of its own."""
-        small = mixed.where(f"n * rest <= {LEAF * LEAF}")
-        big = mixed.where(f"n * rest > {LEAF * LEAF}").withColumn("blocks", F.ceil(F.col("n") * 2 / LEAF))
-        own = F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks"))
-        big = big.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        big = big.withColumn("node", F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")))
-        return small.unionByName(big.select(*small.columns))
+    @staticmethod
+    def tiles(leaves: DataFrame) -> DataFrame:
+        """(tile, id, probe, node, class, main): each node's documents dealt to tiles, and beside them, as probes,
+        all that are not of its largest class. Every document meets every probe in one tile."""
+        across, down = F.ceil(F.col("n") / TILE), F.ceil(F.col("rest") / PROBES)
+        tile = lambda x, y: F.xxhash64("node", x, y)
+        all_of = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+        own = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), n)
+        base = leaves.select(F.explode(F.transform(all_of(down), lambda y: tile(own(across, 7), y))).alias("tile"), "id", F.lit(False).alias("probe"), "node", "class", "main")
+        probes = leaves.where("not main").select(F.explode(F.transform(all_of(across), lambda x: tile(x, own(down, 8)))).alias("tile"), "id", F.lit(True).alias("probe"), "node", "class", "main")
+        return base.unionByName(probes)
 
 
 def _low_bytes(classes: DataFrame) -> DataFrame:
@@ -436,7 +439,7 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     class of its own set, and sets whose least id is the same are one class; a row with a null id takes the component of an equal set, is kept only if there is none, and
     links nothing; the result has as many rows as the input; other columns are not read.
     """
-    source = bounded_batches(documents).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    source = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     join = _Join(source, width, percent)
     found = join.components().select(F.col("id").alias("rep"), "component")
     by_set = join.classes.select("k1", "k2", F.col("id").alias("rep")).join(found, "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
@@ -465,8 +468,9 @@ def deduplicated(documents: DataFrame, *, id_col: str = "doc_id", text_col: str
     repeated = keys.where("c > 1 and w").select(F.xxhash64("id", "t").alias("id"))
     if every_row and not repeated.isEmpty():
         # reduced before the shuffle, so a row that is repeated very often is no heavier than others
-        several = worded & id_filter(repeated)(F.xxhash64(_ID, _TEXT))
-        rows = saved(rows.where(~several).unionByName(rows.where(several).dropDuplicates([_ID, _TEXT])), "neardup-single")
+        bits, hashed = id_bits(repeated), rows.withColumn(_NUMBER, F.when(worded, F.xxhash64(_ID, _TEXT)))
+        single = sifted(hashed, bits, _NUMBER, "left_anti").unionByName(sifted(hashed, bits, _NUMBER).dropDuplicates([_ID, _TEXT]))
+        rows = saved(single.drop(_NUMBER), "neardup-single")
     odd = keys.where("id is not null").groupBy("id").count().where("count > 1").select(F.col("id").alias(_ID), F.lit(True).alias("_near_odd"))
     # above any usual id: those stay the least of their class
     own = F.xxhash64(_ID, _TEXT).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))

@@ -38,22 +38,34 @@ def _powers(base: np.uint64, n: int, start: int = 0) -> np.ndarray:
     return out
 
 
+#: Bytes or words that are summed up at once, so that the arrays for it don't grow with a text.
+STRETCH = 1 << 16
+
+
 class _Powers:
-    """Powers of an odd number and of its inverse modulo 2**64, grown as needed."""
+    """Powers of an odd number and of its inverse modulo 2**64; those for a usual stretch are kept."""
 
     def __init__(self, base: int):
         self.base, self.inverse = np.uint64(base), np.uint64(pow(base, -1, 1 << 64))
         self.up = self.down = np.empty(0, np.uint64)
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > 2 * STRETCH:  # one very long word: not kept
+            return _powers(self.base, n), _powers(self.inverse, n)
         if len(self.up) < n:
-            n += n // 8
-            self.up, self.down = _powers(self.base, n), _powers(self.inverse, n)
+            self.up, self.down = _powers(self.base, 2 * STRETCH), _powers(self.inverse, 2 * STRETCH)
         return self.up, self.down
 
 
 _BYTE_POWERS = _Powers(0x2545F4914F6CDD1D)
 _WORD_POWERS = _Powers(0x5851F42D4C957F2D)
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """n powers of an odd number modulo 2**64, and of its inverse."""
+    return _powers(_WORD_POWERS.base, n), _powers(_WORD_POWERS.inverse, n)
+
+
 _BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * _BASE)
 
 
@@ -93,12 +105,21 @@ class Block:
         return np.repeat(np.arange(self.hi - self.lo), np.diff(self.first))
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word."""
-        up, down = _BYTE_POWERS.get(len(self.data) + 1)
-        sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(_BYTE_VALUE[self.data] * up[: len(self.data)], out=sums[1:])
-        h = (sums[self.ends] - sums[self.starts]) * down[self.starts]
-        return mix(h + (self.ends - self.starts).astype(np.uint64) * _BASE)
+        """A 64-bit hash of each word, by its bytes alone."""
+        out = np.empty(len(self.starts), np.uint64)
+        lo = 0
+        while lo < len(out):
+            base = int(self.starts[lo])
+            hi = max(lo + 1, int(np.searchsorted(self.ends, base + STRETCH, "right")))
+            starts, ends = self.starts[lo:hi] - base, self.ends[lo:hi] - base
+            n = int(ends[-1])
+            up, down = _BYTE_POWERS.get(n + 1)
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(_BYTE_VALUE[self.data[base : base + n]] * up[:n], out=sums[1:])
+            h = (sums[ends] - sums[starts]) * down[starts]
+            out[lo:hi] = mix(h + (ends - starts).astype(np.uint64) * _BASE)
+            lo = hi
+        return out
 
     def word(self, i: int) -> bytes:
         return self.data[self.starts[i] : self.ends[i]].tobytes()
@@ -159,10 +180,13 @@ def windows(h: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, n
         for j in range(width):
             total += h[j : n - width + 1 + j] * np.uint64(pow(int(_STEP), j, 1 << 64))
     else:
-        up, down = _WORD_POWERS.get(n + 1)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(h * up[:n], out=sums[1:])
-        total = (sums[width:] - sums[:-width]) * down[: n - width + 1]
+        total = np.empty(n - width + 1, np.uint64)
+        for at in range(0, len(total), STRETCH):
+            own = h[at : at + STRETCH + width - 1]
+            up, down = _WORD_POWERS.get(len(own) + 1)
+            sums = np.zeros(len(own) + 1, np.uint64)
+            np.cumsum(own * up[: len(own)], out=sums[1:])
+            total[at : at + STRETCH] = (sums[width:] - sums[:-width]) * down[: len(own) - width + 1]
     last = np.repeat(first[1:], np.diff(first))[: n - width + 1]  # end of the row of each word
     start = np.arange(n - width + 1)
     ok = start + width <= last
