@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -103,10 +104,27 @@ def test_stars():
     assert {int(k): int(v) for k, v in got.items()} == {x: find(x) for x in range(300) if find(x) != x}
 
 
-def test_factors_end_where_the_reference_changes():
-    got = substring_dedup.factors(np.array([0, 1, 2, 9, 10]), np.array([4, 4, 7, 7, 7]), 5)
-    assert got == [{"start": 0, "stop": 6, "reference": 4}, {"start": 2, "stop": 7, "reference": 7}, {"start": 9, "stop": 15, "reference": 7}]
-    assert substring_dedup.kept_words(16, got).nonzero()[0].tolist() == [7, 8, 15]
+@pytest.mark.parametrize("few", [0, 2, 16])
+def test_factors_are_the_longest_and_cover_every_repeat(few, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "FEW", few)
+    rng = random.Random(3)
+    for _ in range(100):
+        width = rng.choice([3, 5])
+        refs = {i: [rng.choice("abcd"[: rng.choice([2, 4])]) for _ in range(rng.randint(0, 40))] for i in range(6)}
+        block = substring_dedup.ReferenceBlock(list(refs), [" ".join(x) for x in refs.values()], width)
+        doc, me = [*(rng.choice("abc") for _ in range(rng.randint(0, 50))), *refs[0]], rng.randint(0, 7)
+        [own] = blocks(pa.array([" ".join(doc)]), "space", False)
+        h = own.hashes()
+        got = block.parsed(me, h, *windows(h, own.first, width))
+        for f in got:
+            n, source = f["stop"] - f["start"], refs[f["reference"]]
+            assert n >= width and f["reference"] < me and source[f["place"] : f["place"] + n] == doc[f["start"] : f["stop"]]
+            longer = doc[f["start"] : f["stop"] + 1]
+            assert len(longer) == n or not any(x[q : q + n + 1] == longer for i, x in refs.items() if i < me for q in range(len(x) - n))
+        earlier = {tuple(x[q : q + width]) for i, x in refs.items() if i < me for q in range(len(x) - width + 1)}
+        want = {q for p in range(len(doc) - width + 1) if tuple(doc[p : p + width]) in earlier for q in range(p, p + width)}
+        assert {q for f in got for q in range(f["start"], f["stop"])} == want
+        assert set(range(len(doc))) - set(substring_dedup.kept_words(len(doc), got).nonzero()[0].tolist()) == want
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
@@ -115,8 +133,8 @@ def test_tokens_as_the_library(name):
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(public_tokenizers.path(name))
-    own.encode_special_tokens = True
-    texts = some_texts(300, "ab A9é.'\t\n s", 3) + ["é ́a ΑΣ ΣΑΣ", "—dash “q” z", "ẞ İ ﬁ", "a b", "\x01 x \x01"]
+    special = ["hello <|endoftext|> world", "<|EndOfText|>", "a<|startoftext|>b <|endoftext|>", " <|endoftext|>\n"]
+    texts = special + some_texts(300, "ab A9é.'\t\n s", 3) + ["é ́a ΑΣ ΣΑΣ", "—dash “q” z", "ẞ İ ﬁ", "a b", "\x01 x \x01"]
     for lo, hi, ids, offsets in tokens.encoded(pa.array(texts), public_tokenizers.path(name), 7, 2000):
         for i in range(lo, hi):
             assert ids[offsets[i - lo] : offsets[i - lo + 1]].tolist() == [*own.encode(texts[i] or "", add_special_tokens=False).ids, 7]
@@ -127,17 +145,17 @@ def test_sorted_string_table_round_trip(monkeypatch):
     rng = np.random.default_rng(4)
     rows = {i: rng.integers(0, 70_000 if i % 5 == 0 else 60_000, rng.integers(0, 60)).astype(np.uint32) for i in sorted({-(1 << 63), -5, 0, 1 << 62, *rng.integers(-1000, 1000, 200).tolist()})}
     writer = token_tables.ShardWriter()
-    for i, ids in rows.items():
-        writer.add(i, ids)
-    shard = token_tables.Shard(writer.finish())
-    assert [(i, x.tolist()) for i, x in shard] == [(i, x.tolist()) for i, x in rows.items()]
-    assert all(shard.get(i).tolist() == x.tolist() for i, x in rows.items())
-    assert shard.get(123456) is None and sum(shard.may_hold(i) for i in range(10_000, 12_000)) < 100
-    assert (shard.entries, shard.ids) == (len(rows), sum(map(len, rows.values())))
-    empty = token_tables.Shard(token_tables.ShardWriter().finish())
-    assert list(empty) == [] and empty.get(1) is None
+    records = [r for i, ids in rows.items() if (r := writer.add(i, ids))] + [writer.flush()]
+    tail = token_tables.Tail(writer.tail()["data"])
+    assert len(records) > 5 and [r["block"] for r in records] == list(range(tail.blocks))
+    assert [(i, x.tolist()) for r in records for i, x in token_tables.entries(r["data"])] == [(i, x.tolist()) for i, x in rows.items()]
+    assert all(dict(token_tables.entries(records[tail.block_of(i)]["data"]))[i].tolist() == x.tolist() for i, x in rows.items())
+    assert [r["before"] for r in records] == np.cumsum([0, *(r["n_ids"] for r in records)])[:-1].tolist()
+    assert tail.block_of(123456) is None and sum(tail.may_hold(i) for i in range(10_000, 12_000)) < 100
+    assert (tail.entries, tail.ids) == (len(rows), sum(map(len, rows.values())))
+    assert token_tables.ShardWriter().flush() is None and token_tables.ShardWriter().tail() is None
     with pytest.raises(ValueError):
-        token_tables.Shard(b"\0" * 60)
+        token_tables.Tail(b"\0" * 60)
 
 
 def test_first_fit_decreasing():
@@ -192,6 +210,20 @@ def test_pattern_spans_as_brute_force():
     assert seen > 300
 
 
+def test_odd_numbers_and_long_runs():
+    field = pii.trained_field()
+    rng = random.Random(12)
+    for _ in range(3000):
+        t = "".join(rng.choice("aZ0.@-_%+ é²") for _ in range(rng.randint(0, 25)))
+        assert sorted(pii.base_spans(t), key=lambda s: (s[1], pii.KINDS.index(s[0]), s[2])) == brute_spans(t)
+    table = " ".join(map(str, range(6000)))
+    texts = ["1.2.3.²", "٣.٣.٣.٣", "9" * 5000 + ".1.1.1", "000001.2.3.4", "1" * 40_000, "x@" + "a" * 50_000, "@" * 50_000, *["call 5"] * 2047, table]
+    began = time.process_time()
+    rows = [r for *_, block in pii.spans_of(pa.array(texts), field) for r in block]
+    assert time.process_time() - began < 10 and len(rows) == len(texts)
+    assert rows[3][0] == [("ip", 0, 12)] and not any(base for i, (base, _) in enumerate(rows) if i != 3)
+
+
 def test_field_learns_its_table_and_adds_spans():
     field = pii.trained_field()
     chains = pii.labelled_chains()
@@ -215,12 +247,14 @@ def test_viterbi_is_the_best_path():
 
 
 def test_main_text():
-    none = frozenset()
     page = '<html><head><title>t</title></head><body><header>H</header><nav>N</nav><div class="x"><div class="post-body"><p>A &amp; B<b>c</b>d <p>E</div><div class="reader-comments">bad</div><form>f</form></div><footer>F</footer><script>var t="</p>";</script></body></html>'
-    assert html_text.main_text(page, none, none) == "A & Bcd E"
-    assert html_text.main_text("<div>hello <span>w</span>orld</div><nav>x</nav>", none, none) == "hello world"
-    assert html_text.main_text("plain &lt; text", none, none) == "plain < text" and html_text.main_text(None, none, none) == ""
-    assert html_text.main_text("<div>a</div><div>b</div>" * 2000, none, none).split() == ["a", "b"] * 2000
-    assert html_text.main_text("<title>x<body><article>kept", none, none).endswith("kept")
-    assert html_text.dropped("html/body/div.ad") and not html_text.dropped("html/body/div.adapted")
-    assert html_text.dropped("body/header") and not html_text.dropped("body/article/header")
+    assert html_text.main_text(page, {}) == "A & Bcd E"
+    assert html_text.main_text("<div>hello <span>w</span>orld</div><nav>x</nav>", {}) == "hello world"
+    assert html_text.main_text("plain &lt; text", {}) == "plain < text" and html_text.main_text(None, {}) == ""
+    assert html_text.main_text("<div>a</div><div>b</div>" * 2000, {}).split() == ["a", "b"] * 2000
+    assert html_text.main_text("<title>x<body><article>kept", {}).endswith("kept")
+    assert html_text.named("div", "ad") == (True, False) and html_text.named("div", "adapted") == (False, False)
+    assert html_text.main_text("<body><header>h</header><article><header>in</header> text</article>", {}) == "in text"
+    deep = "<div>" * 30_000 + "deep text" + "</div>" * 30_000 + "</section>" * 30_000
+    began = time.process_time()
+    assert html_text.main_text(deep, {}) == "deep text" and time.process_time() - began < 10

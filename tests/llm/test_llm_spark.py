@@ -68,6 +68,7 @@ def test_edge_rows_and_clashing_columns(spark):
 
     labels = spark.createDataFrame([(3, 1, 1), (6, None, 0), (7, 0, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
     model = toxicity.trained(df, labels)
+    assert np.array_equal(model.weights, toxicity.trained(df.repartition(5), labels).weights)
     scores = toxicity.scored(df, model).collect()
     assert len(scores) == len(EDGE) and all(0 <= r.score <= 1 for r in scores)
     assert toxicity.trained(df, labels.where("toxic = 0")) is None
@@ -189,6 +190,30 @@ def test_repeats_across_documents(spark):
     assert got == want and any(want[i] != t for i, t in rows)
 
 
+def test_rows_that_share_an_id_are_cut_each_by_itself(spark):
+    tail, word = " ".join(f"t{i}" for i in range(60)), lambda k: " ".join(f"{k}{i}" for i in range(30))
+    rows = [(1, f"{tail} one"), (2, f"x {tail} {word('x')}"), (2, f"y {word('y')} {tail} z"), (2, f"y {word('y')} {tail} z"), (3, f"{tail} one"), (3, word("q")), (None, tail)]
+    got = sorted((str(r.doc_id), r.text) for r in substring_dedup.without_repeats(docs(spark, rows)).collect())
+    assert got == sorted([("1", rows[0][1]), ("2", f"x {word('x')}"), ("2", f"y {word('y')} z"), ("2", f"y {word('y')} z"), ("3", ""), ("3", word("q")), ("None", tail)])
+    summary, cut = substring_dedup.repeated_passages(docs(spark, rows))
+    assert summary.count() == len(rows)
+    texts = {1: rows[0][1].split()}
+    for r in cut.collect():
+        for f in r.factors:
+            own = next(t for i, t in rows if i == r.id and len(t.split()) >= f.stop).split() if r.id != 2 else None
+            assert f.stop - f.start == 60 and f.reference == 1 and texts[1][f.place : f.place + 60] == tail.split() and own is None
+
+
+def test_lookup_of_many_documents(spark):
+    rows = [(7 * i, f"text number {i}") for i in range(3000)]
+    shards = token_tables.write_tables(docs(spark, rows).repartition(3), PATH, 2).cache()
+    whole = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in token_tables.read_tables(shards).collect()}
+    asked = list(range(0, 21_000, 5))
+    got = {r.doc_id: r.ids for r in token_tables.lookup(shards, asked).collect()}
+    assert len(whole) == 3000 and got == {i: whole[i] for i in asked if i in whole}
+    assert token_tables.lookup(shards, []).count() == 0
+
+
 def test_token_query_as_the_library(spark, sf_dir):
     from tokenizers import Tokenizer
 
@@ -254,6 +279,31 @@ def test_template_without_article(spark):
     assert got[3] == ("text 3 " * 30).strip() and got[7] == "" and got[8] == "lone & plain"
 
 
+def test_the_template_alone_tells_the_text(spark):
+    """Elements without telling names; only the other pages of the host say which of them is the main one."""
+    notice = "We would like you to know that this place uses small files, " * 4
+    page = lambda i, n, box="c": (i, f"http://t.org/{i}", f'<body><div class="a"><ul><li><a href="/">Home {i}</a></ul></div><div class="b">{notice}</div><div class="{box}"><p>{f"word{i} " * n}</p></div><div class="d">Page {i} of the other kind</div></body>')
+    rows = [page(i, 200 + i) for i in range(12)] + [page(12, 1)]
+    many = {r.id: r.text for r in html_text.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert many == {i: (f"word{i} " * (200 + i if i < 12 else 1)).strip() for i in range(13)}
+    alone = html_text.extracted(spark.createDataFrame(rows[12:], "page_id long, url string, html string")).first().text
+    assert "small files" in alone
+    copies = [(i, f"http://c.org/{i}", '<body><div class="c">one and the same text</div><div class="d">p%d</div></body>' % i) for i in range(9)]
+    assert {r.text for r in html_text.extracted(spark.createDataFrame(copies, "page_id long, url string, html string")).collect()} == {"one and the same text"}
+
+
+def test_classes_must_be_ordered_and_nested(spark):
+    slots = lambda rows: {r.host: dict(r.slots) for r in html_text.templates(spark.createDataFrame([(i, "h", x) for i, x in enumerate(rows)], "page long, host string, html string")).collect()}
+    key = lambda page, tag: [p.key for p in html_text.parsed(page).places if p.tag == tag]
+    fine = [f"<body><section>text {i}</section><figure>more {i}</figure></body>" for i in range(4)]
+    assert set(slots(fine)["h"]) == {*key(fine[0], "section"), *key(fine[0], "figure")}
+    swapped = [*fine[:2], *(f"<body><figure>more {i}</figure><section>text {i}</section></body>" for i in range(2))]
+    assert slots(swapped) == {}
+    # two elements on the same two pages, in different places of the template: no class of their own
+    other = ["<body><main>text <section>s</section></main><aside>x <figure>f</figure></aside></body>"] * 2 + ["<body><main>text</main><aside>x</aside></body>"] * 2
+    assert set(slots(other)["h"]) == {*key(other[0], "main"), *key(other[0], "aside")}
+
+
 def test_layouts_of_one_host_are_judged_apart(spark):
     body = lambda inner: f'<html><body class="has-sidebar search"><div id="top">Home</div>{inner}</body></html>'
     text = lambda i: f"words of page {i} " * 20
@@ -303,6 +353,22 @@ def test_targets_are_resolved(spark):
     assert {r.id: r.verdict for r in url_filter.judged(df, rules).collect()}[2] == "block"
 
 
+def test_url_query_as_sql_on_linked_pages(spark, tmp_path):
+    """The given pages hold no links; these do, so that the SQL says something about aliases."""
+    link = '<link rel="{}" href="{}">'.format
+    rows = [
+        (1, "http://a.example.com/en/x/1.html", ""), (2, "http://z.org/a/b.html", link("alternate canonical", "http://a.example.com/en/x/1.html")), (3, "http://z.org/a/c.html", link("canonical", "b.html")),
+        (4, "http://z.org/q", '<meta http-equiv="refresh" content="0; url=../a/./c.html?x=1&amp;y=2">'), (5, "http://z.org/a/c.html?x=1&y=2", "<link href=/a/b.html rel=canonical>"), (6, "http://y.org/a", link("canonical", "//z.org/a/b.html#top")),
+        (7, "http://example.com/en/7/z", ""), (8, "http://w.org/en/1", link("canonical", "http://example.com/en/7/z")), (9, "http://com/en/9", link("canonical", "http://w.org/en/1")), (10, "http://v.org", link("canonical", "?page=2")),
+        (11, "http://v.org/?page=2", link("canonical", "http://net.org/es/1")), (12, "http://u.org/a/b/", link("canonical", "../../../es/./2/..")), (13, None, None), (14, "nothing", link("canonical", "http://com/en/9")), (15, "http://t.org/", link("canonical", "mailto:x@y.z")),
+        (16, "http://s.org/1", link("stylesheet", "http://com/en/9")), (17, "http://org/es/2", ""), (18, "http://u.org/es/", ""), (1, "http://a.example.com/en/x/1.html", ""), (None, "http://com/en/9", None),
+    ]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    assert differences(spark, QUERIES["op3_url_filter"], ORACLE_SQL["op3_url_filter"], str(tmp_path)) == ""
+    got = {r.page_id: r.verdict for r in QUERIES["op3_url_filter"](spark, str(tmp_path)).collect()}
+    assert {i for i, v in got.items() if v == "block"} >= {1, 2, 3, 4, 5, 6, 9, 17, 18} and {got[i] for i in (7, 8, 13, 14, 15, 16)} == {"allow"}
+
+
 def test_topk_edge_vectors(spark):
     rows = [(0, [1.0, 0.5]), (100, [1.0, 0.5]), (1, [1.0, 0.5]), (2, None), (3, [float("nan"), 1.0]), (4, [None, 1.0]), (5, [float("inf"), 0.0]), (6, [2.0]), (200, [3.0]), (None, [1.0, 1.0]), (7, []), (8, [-1.0, 0.001])]
     df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, score int")
@@ -332,3 +398,85 @@ def test_pipeline_stages_keep_their_promises(spark):
         if name == "pii":
             assert gone == 0 and pii.personal_data(after).where("size(base) > 0").count() == 0
         before = after
+
+
+def _classes(texts: list, width: int = 5) -> list:
+    """The near-duplicate class of each text with words, None for others."""
+    sets = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append({tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else None)
+    cls = [None if s is None else i for i, s in enumerate(sets)]
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a and b and cls[i] != cls[j] and 100 * len(a & b) >= 80 * len(a | b):
+                cls = [cls[j] if c == cls[i] else c for c in cls]
+    return cls
+
+
+def test_pipeline_as_brute_force_on_edge_rows(spark, tmp_path):
+    import corpus_pipeline
+    from collections import Counter
+
+    from test_llm_small import brute_spans
+    from tokenizers import Tokenizer
+
+    sf, own = "/root/testdata/sf0.001", str(tmp_path)
+    given = [(r.doc_id, r.text, r.lang, r.source, r.n_chars, "x", 1) for r in table(spark, sf, "documents").orderBy("doc_id").limit(90).collect()]
+    item = table(spark, sf, "benchmark").where("text is not null").first().text
+    word = lambda k, n: " ".join(f"{k}{i}" for i in range(n))
+    texts = [(5000, None), (5001, ""), (5002, " \n "), (5003, word("a", 40)), (5003, word("a", 40)), (5004, word("a", 40) + " end"), (5005, word("b", 40)), (5005, word("c", 40)), (None, word("c", 40)), (None, word("d", 40)), (None, None), (5006, f"x {item} y"), (5007, "one short phrase here"), (5008, word("e", 7000)), (5009, "mail a.b@c.example.org or +1 (202) 555-0143, 10.0.0.7"), (5010, "é")]
+    rows = given + [(i, t, None, None, None, "y", None) for i, t in texts]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, node string, n int").repartition(3).write.parquet(f"{own}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        table(spark, sf, name).write.parquet(f"{own}/{name}.parquet")
+    spark.createDataFrame([(9999, "short phrase")], table(spark, sf, "benchmark").schema).write.mode("append").parquet(f"{own}/benchmark.parquet")
+
+    docs = table(spark, own, "documents")
+    key = lambda r: (str(r.doc_id), r.text)
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs.collect()
+        stage(spark, docs, own).write.parquet(f"{own}/{name}.parquet")
+        docs = table(spark, own, name)
+        assert docs.columns == table(spark, own, "documents").columns
+        kept[name] = (before, docs.collect())
+    before, after = kept["toxicity"]
+    labels = {r.doc_id: r.toxic for r in table(spark, sf, "labels").collect()}
+    assert not Counter(map(key, after)) - Counter(map(key, before)) and all(labels.get(r.doc_id) != 0 for r in before if r not in after)
+    before, after = kept["near_dedup"]
+    cls = dict(zip(map(key, before), _classes([r.text for r in before]), strict=True))
+    assert not Counter(map(key, after)) - Counter(map(key, before))
+    assert Counter(cls[key(r)] for r in after) == Counter({c: 1 if c is not None else sum(cls[key(r)] is None for r in before) for c in set(cls.values())})
+    before, after = kept["decontamination"]
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    windows = {tuple(w[k : k + 10]) for r in table(spark, own, "benchmark").collect() for w in [words(r.text)] for k in range(max(1, len(w) - 9)) if w}
+    hit = lambda w: any(tuple(w[k : k + n]) in windows for n in {len(x) for x in windows} for k in range(len(w) - n + 1))
+    assert Counter(map(key, after)) == Counter(key(r) for r in before if not hit(words(r.text))) and len(after) < len(before)
+    before, after = kept["pii"]
+    assert len(before) == len(after) and Counter(str(r.doc_id) for r in before) == Counter(str(r.doc_id) for r in after)
+    assert not any(brute_spans(r.text or "") for r in after) and Counter(key(r) for r in before if not re.search("[0-9@]", r.text or "")) <= Counter(map(key, after))
+    assert all(r.text is None or r.n_chars == len(r.text) for r in after)
+
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = Counter()
+    for r in after:
+        ids = [*tok.encode(r.text or "", add_special_tokens=False).ids, 1]
+        for k in range(0, len(ids), 2048):
+            part = ids[k : k + 2048]
+            want[str(r.doc_id), k, len(part), zlib.crc32(np.array(part, "<u4").tobytes()), len(ids)] += 1
+    pieces = corpus_pipeline.run(spark, own).collect()
+    assert Counter((str(r.doc_id), r.start, r.length, r.ids_crc32, r.doc_tokens) for r in pieces) == want
+    by_sequence: dict = {}
+    for r in pieces:
+        by_sequence.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert all(sum(n for _, n in s) <= 2048 and all(a + n == b for (a, n), (b, _) in zip(sorted(s), sorted(s)[1:])) and min(s)[0] == 0 for s in by_sequence.values())
+
+
+def test_pipeline_on_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    for name in ("documents", "labels", "benchmark"):
+        table(spark, "/root/testdata/sf0.001", name).limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
