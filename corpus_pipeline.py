@@ -7,14 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vendorlens.llm import decontamination, near_dedup, packing, pii, toxicity
-from vendorlens.llm.common import saved, table
-
-#: Items of fewer words than a window could stand in any text by chance.
-LEAST_ITEM_WORDS = 10
+from vendorlens.llm.common import saved, small_batches, table
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts. Labels are learned as in the registered query: not from held-out rows."""
+    small_batches(spark)
     learnable = F.crc32(F.col("_id").cast("string")) % 4 != 2
     model = toxicity.trained(docs, table(spark, sf_dir, "labels"), usable=learnable)
     return toxicity.acceptable(docs, model, threshold=0.3)
@@ -22,21 +20,25 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
+    small_batches(spark)
     return near_dedup.deduplicated(docs, every_row=True, width=5, percent=80)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any ten words in a row of a benchmark item."""
-    return decontamination.decontaminated(docs, table(spark, sf_dir, "benchmark"), width=10, least_words=LEAST_ITEM_WORDS)
+    """Documents without any ten words in a row of a benchmark item, or a whole item of fewer words."""
+    small_batches(spark)
+    return decontamination.decontaminated(docs, table(spark, sf_dir, "benchmark"), width=10)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their personal data replaced by its kind; n_chars follows the text."""
+    small_batches(spark)
     return pii.redacted(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
 
 
 def into_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of 2048 tokens."""
+    small_batches(spark)
     pieces = packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     return pieces.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
