@@ -84,6 +84,8 @@ def test_benchmark_in_blocks_as_in_one(spark, monkeypatch):
     one = found()
     monkeypatch.setattr(decontamination, "BENCHMARK_BLOCK_BYTES", 30)
     assert len(one) == len(rows) and found() == one
+    clean = sorted(str(r.doc_id) for r in decontamination.decontaminated(df, bench).collect())
+    assert clean == sorted(r[0] for r in one if not r[2]) and "2" in clean
 
 
 def test_empty_tables(spark):
@@ -125,8 +127,13 @@ def test_components(spark):
     assert got == {x: find(x) for x in list(parent)}
 
 
-def test_near_copies_of_one_text(spark):
-    """A group whose members differ from each other, single pairs, and texts that are too different."""
+@pytest.mark.parametrize("small", [False, True])
+def test_near_copies_of_one_text(spark, small, monkeypatch):
+    """A group whose members differ from each other, single pairs, and texts that are too different; also with nodes
+    of many tiles, several blocks of probes, deep branching and salted leaders."""
+    if small:
+        for name, value in {"LEAF": 4, "TILE": 7, "PROBES": 3, "LAST_DEPTH": 4, "STAR": 16, "CONFIRMED": 2}.items():
+            monkeypatch.setattr(near_dedup, name, value)
     rng = random.Random(10)
     base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
     rows = []
@@ -242,6 +249,27 @@ def test_packing_query_places_every_token_once(spark, sf_dir):
     assert sum(map(len, full.values())) > 0.97 * 2048 * (len(by_sequence) - 1)
 
 
+def test_equal_rows_are_spread_over_groups(spark):
+    df = docs(spark, [(None, "one and the same text")] * 3000 + [(i, f"text {i}") for i in range(200)])
+    pieces = packing.packed(df.repartition(3), PATH, 1, group_documents=400).collect()
+    groups = [r.sequence_id // packing.GROUP_SPAN for r in pieces if r.id is None]
+    assert len(pieces) == 3200 and len(set(groups)) == 8 and max(map(groups.count, set(groups))) < 600
+    assert sum(r.length for r in pieces) > 0.9 * 2048 * (len({r.sequence_id for r in pieces}) - 8)
+
+
+def test_training_samples_are_bounded_and_stable(spark, monkeypatch):
+    for name, value in {"MAX_POSITIVE": 40, "MAX_UNLABELLED": 60, "MAX_SCALE": 50}.items():
+        monkeypatch.setattr(toxicity, name, value)
+    df = docs(spark, [(i, f"word{i % 7} nasty text {i}" if i % 3 == 0 else f"word{i % 7} other text {i}") for i in range(2000)])
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(0, 2000, 2)], "doc_id long, quality int, toxic int")
+    known = labels.select(F.col("doc_id").alias("_id"), F.lit(1).alias("_label"))
+    some = toxicity._some(known, 60, 1).collect()
+    assert len(some) == 60 and some == toxicity._some(known.repartition(7), 60, 1).collect()
+    model = toxicity.trained(df, labels)
+    scores = {r.id: r.score for r in toxicity.scored(df, model).collect()}
+    assert np.mean([scores[i] > 0.5 for i in range(0, 2000, 3)]) > 0.95 > 0.05 > np.mean([scores[i] > 0.5 for i in range(2000) if i % 3])
+
+
 def test_toxicity_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
     out = QUERIES["op8_toxicity"](spark, sf).join(table(spark, sf, "labels"), "doc_id").where("held_out and toxic is not null").select("predicted", "toxic").toPandas()
