@@ -100,7 +100,7 @@ def named(tag: str, names: str) -> tuple[bool, bool]:
 def parsed(html: str) -> Page:
     """The containers of a page and its texts, in order.
 
-    A text is cut at tags that are not inline; character references are decoded, white space is as it was.
+    A text is cut at tags that are not inline; character references are decoded, white space is one blank and none at the ends.
     """
     page = Page([Place(0, -1, "", False, False, False)])
     places, known = page.places, {0: 0}
@@ -111,8 +111,7 @@ def parsed(html: str) -> Page:
 
     def flush() -> None:
         if held:
-            text = "".join(held)
-            if text and not text.isspace():
+            if text := _SPACE.sub(" ", "".join(held)).strip():
                 page.blocks.append((stack[-1], text, link))
             held.clear()
 
@@ -187,7 +186,7 @@ def _page_stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for at, text, link in own.blocks:
                 chars[at][0] += len(text)
                 chars[at][1] += len(text) if link else 0
-                texts[at, xxhash.xxh64_intdigest(_SPACE.sub(" ", text).strip()) >> 1 | 1, len(text)] += 1
+                texts[at, xxhash.xxh64_intdigest(text) >> 1 | 1, len(text)] += 1
             for i, x in enumerate(own.places[1:], 1):
                 add((host, x.key, own.places[x.parent].key, 0), f"{page}:{x.count}", x.before, *chars[i])
             for (at, text, n), count in texts.items():
@@ -274,7 +273,7 @@ def main_text(html: str | None, slots: Mapping[int, float]) -> str:
         return ""
     page = parsed(html)
     main = main_places(page, slots)
-    return _SPACE.sub(" ", " ".join(t for p, t, _ in page.blocks if p in main)).strip()
+    return " ".join(t for p, t, _ in page.blocks if p in main)
 
 
 def extracted(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
