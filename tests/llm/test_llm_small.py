@@ -186,6 +186,21 @@ def test_tree_search_is_exact():
     assert topk.products(big, big[0]).tolist() == [1 << 61]
 
 
+def test_near_vectors_share_shards():
+    rng = np.random.default_rng(13)
+    centres = rng.integers(-5000, 5000, (16, 8))
+    v = centres[rng.integers(0, 16, 4000)] + rng.integers(-50, 50, (4000, 8))
+    code = topk.Layout(v[::4], 16).codes(v)
+    assert code.max() < 32 and np.bincount(code).max() < 1200 and (topk.Layout(v[:3], 16).codes(v) == 0).all()
+    queries = v[:200]
+    floors = np.sort(queries @ v.T, 1)[:, -11]
+    pruned = [len(topk.reaching(v[code == c].min(0), v[code == c].max(0), queries, floors)) for c in np.unique(code)]
+    mixed = [len(topk.reaching(v[k::16].min(0), v[k::16].max(0), queries, floors)) for k in range(16)]
+    assert np.mean(pruned) < 0.5 * 200 < np.mean(mixed)
+    equal = topk.Layout(np.ones((500, 3), np.int64), 8)
+    assert equal.leaves == 1 and topk.Layout(np.empty((0, 3), np.int64), 8).leaves == 1
+
+
 def brute_spans(t: str) -> list:
     out = [("email", *m.span()) for m in pii.EMAIL.finditer(t)]
     out += [("ip", *m.span()) for m in pii.IP.finditer(t) if all(int(x) <= 255 for x in m[0].split("."))]

@@ -258,7 +258,7 @@ def test_equal_rows_are_spread_over_groups(spark):
 
 
 def test_training_samples_are_bounded_and_stable(spark, monkeypatch):
-    for name, value in {"MAX_POSITIVE": 40, "MAX_UNLABELLED": 60, "MAX_SCALE": 50}.items():
+    for name, value in {"MAX_POSITIVE": 100, "MAX_UNLABELLED": 300, "MAX_SCALE": 100}.items():
         monkeypatch.setattr(toxicity, name, value)
     df = docs(spark, [(i, f"word{i % 7} nasty text {i}" if i % 3 == 0 else f"word{i % 7} other text {i}") for i in range(2000)])
     labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(0, 2000, 2)], "doc_id long, quality int, toxic int")
@@ -407,6 +407,24 @@ def test_topk_edge_vectors(spark):
     assert got == {0: [(1, own), (100, own)], 100: [(0, own), (1, own)], 200: [(6, 3072 * 2048)]}
 
 
+def test_topk_over_laid_out_shards(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SHARD", 64)
+    monkeypatch.setattr(topk, "LAYOUT_COMPONENTS", 900)
+    rng = np.random.default_rng(14)
+    centres = rng.normal(size=(9, 6)) * 5
+    v = (centres[rng.integers(0, 9, 900)] + rng.normal(size=(900, 6)) * 0.1).astype("float32")
+    v[200:500] = v[200]  # a third of all rows
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(1000 + i, [1.0 * i]) for i in range(3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got: dict = {}
+    for r in topk.nearest(df, F.col("id") % 100 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    n = np.floor(1024 * v.astype(float)).astype(np.int64)
+    for q in range(0, 900, 100):
+        assert got[q] == sorted(((i, int(n[i] @ n[q])) for i in range(900) if i != q), key=lambda x: (-x[1], x[0]))[:10]
+    assert [i for i, _ in got[1000]] == [1001, 1002]
+
+
 def test_pipeline_stages_keep_their_promises(spark):
     import corpus_pipeline
 
