@@ -307,3 +307,35 @@ def test_pooled_text_in_parts(spark):
     assert pooled == {1: "s1  s2 t2" + "x" * 2000, 2: "s t", 3: "only"}
     sizes = {r.vendor_id: (r.n_hits, r.n_chars) for r in evidence.pool_sizes(evidence.pool_parts(hits, scraped)).collect()}
     assert sizes == {1: (2, len(pooled[1])), 2: (1, 3), 3: (0, 4)}
+
+
+def test_more_signals_never_lower_the_score(spark):
+    words = [r[3] for r in default_rows()]
+    rng = random.Random(7)
+    texts = []
+    for _ in range(30):
+        some = rng.sample(words, rng.randint(1, 8))
+        texts += [" | ".join(some), " | ".join(some + rng.sample(words, 3))]
+    got = scores(spark, texts)
+    for i in range(0, 60, 2):
+        assert got[i][0] <= got[i + 1][0] and got[i][2] <= got[i + 1][2] and got[i][3] <= got[i + 1][3]
+
+
+def test_signals_of_a_vendor_are_those_of_its_documents(spark):
+    words = [r[3] for r in default_rows()]
+    rng = random.Random(8)
+    df = spark.createDataFrame([(i % 4, i, " / ".join(rng.sample(words, 5))) for i in range(24)], "v int, d int, text string")
+    own = ["category", "severity", "keyword"]
+    by_vendor = {tuple(r) for r in signals.extract_signals(df, "v", "text", lexicon(spark), spread=2).select("v", *own).collect()}
+    by_document = signals.extract_signals(df, ["v", "d"], "text", lexicon(spark), distinct=False)
+    assert by_vendor == {tuple(r) for r in by_document.select("v", *own).distinct().collect()}
+    both = {r.v: r for r in scoring.scored_groups(by_document.dropDuplicates(["v", *own]), "v").collect()}
+    for r in scoring.score_signals(by_document.dropDuplicates(["v", *own]), "v").collect():
+        assert (r.risk_score, r.risk_level, r.confidence_score, r.disruption_probability, r.n_signals, r.n_categories) == tuple(both[r.v])[1:7] and len(both[r.v].signals) == r.n_categories
+
+
+def test_large_lexicons_are_matched_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(signals, "LEXICON_BLOCK", 20)
+    df = spark.createDataFrame([(1, "bankruptcy and a data breach, a lawsuit, delays")], "k long, text string")
+    got = sorted(r.keyword for r in signals.extract_signals(df, "k", "text", lexicon(spark)).collect())
+    assert got == ["bankruptcy", "data breach", "delays", "lawsuit"]
