@@ -42,7 +42,7 @@ SEED = 20
 
 #: Words of a reference block, on average (a longer document is in it as a whole), and documents that one task parses against it.
 BLOCK_WORDS = 150_000
-PARSED_DOCUMENTS = 4096
+PARSED_DOCUMENTS = 512
 #: Suffixes that are compared with a document one after the other.
 FEW = 16
 
