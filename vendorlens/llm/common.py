@@ -7,7 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Text taken into one numpy block, in bytes. A longer document is a block of its own.
@@ -45,6 +45,25 @@ def saved(df: DataFrame, name: str, **options) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
+    """``df`` as a table in the shared folder, with _pos, from 0 without gaps within ``group`` (null is a group too) by ``order``
+    (nulls first), and _size, the rows of the group.
+
+    Rows are sorted by ranges, equal rows included, so that a group of any size lies in many tasks; only counts of
+    (range, group) are summed up over ranges. Rows equal in ``order`` are numbered in any order.
+    """
+    tied = df.withColumn("_tie", F.monotonically_increasing_id())
+    ranges = tied.repartitionByRange(partitions_for(df), group, *order, "_tie").sortWithinPartitions(group, *order, "_tie").drop("_tie")
+    stored = saved(ranges.withColumn("_at", F.monotonically_increasing_id()), name)  # range << 33 | place in the range
+    part = F.shiftright("_at", 33)
+    counts = stored.groupBy(part.alias("_part"), F.col(group).alias("_of")).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    whole = Window.partitionBy("_of")
+    before = F.sum("_n").over(whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("_part", "_of", "_first", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias("_size"))
+    rows = stored.join(counts, (part == F.col("_part")) & F.col(group).eqNullSafe(F.col("_of")))
+    return rows.select(*df.columns, (F.col("_before") + F.col("_at") - F.col("_first")).alias("_pos"), "_size")
+
+
 #: Text that goes to a Python worker at once.
 BATCH_BYTES = 4 << 20
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vendorlens.llm import decontamination, html_text, near_dedup, packing, pii, substring_dedup, token_tables, topk, toxicity, url_filter
+from vendorlens.llm import decontamination, hash_ring, html_text, merkle, near_dedup, packing, periodic_runs, pii, substring_dedup, token_tables, topk, toxicity, url_filter
 from vendorlens.llm.common import small_batches, table
 
 
@@ -86,6 +86,58 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def with_planted_runs(documents: DataFrame) -> DataFrame:
+    """The documents, a tenth of them with a planted run: with h the crc32 of the id and g = h // 10, the words from a = g % n on
+    become those from a to a + p - 1 over and over, where p = 1 + (n - a) // (3 + g % 8)."""
+    h, g = F.crc32(F.col("doc_id").cast("string")), F.expr("h div 10")
+    words = F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    staged = documents.select("doc_id", "text", h.alias("h")).select("doc_id", "text", g.alias("g"), words.alias("w"))
+    staged = staged.select("*", F.when(F.size("w") > 0, F.expr("g % size(w)")).alias("a"))
+    staged = staged.select("*", F.expr("1 + (size(w) - a) div (3 + g % 8)").alias("p"))
+    text = F.expr("array_join(transform(w, (x, i) -> if(i < a, x, w[int(a + (i - a) % p)])), ' ')")
+    return staged.select("doc_id", F.when(F.col("a").isNotNull(), text).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(with_planted_runs(table(spark, sf_dir, "documents")))
+    # a ratio of whole numbers is compared by products
+    order = "case when x.length * y.period <> y.length * x.period then if(x.length * y.period > y.length * x.period, -1, 1) when x.start <> y.start then if(x.start < y.start, -1, 1) else cast(sign(x.period - y.period) as int) end"
+    best = F.expr(f"aggregate(runs, runs[0], (x, y) -> if({order} <= 0, x, y))")
+    lines = F.expr("array_join(transform(runs, x -> concat(x.start, ',', x.length, ',', x.period, '\n')), '')")
+    return found.select("id", "kept_text", "runs", F.when(F.size("runs") > 0, best).alias("best")).select(
+        F.col("id").alias("doc_id"),
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        F.col("best.length").alias("length"),
+        F.col("best.period").alias("period"),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("kept_text", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    leaf = lambda n_chars: merkle.row_digest(F.col("doc_id"), F.col("source"), F.col("lang"), n_chars, F.col("text"))
+    tampered = (F.crc32(F.col("doc_id").cast("string")) % 7 == 0) & F.col("n_chars").isNotNull()
+    leaves = documents.select("doc_id", "lang", leaf(F.col("n_chars")).alias("leaf"), F.when(tampered, leaf(F.col("n_chars") + 1)).alias("changed"))
+    found = merkle.manifest(leaves, id_col="doc_id", group_col="lang", leaf_col="leaf", changed_col="changed")
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "leaf",
+        "subroot",
+        "root",
+        F.sha2(F.array_join(merkle.siblings(), ""), 256).alias("proof_sha256"),
+        F.col("folded").alias("folded_root"),
+        (F.col("folded") == F.col("root")).alias("verified"),
+    )
+
+
+def op13_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = hash_ring.sharded(table(spark, sf_dir, "documents"), 16)
+    return found.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def _limited(query):
     """The query in a session that sends small batches to Python."""
 
@@ -110,6 +162,9 @@ QUERIES = {
         op6_substring_dedup,
         op4_minhash_near_dedup,
         op1_benchmark_decontamination,
+        op11_periodic_runs,
+        op12_merkle_manifest,
+        op13_hash_ring,
     )
 }
 
@@ -238,4 +293,43 @@ ORACLE_SQL = {
                sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN listed USING (doc_id)
     """,
+    "op12_merkle_manifest": """
+        WITH RECURSIVE d AS (
+            SELECT *, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+                lambda x, y: list_reduce(list_concat([xor(x, y)], range(8)), lambda c, i: xor(c >> 1, 3988292384 * (c & 1)))) AS c FROM documents
+        ), f AS (SELECT doc_id, lang, n_chars, xor(c, 4294967295) % 7 = 0 AND n_chars IS NOT NULL AS tampered,
+                coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+                coalesce(strlen(text) || ':' || text, '-') AS tail FROM d
+        ), leaves AS MATERIALIZED (
+            SELECT doc_id, lang, sha256(head || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf,
+                   CASE WHEN tampered THEN sha256(head || strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1) || tail) END AS changed FROM f
+        ), placed AS MATERIALIZED (
+            SELECT *, coalesce('1' || lang, '0') AS g, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leaves
+        ), trees AS (
+            SELECT g, 0 AS level, list(leaf ORDER BY pos) AS nodes FROM placed GROUP BY g
+            UNION ALL
+            SELECT g, level + 1, list_transform(range(0, (len(nodes) + 1) // 2), lambda i: sha256(nodes[2 * i + 1] || coalesce(nodes[2 * i + 2], ''))) FROM trees WHERE len(nodes) > 1
+        ), subroots AS MATERIALIZED (SELECT g, nodes[1] AS subroot, level AS height, row_number() OVER (ORDER BY g) - 1 AS place FROM trees WHERE len(nodes) = 1),
+        top AS (
+            SELECT 0 AS level, list(subroot ORDER BY place) AS nodes FROM subroots
+            UNION ALL
+            SELECT level + 1, list_transform(range(0, (len(nodes) + 1) // 2), lambda i: sha256(nodes[2 * i + 1] || coalesce(nodes[2 * i + 2], ''))) FROM top WHERE len(nodes) > 1
+        ), flat AS MATERIALIZED (
+            SELECT g, level, unnest(range(0, len(nodes))) AS k, unnest(nodes) AS h FROM trees UNION ALL SELECT 'top', level, unnest(range(0, len(nodes))), unnest(nodes) FROM top
+        ), steps AS MATERIALIZED (
+            SELECT p.g, p.pos, n.step, CASE WHEN n.step < height THEN p.g ELSE 'top' END AS tree, CASE WHEN n.step < height THEN n.step ELSE n.step - height END AS level,
+                   CASE WHEN n.step < height THEN p.pos >> n.step ELSE s.place >> (n.step - height) END AS own
+            FROM placed p JOIN subroots s ON s.g = p.g, (SELECT max(level) AS top_height FROM top), LATERAL (SELECT unnest(range(0, s.height + top_height)) AS step) n
+        ), beside AS MATERIALIZED (
+            SELECT s.g, s.pos, s.step, s.own % 2 AS is_right, f.h FROM steps s LEFT JOIN flat f ON f.g = s.tree AND f.level = s.level AND f.k = xor(s.own, 1)
+        ), proofs AS (SELECT g, pos, string_agg(h, '' ORDER BY step) AS proof FROM beside GROUP BY g, pos),
+        folds AS (
+            SELECT g, pos, 0 AS step, coalesce(changed, leaf) AS h FROM placed
+            UNION ALL
+            SELECT f.g, f.pos, f.step + 1, sha256(CASE WHEN b.is_right = 1 THEN coalesce(b.h, '') || f.h ELSE f.h || coalesce(b.h, '') END) FROM folds f JOIN beside b ON b.g = f.g AND b.pos = f.pos AND b.step = f.step
+        ), folded AS (SELECT g, pos, arg_max(h, step) AS h FROM folds GROUP BY g, pos)
+        SELECT p.doc_id, p.leaf, s.subroot, (SELECT h FROM flat WHERE g = 'top' ORDER BY level DESC LIMIT 1) AS root, sha256(coalesce(proof, '')) AS proof_sha256, f.h AS folded_root,
+               f.h = (SELECT h FROM flat WHERE g = 'top' ORDER BY level DESC LIMIT 1) AS verified
+        FROM placed p JOIN subroots s ON s.g = p.g LEFT JOIN proofs r ON r.g = p.g AND r.pos = p.pos JOIN folded f ON f.g = p.g AND f.pos = p.pos
+    """,
 }
