@@ -259,7 +259,7 @@ def test_alerts_are_stored_once(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "alerts"))
     from vendorlens.schemas import ALERTS
 
-    assert got.drop("batch").schema.simpleString() == spark.createDataFrame([], ALERTS).schema.simpleString()
+    assert got.drop("run", "batch").schema.simpleString() == spark.createDataFrame([], ALERTS).schema.simpleString()
     assert sorted((r.vendor_name, r.message, r.risk_level, r.acknowledged) for r in got.collect()) == [("v", "Legal risk detected", "HIGH", False), ("w", "Legal risk detected", "HIGH", False)]
 
 

@@ -8,7 +8,7 @@ from vendorlens.functions import scalars
 from vendorlens.operators import analyst, dashboard, evidence, reports, scoring
 from vendorlens.plans.risk_queries import _DOC_SCORES, _signals, query
 from vendorlens.sources import adapters as A
-from vendorlens.streaming import jobs
+from vendorlens.streaming import jobs, lifecycle
 from vendorlens.streaming import signals as streams
 
 
@@ -266,6 +266,14 @@ def job_state(spark, sf_dir):
     return jobs.job_state(A.job_events(spark, sf_dir))
 
 
+@query(f"""WITH {A.JOBS_SQL}, p AS (SELECT job_id, max(ts) AS last, arg_max(row(stage, message, progress), (ts, progress, stage, message)) AS p FROM je WHERE status = 'running' GROUP BY job_id),
+    t AS (SELECT job_id, arg_max(row(error, stage, message, progress), (ts, error, progress, stage, message)) AS t FROM je WHERE status = 'failed' GROUP BY job_id),
+    j AS (SELECT job_id, t IS NULL AS open, t IS NULL AND (SELECT max(ts) FROM je) - last >= INTERVAL 1 DAY AS silent, coalesce(p[1], t[2]) AS stage, coalesce(p[3], t[4], 0)::INTEGER AS progress, t[1] AS error FROM p FULL JOIN t USING (job_id))
+    SELECT job_id, CASE WHEN silent OR NOT open THEN 'failed' ELSE 'running' END AS status, stage, progress, CASE WHEN silent THEN 'no progress before the timeout' ELSE error END AS error FROM j""")
+def job_outcome(spark, sf_dir):
+    return lifecycle.job_outcome(A.job_events(spark, sf_dir), timeout_seconds=86_400).select("job_id", "status", "stage", "progress", "error")
+
+
 @query(f"""WITH {A.JOBS_SQL} SELECT job_id, stage, epoch_us(ts) AS ts_us, epoch_us(lead(ts) OVER (PARTITION BY job_id ORDER BY ts, progress NULLS FIRST, stage)) - epoch_us(ts) AS micros FROM je""")
 def stage_durations(spark, sf_dir):
     d = jobs.stage_durations(A.job_events(spark, sf_dir))

@@ -32,6 +32,25 @@ def _vendor_signals(spark, sf_dir):
     return _signals(spark, sf_dir).drop("doc_id").dropDuplicates(["source", "category", "severity", "keyword"])
 
 
+@query(f"WITH {A.SIGNALS_SQL} SELECT doc_id, category, severity, keyword, weight FROM sig")
+def automaton_signals(spark, sf_dir):
+    found = signals.extract_signals_automaton(A.evidence_text(spark, sf_dir), ["doc_id", "source"], "text", lexicon(spark), distinct=False, spread=spark.sparkContext.defaultParallelism)
+    return found.select("doc_id", "category", "severity", "keyword", "weight")
+
+
+@query(f"""WITH {A.TEXT_SQL}, big AS (SELECT DISTINCT lower(substring(text, 11, 9)) AS keyword, lang AS category, length(source) AS weight FROM f1 WHERE length(text) > 19),
+    hits AS (SELECT f1.doc_id, big.keyword, big.category, big.weight FROM f1 JOIN big ON contains(lower(f1.text), big.keyword))
+    SELECT keyword, category, weight, count(DISTINCT doc_id) AS n_documents, min(doc_id) AS first_document FROM hits GROUP BY keyword, category, weight""")
+def large_lexicon(spark, sf_dir):
+    """A lexicon that grows with the data: nine letters of each document. In how many documents is each of its entries?"""
+    texts = A.evidence_text(spark, sf_dir)
+    long = texts.where(F.length("text") > 19)
+    big = long.select(F.lower(F.substring("text", 11, 9)).alias("keyword"), F.col("lang").alias("category"), F.length("source").alias("weight")).distinct()
+    big = big.withColumns({"ord": F.lit(0), "severity": F.lit("low"), "indicator": F.col("keyword")})
+    found = signals.extract_signals_automaton(texts, "doc_id", "text", big, distinct=False, spread=spark.sparkContext.defaultParallelism)
+    return found.groupBy("keyword", "category", "weight").agg(F.countDistinct("doc_id").alias("n_documents"), F.min("doc_id").alias("first_document"))
+
+
 SCORE_SQL = """SELECT {k}, CASE WHEN n IS NULL THEN 5 ELSE s END::INTEGER AS risk_score,
     CASE WHEN n IS NULL THEN 'LOW' WHEN s >= 70 THEN 'CRITICAL' WHEN s >= 50 THEN 'HIGH' WHEN s >= 25 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level,
     CASE WHEN n IS NULL THEN 0.3::DOUBLE ELSE round(0.5::DOUBLE * (c / 5) + 0.5::DOUBLE * least(1.0::DOUBLE, n / 15), 2) END AS confidence_score,
@@ -93,6 +112,18 @@ def category_severity_cube(spark, sf_dir):
     return scoring.rollup_signals(_vendor_signals(spark, sf_dir), "source")
 
 
+@query(f"""WITH {A.SIGNALS_SQL}, {A.DATED_SQL} SELECT category, severity, grouping(category, severity)::BIGINT AS grouping, count(DISTINCT doc_id) AS vendors, true AS close, sum(weight)::BIGINT AS total_weight
+    FROM dsig GROUP BY CUBE (category, severity)""")
+def sketch_rollup(spark, sf_dir):
+    """Each document as a vendor: estimates from daily sketches beside the exact numbers; ``close``: within 3 %."""
+    found = A.dated_signals(spark, sf_dir, _signals(spark, sf_dir))
+    exact = scoring.rollup_signals(found, "doc_id").withColumnRenamed("vendors", "n")
+    about = scoring.rollup_sketches(scoring.daily_sketches(found, "doc_id")).select(*[F.col(c).alias(f"a_{c}") for c in ("category", "severity", "grouping", "vendors")])
+    same = exact["category"].eqNullSafe(F.col("a_category")) & exact["severity"].eqNullSafe(F.col("a_severity")) & (exact["grouping"] == F.col("a_grouping"))
+    close = F.abs(F.col("a_vendors") - F.col("n")) <= 0.03 * F.col("n")
+    return exact.join(about, same).select("category", "severity", "grouping", F.col("n").alias("vendors"), close.alias("close"), "total_weight")
+
+
 @query(f"WITH {A.SIGNALS_SQL}, {_groups_sql('source', 'vsig')}, o AS (SELECT source, list(category ORDER BY weight DESC, ord) AS c FROM groups GROUP BY source) SELECT source, c[1] AS primary_category, array_to_string(c[2:], '|') AS secondary FROM o")
 def primary_category(spark, sf_dir):
     out = analyst.primary_category(scoring.signal_groups(_vendor_signals(spark, sf_dir), "source"), ["source"])
@@ -184,6 +215,21 @@ def corpus_retrieval(spark, sf_dir):
     return evidence.retrieve(A.evidence(spark, sf_dir), topics, keys=["doc_id"], text_col="snippet")
 
 
+@query(f"""WITH {A.EVIDENCE_SQL}, t AS (SELECT doc_id AS vendor_id, (doc_id % 3)::INTEGER AS query_id, lower(substring(snippet, (3 * (doc_id % 5))::INTEGER + 1, CASE doc_id % 50 WHEN 7 THEN 1 WHEN 9 THEN 2 WHEN 11 THEN 0 ELSE 5 END)) AS phrase,
+        [lower(substring(snippet, 30, 4)), 'lawsuit'] AS terms, 'src' || doc_id % 7 || '.example.com' AS domain FROM ev), d AS (SELECT doc_id, lower(snippet) AS x, regexp_extract(url, '^[^:]+://([^/?#]+)', 1) AS host FROM ev)
+    SELECT doc_id, vendor_id, query_id FROM d JOIN t ON contains(x, phrase) AND (contains(x, terms[1]) OR contains(x, terms[2])) AND NOT (host = domain OR ends_with(host, '.' || domain))""")
+def indexed_retrieval(spark, sf_dir):
+    """A topic for each document, with a phrase and a term of its text."""
+    e = A.evidence(spark, sf_dir)
+    k = F.col("doc_id") % 50
+    length = F.when(k == 7, 1).when(k == 9, 2).when(k == 11, 0).otherwise(5)
+    topics = e.select(
+        F.col("doc_id").alias("vendor_id"), (F.col("doc_id") % 3).cast("int").alias("query_id"), F.substring("snippet", (3 * (F.col("doc_id") % 5) + 1).cast("int"), length).alias("phrase"),
+        F.array(F.substring("snippet", 30, 4), F.lit("lawsuit")).alias("terms"), F.concat(F.lit("src"), (F.col("doc_id") % 7).cast("string"), F.lit(".example.com")).alias("domain"),
+    )
+    return evidence.retrieve_indexed(e, topics, keys=["doc_id"], text_col="snippet")
+
+
 _PLACED = "placed AS (SELECT *, row_number() OVER (PARTITION BY vendor_id ORDER BY pass, query_id, rank) AS place FROM added)"
 
 
@@ -222,6 +268,19 @@ def text_pool(spark, sf_dir):
     return pooled.select("vendor_id", F.length("pooled").alias("n_chars"), F.md5(F.col("pooled").cast("binary")).alias("pooled"))
 
 
+@query(f"""WITH {A.TEXT_SQL}, w AS (SELECT doc_id, source, lower(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM f1), pooled AS (SELECT source AS vendor_id, string_agg(t, ' ' ORDER BY doc_id) AS t FROM w GROUP BY source)
+    SELECT vendor_id, category, severity, keyword, weight FROM pooled JOIN lexicon ON contains(t, lexicon.keyword)""")
+def pooled_signals(spark, sf_dir):
+    """Signals of each source's pooled text, every two words of its documents being a hit, so that most keywords of several words lie over hits."""
+    words = F.split(F.regexp_replace("text", r"\s+", " "), " ")
+    texts = A.evidence_text(spark, sf_dir).select("doc_id", F.col("source").alias("vendor_id"), words.alias("w"))
+    pairs = F.transform(F.sequence(F.lit(1), F.size("w"), F.lit(2)), lambda i: F.slice("w", i, F.lit(2)))
+    hits = texts.select("vendor_id", F.lit(1).alias("pass"), F.col("doc_id").alias("query_id"), F.posexplode(pairs).alias("rank", "two"))
+    # an odd last word has no title; its blank stands for the one before the next hit
+    hits = hits.select("vendor_id", "pass", "query_id", "rank", F.col("two")[0].alias("snippet"), F.try_element_at("two", F.lit(2)).alias("title"))
+    return evidence.pool_signals(hits, lexicon(spark)).select("vendor_id", "category", "severity", "keyword", "weight")
+
+
 @query(f"WITH {_ALL_SQL} SELECT vendor_id, count(*) AS n_hits, length(string_agg(snippet || ' ' || title, ' '))::BIGINT AS n_chars FROM added GROUP BY vendor_id")
 def text_pool_sizes(spark, sf_dir):
     """Sizes of the pooled text of each source, whose hits no task gathers."""
@@ -311,6 +370,17 @@ def analogues(spark, sf_dir):
     return analyst.analogues(s, s.where(F.col("source").isin("src0", "src3", "src7")), "source")
 
 
+@query(f"""WITH {A.SIGNALS_SQL}, own AS (SELECT DISTINCT doc_id, category, severity, keyword FROM sig), known AS (SELECT * FROM own WHERE doc_id % 4 = 1),
+    a AS (SELECT doc_id, count(*) AS a FROM own GROUP BY doc_id), b AS (SELECT doc_id AS case_id, count(*) AS b FROM known GROUP BY doc_id),
+    s AS (SELECT own.doc_id, known.doc_id AS case_id, count(*) AS shared FROM own JOIN known USING (category, severity, keyword) WHERE own.doc_id <> known.doc_id GROUP BY own.doc_id, known.doc_id),
+    j AS (SELECT doc_id, case_id, shared, round(shared / (a + b - shared), 6) AS jaccard FROM s JOIN a USING (doc_id) JOIN b USING (case_id)),
+    p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY jaccard DESC, case_id)::INTEGER AS place FROM j) SELECT * FROM p WHERE place <= 5""")
+def document_analogues(spark, sf_dir):
+    """Every document against a quarter of all as known cases: many cases with the same signals."""
+    s = _signals(spark, sf_dir)
+    return analyst.analogues(s, s.where("doc_id % 4 = 1"), "doc_id", 5)
+
+
 @query(f"""WITH {A.SIGNALS_SQL}, {A.DATED_SQL}, days AS (SELECT DISTINCT source, day FROM dsig)
     SELECT d.source, d.day::VARCHAR AS day, sum(weight) FILTER (s.day > d.day - 90)::BIGINT AS weight_now, coalesce(sum(weight) FILTER (s.day <= d.day - 90), 0)::BIGINT AS weight_before,
            count(DISTINCT category) FILTER (s.day > d.day - 90)::INTEGER AS categories_now, count(DISTINCT category) FILTER (s.day <= d.day - 90)::INTEGER AS categories_before

@@ -23,7 +23,7 @@ TABLES = {
     "vendors": (VENDORS, ()),
     "risk_reports": (RISK_REPORTS + ", report_date DATE", ("report_date",)),
     "evidence_cache": (EVIDENCE_CACHE, ("source_type", "language")),
-    "alerts": (ALERTS, ()),
+    "alerts": (ALERTS + ", run STRING, batch BIGINT", ("run", "batch")),
 }
 
 

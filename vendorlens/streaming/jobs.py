@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vendorlens.operators.segments import neighbour, time_segment
 from vendorlens.schemas import JOB_EVENTS
 
 TERMINAL = ("completed", "failed")
@@ -32,10 +33,11 @@ def job_state(events: DataFrame) -> DataFrame:
     return out.select("job_id", F.coalesce("t.status", F.lit("running")).alias("status"), pick("stage").alias("stage"), pick("message").alias("message"), F.coalesce(pick("progress"), F.lit(0)).alias("progress"), F.col("t.error").alias("error"))
 
 
-def stage_durations(events: DataFrame) -> DataFrame:
-    """(job_id, ts, stage, seconds) until the job's next event."""
-    w = Window.partitionBy("job_id").orderBy("ts", "progress", "stage")
-    return events.select("job_id", "ts", "stage", (F.unix_micros(F.lead("ts").over(w)) - F.unix_micros("ts")).alias("micros"))
+def stage_durations(events: DataFrame, *, days: float = 1) -> DataFrame:
+    """(job_id, ts, stage, micros) until the job's next event; a job's events are cut into segments of so many days."""
+    rows = events.select("job_id", "ts", "stage", "progress")
+    found = neighbour(rows, ["job_id"], ["ts", "progress", "stage"], {"_next": "ts"}, time_segment(F.col("ts"), days), ahead=True)
+    return found.select("job_id", "ts", "stage", (F.unix_micros("_next") - F.unix_micros("ts")).alias("micros"))
 
 
 def job_funnel(states: DataFrame, durations: DataFrame) -> DataFrame:

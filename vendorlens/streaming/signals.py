@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vendorlens.functions.lexicon import default_rows
 from vendorlens.functions.scalars import risk_level
 from vendorlens.operators.scoring import NO_SIGNALS, confidence, disruption
-from vendorlens.operators.signals import signal_array
+from vendorlens.operators.signals import extract_signals, signal_array
 
 
 def stream_signals(documents: DataFrame, keys: list[str], text_col: str = "text", rows: list | None = None) -> DataFrame:
@@ -65,12 +67,27 @@ def alert_stream(signals: DataFrame, key: str, ts_col: str = "ts", *, late: str
 def store_alerts(alerts: DataFrame, path: str, checkpoint: str, *, key: str, id_col: str | None = None, ts_col: str = "ts"):
     """Append a stream of alerts (alert_stream) to the stored table, a batch at a time; returns the query.
 
-    A batch that is run again after a failure replaces its own files, so no alert is stored twice.
+    A batch has a folder by the checkpoint's own id and its number: one that is run again after a failure replaces its own files, so no alert is
+    stored twice, and a stream with another checkpoint touches nothing that is stored, acknowledgements included.
     """
 
     def append(batch: DataFrame, number: int) -> None:
         vendor = F.col(id_col).cast("long") if id_col else F.lit(None).cast("long")
         rows = batch.select(vendor.alias("vendor_id"), F.col(key).cast("string").alias("vendor_name"), "risk_level", "message", "triggered_signals", "acknowledged", F.col(ts_col).alias("created_at"))
-        rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        run = batch.sparkSession.read.text(f"{checkpoint}/metadata").select(F.get_json_object("value", "$.id")).first()[0]
+        rows.write.mode("overwrite").parquet(f"{path}/run={run}/batch={number}")
 
     return alerts.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(append).trigger(availableNow=True).start()
+
+
+def signals_with_table(documents: DataFrame, keys: list[str], load: Callable[[SparkSession], DataFrame], write: Callable[[DataFrame, int], None], checkpoint: str, *, text_col: str = "text", distinct: bool = False, **trigger):
+    """Signals of a stream of documents with a lexicon table that is read anew for each batch; returns the query.
+
+    ``load`` gives the table, ``write`` takes the signals of a batch and its number (a batch that is run again has the same number).
+    An entry added to the table counts from the next batch on; ``trigger`` as in writeStream (availableNow by default).
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        write(extract_signals(batch, keys, text_col, load(batch.sparkSession), distinct=distinct), number)
+
+    return documents.writeStream.option("checkpointLocation", checkpoint).foreachBatch(each).trigger(**(trigger or {"availableNow": True})).start()
