@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 import time
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -309,7 +310,7 @@ def test_viterbi_is_the_best_path():
 
     field = pii.trained_field()
     for words in (["4000", "1234", "1234"], ["+1", "(202)", "555-0143"], ["10.0.0.1"], ["7", "a@b.org", "3"]):
-        e = field.scores([words])[0][0]
+        e = [field.emit[f].sum(0) for f in pii.chain_features(words)]
         score = lambda y: pii._START[y[0]] + sum(e[i, k] for i, k in enumerate(y)) + sum(field.move[a, b] for a, b in zip(y, y[1:]))  # noqa: B023, E731
         best = max(itertools.product(range(len(pii.LABELS)), repeat=len(words)), key=score)
         assert score(tuple(field.decode([words])[0])) == pytest.approx(score(best))
@@ -317,13 +318,48 @@ def test_viterbi_is_the_best_path():
 
 def test_main_text():
     page = '<html><head><title>t</title></head><body><header>H</header><nav>N</nav><div class="x"><div class="post-body"><p>A &amp; B<b>c</b>d <p>E</div><div class="reader-comments">bad</div><form>f</form></div><footer>F</footer><script>var t="</p>";</script></body></html>'
-    assert html_text.main_text(page, {}) == "A & Bcd E"
-    assert html_text.main_text("<div>hello <span>w</span>orld</div><nav>x</nav>", {}) == "hello world"
-    assert html_text.main_text("plain &lt; text", {}) == "plain < text" and html_text.main_text(None, {}) == ""
-    assert html_text.main_text("<div>a</div><div>b</div>" * 2000, {}).split() == ["a", "b"] * 2000
-    assert html_text.main_text("<title>x<body><article>kept", {}).endswith("kept")
+    assert html_text.main_text(page, None) == "A & Bcd E"
+    assert html_text.main_text("<div>hello <span>w</span>orld</div><nav>x</nav>", None) == "hello world"
+    assert html_text.main_text("plain &lt; text", None) == "plain < text" and html_text.main_text(None, None) == ""
+    assert html_text.main_text("<div>a</div><div>b</div>" * 2000, None).split() == ["a", "b"] * 2000
+    assert html_text.main_text("<title>x<body><article>kept", None).endswith("kept")
     assert html_text.named("div", "ad") == (True, False) and html_text.named("div", "adapted") == (False, False)
-    assert html_text.main_text("<body><header>h</header><article><header>in</header> text</article>", {}) == "in text"
+    assert html_text.main_text("<body><header>h</header><article><header>in</header> text</article>", None) == "in text"
     deep = "<div>" * 30_000 + "deep text" + "</div>" * 30_000 + "</section>" * 30_000
     began = time.process_time()
-    assert html_text.main_text(deep, {}) == "deep text" and time.process_time() - began < 10
+    assert html_text.main_text(deep, None) == "deep text" and time.process_time() - began < 10
+
+
+def test_long_chains_decode_as_in_one_go(monkeypatch):
+    rng = random.Random(4)
+    parts = ["jane@x.org", "+1", "(202)", "555-0143", "4000123412341234", "10.0.31.7", "12", "2024", "4000", "1234", "@", "1e9", "é7", "3.5"]
+    chains = [[rng.choice(parts) for _ in range(n)] for n in (1, 7, 8, 9, 16, 40, 41, 300)]
+    field = pii.trained_field()
+    whole = field.decode(chains)
+    monkeypatch.setattr(pii, "STRETCH", 8)
+    assert all((a == b).all() for a, b in zip(whole, field.decode(chains), strict=True))
+    for words, y in zip(chains[:2], whole, strict=False):
+        e = np.array([field.emit[f].sum(0) for f in pii.chain_features(words)])
+        best = e[0] + pii._START
+        for row in e[1:]:
+            best = (best[:, None] + field.move).max(0) + row
+        own = pii._START[y[0]] + sum(e[i, k] for i, k in enumerate(y)) + sum(field.move[a, b] for a, b in zip(y, y[1:], strict=False))
+        assert own == pytest.approx(best.max())
+
+
+def test_a_text_of_numbers_takes_bounded_memory_and_time():
+    tracemalloc.start()
+    text = " ".join(str(i * 7919 % 100003) for i in range(500_000))  # 3 MB, one chain
+    began = time.process_time()
+    [(_, _, [(base, spans)])] = list(pii.spans_of(pa.array([text]), pii.trained_field()))
+    took, peak = time.process_time() - began, tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert base == [] and len(spans) < 3 and took < 60 and peak < 30 * len(text)
+
+
+def test_words_are_cut_at_ascii_white_space_only():
+    text = "a1\u00a0b  mail\x1cx@y.org\u2003 \t+1\n(202)\x85 555-0143"
+    block = next(iter(blocks(pa.array([text]), "space", False)))
+    (_, at), *_ = pii.chains_of(block)
+    own = pii.Words(block, at)
+    assert list(own) == [own[i] for i in range(len(own))] == re.findall(r"[^\x20\x09-\x0D]+", text)

@@ -2,7 +2,8 @@
 
 The field labels words by their shape (digits, letters, marks, lengths, neighbours). It is trained
 on LABELLED, a small table of invented word rows, by gradient on the exact log-likelihood, and decoded by
-Viterbi in numpy, many chains at once. A word without a digit or an @ can only be outside, so
+Viterbi in numpy, many chains at once, and a very long chain in stretches side by side: some bytes a word are held, no strings. Words
+of one make (digits and letters alike) have one row of scores. A word without a digit or an @ can only be outside, so
 such words cut the chains and most of a text needs no decoding; no word is skipped that could
 get a label. Spans that the field finds and that overlap no span of the patterns are added;
 those of the patterns always stay.
@@ -14,7 +15,7 @@ positions are code points, ends exclusive; other columns are not read (or are ke
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -28,7 +29,7 @@ from vendorlens.llm.words import Block, blocks
 KINDS = ("email", "ip", "card", "phone")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9]++)++")  # [0-9]([\x20-]?[0-9])+ without places to go back to, which take memory
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _MAIL_RUN = re.compile(r"[A-Za-z0-9._%+@-]+")
 _NUMBER_RUN = re.compile(r"[0-9+][\x20().0-9+-]*")
@@ -178,26 +179,46 @@ def word_features(word: str) -> list[str]:
     ]
 
 
-def number_runs(words: list[str]) -> list[str]:
-    """For each word of digits alone, the words and digits of the run of such words that it is in; for others nothing."""
-    sizes = [len(c) if (c := w.strip(_TRIM_LEFT + _TRIM_RIGHT)) and _DIGITS.issuperset(c) else 0 for w in words]
-    out, i = [""] * len(words), 0
-    while i < len(words):
-        j = i
-        while j < len(words) and sizes[j]:
-            j += 1
-        out[i:j] = [f"run={min(j - i, 6)}:{min(sum(sizes[i:j]), 25)}"] * (j - i)
-        i = max(j, i + 1)
-    return out
+def digits_alone(word: str) -> int:
+    """The digits of a word of digits alone, else 0."""
+    core = word.strip(_TRIM_LEFT + _TRIM_RIGHT)
+    return len(core) if core and _DIGITS.issuperset(core) else 0
+
+
+#: A run of words of digits alone counts up to so many words and digits.
+_RUN_WORDS, _RUN_DIGITS = 6, 25
+
+
+def run_codes(sizes: np.ndarray, chain: np.ndarray) -> np.ndarray:
+    """For each word the number of its run's feature (see run_feature), 0 outside runs; ``sizes``: digits_alone, ``chain``: its chain's number."""
+    inside = sizes > 0
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1] | (chain[1:] != chain[:-1])
+    run = np.cumsum(begins)
+    words = np.minimum(np.bincount(run[inside], minlength=run[-1] + 1 if len(run) else 1), _RUN_WORDS)
+    digits = np.minimum(np.bincount(run[inside], weights=sizes[inside], minlength=len(words)), _RUN_DIGITS)
+    code = (words * (_RUN_DIGITS + 1) + digits).astype(np.int16)
+    return np.where(inside, code[run], 0).astype(np.int16)
+
+
+def run_feature(code: int) -> str:
+    return f"run={code // (_RUN_DIGITS + 1)}:{code % (_RUN_DIGITS + 1)}"
+
+
+def near_features(word: str) -> list[str]:
+    """What a word tells of its neighbours."""
+    own = word_features(word)
+    return own[:2] + own[5:7]
 
 
 def chain_features(words: list[str]) -> list[list[int]]:
-    """Feature numbers of each word of a chain, with those of its neighbours."""
-    own = [word_features(w) for w in words]
+    """Feature numbers of each word of a chain, with those of its neighbours: for training."""
+    own, near = [word_features(w) for w in words], [near_features(w) for w in words]
+    runs = run_codes(np.array([digits_alone(w) for w in words]), np.zeros(len(words), int))
     out = []
-    for i, (mine, run) in enumerate(zip(own, number_runs(words), strict=True)):
-        near = [f"-1:{x}" for x in (own[i - 1][:2] + own[i - 1][5:7] if i else ["start"])] + [f"+1:{x}" for x in (own[i + 1][:2] + own[i + 1][5:7] if i + 1 < len(own) else ["end"])]
-        out.append([_number(x) for x in (*mine, *near, *([run] if run else []))])
+    for i, (mine, run) in enumerate(zip(own, runs.tolist(), strict=True)):
+        beside = [f"-1:{x}" for x in (near[i - 1] if i else ["start"])] + [f"+1:{x}" for x in (near[i + 1] if i + 1 < len(own) else ["end"])]
+        out.append([_number(x) for x in (*mine, *beside, *([run_feature(run)] if run else []))])
     return out
 
 
@@ -232,6 +253,14 @@ def labelled_chains() -> list[tuple[list[str], list[int]]]:
     return out
 
 
+#: Digits and letters of a word say the same whichever they are, but for the numbers of an address.
+_ALIKE = str.maketrans({c: "0" for c in "123456789"} | {c: "a" for c in "bcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"})
+#: Kinds of words whose scores are kept; a longer word than this is a kind of its own.
+_KINDS_KEPT, _KIND_CHARS = 1 << 15, 64
+#: Words of a chain that are decoded in one go; longer chains in stretches of that many, side by side.
+STRETCH = 2048
+
+
 @dataclass
 class Field:
     """Weights of the features for each label, and of each pair of labels in a row."""
@@ -239,30 +268,74 @@ class Field:
     emit: np.ndarray
     move: np.ndarray
 
-    def scores(self, chains: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """(chains x words x labels) padded with zeros, and lengths."""
-        n = np.array([len(c) for c in chains])
-        out = np.zeros((len(chains), n.max(), len(LABELS)))
-        for i, c in enumerate(chains):
-            for j, f in enumerate(chain_features(c)):
-                out[i, j] = self.emit[f].sum(0)
-        return out, n
-
-    def decode(self, chains: list[list[str]]) -> list[np.ndarray]:
-        """The best labels of each chain, all chains a step at a time."""
-        if not chains:
-            return []
-        e, n = self.scores(chains)
+    def __post_init__(self) -> None:
+        self.forget()
+
+    def forget(self) -> None:
+        """Kinds of words and what they add to the scores of a word, the next and the one before; 0 and 1 are the ends of a chain."""
+        none = np.zeros(len(LABELS))
+        self.kinds: dict[str, int] = {}
+        self.rows = [(none, self.emit[_number("-1:start")], none, 0), (none, none, self.emit[_number("+1:end")], 0)]
+        self.tables = None
+
+    def kind(self, word: str) -> int:
+        key = word if len(word) > _KIND_CHARS or word.count(".") > 2 else word.translate(_ALIKE)
+        found = self.kinds.get(key)
+        if found is None:
+            found = self.kinds[key] = len(self.rows)
+            total = lambda names: self.emit[[_number(x) for x in names]].sum(0)
+            near = near_features(word)
+            self.rows.append((total(word_features(word)), total([f"-1:{x}" for x in near]), total([f"+1:{x}" for x in near]), digits_alone(word)))
+            self.tables = None
+        return found
+
+    def scorer(self, kinds: np.ndarray, chain: np.ndarray):
+        """Scores of the words at given places; ``kinds`` has all chains, each with its two ends, ``chain`` their numbers."""
+        if self.tables is None:
+            own, left, right, sizes = zip(*self.rows, strict=True)
+            runs = [np.zeros(len(LABELS)) if c < _RUN_DIGITS + 1 else self.emit[_number(run_feature(c))] for c in range((_RUN_WORDS + 1) * (_RUN_DIGITS + 1))]
+            self.tables = np.array(own), np.array(left), np.array(right), np.array(sizes), np.array(runs)
+        own, left, right, sizes, runs = self.tables
+        code = run_codes(sizes[kinds], chain)
+        return lambda at: own[kinds[at]] + left[kinds[at - 1]] + right[kinds[at + 1]] + runs[code[at]]
+
+    def decode(self, chains: list[Sequence[str]]) -> list[np.ndarray]:
+        """The best labels of each chain, given as words (any sequence, read once)."""
+        if len(self.kinds) > _KINDS_KEPT:
+            self.forget()
+        n = np.array([len(c) for c in chains], np.int64)
+        kinds = np.empty(int((n + 2).sum()), np.int32)
+        begin = np.cumsum(n + 2) - n - 1  # place of each chain's first word
+        for at, size, words in zip(begin.tolist(), n.tolist(), chains, strict=True):
+            kinds[at - 1], kinds[at + size] = 0, 1
+            kinds[at : at + size] = np.fromiter((self.kind(w) for w in words), np.int32, size)
+        score = self.scorer(kinds, np.repeat(np.arange(len(n), dtype=np.int32), n + 2))
+        out: list[np.ndarray] = [np.empty(0, np.int8)] * len(chains)
+        order = np.argsort(n, kind="stable")
+        k = 0
+        while k < len(order):  # chains of like length together, each step for all of them
+            stop = k + 1
+            long = n[order[k]] > STRETCH
+            while not long and stop < len(order) and n[order[stop]] <= STRETCH and (stop + 1 - k) * n[order[stop]] <= DECODE_WORDS:
+                stop += 1
+            some = order[k:stop]
+            found = [self._long(score, int(begin[some[0]]), int(n[some[0]]))] if long else self._short(score, begin[some], n[some])
+            for i, labels in zip(some, found, strict=True):
+                out[i] = labels
+            k = stop
+        return out
+
+    def _short(self, score, begin: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+        e = score(begin[:, None] + np.minimum(np.arange(n.max()), n[:, None] - 1))
         rows, steps, _ = e.shape
-        best, back = e[:, 0] + _START, np.zeros(e.shape, np.int64)
-        ends = np.zeros(e.shape[:1] + (len(LABELS),))
-        ends[n == 1] = best[n == 1]
+        best, back = e[:, 0] + _START, np.zeros(e.shape, np.int8)
+        ends = best.copy()
         for t in range(1, steps):
             total = best[:, :, None] + self.move[None]
             back[:, t] = total.argmax(1)
             best = total.max(1) + e[:, t]
             ends[n == t + 1] = best[n == t + 1]
-        out = np.zeros((rows, steps), np.int64)
+        out = np.zeros((rows, steps), np.int8)
         at = ends.argmax(1)
         for t in range(steps - 1, -1, -1):
             inside = t < n
@@ -270,6 +343,54 @@ class Field:
             at = np.where(inside & (t > 0), back[np.arange(rows), t, at], at)
         return [out[i, :k] for i, k in enumerate(n)]
 
+    def _long(self, score, begin: int, n: int) -> np.ndarray:
+        """One chain in stretches side by side: first what each stretch adds for any label before it, then, with the best score before each,
+        the labels. Memory is some bytes a word."""
+        blocks = -(-n // STRETCH)
+        first = np.arange(blocks) * STRETCH
+        width = len(LABELS)
+        here = lambda t: (first + t < n).sum()  # noqa: E731  stretches that have a word t
+        place = lambda t, m: begin + first[:m] + t
+        adds = np.empty((blocks, width, width))  # label before the stretch, label of its last word
+        for t in range(STRETCH):
+            m = here(t)
+            e = score(place(t, m))[:, None, :]
+            adds[:m] = (self.move[None] if t == 0 else (adds[:m, :, :, None] + self.move).max(2)) + e
+        before = np.empty((blocks, width))
+        before[0] = 0
+        whole = self._first_stretch(score, begin, min(n, STRETCH))
+        for b in range(1, blocks):
+            before[b] = whole
+            whole = (before[b][:, None] + adds[b]).max(0)
+        back = np.zeros((STRETCH, blocks, width), np.int8)
+        best = np.empty((blocks, width))
+        for t in range(STRETCH):
+            m = here(t)
+            total = (before if t == 0 else best)[:m, :, None] + self.move
+            back[t, :m] = total.argmax(1)
+            e = score(place(t, m))
+            best[:m] = total.max(1) + e
+            if t == 0:
+                best[0] = _START + e[0]
+        trace = np.tile(np.arange(width, dtype=np.int8), (blocks, 1))  # for any label of a stretch's last word
+        labels = np.empty((STRETCH, blocks, width), np.int8)
+        for t in range(STRETCH - 1, -1, -1):
+            m = here(t)
+            labels[t, :m] = trace[:m]
+            trace[:m] = np.take_along_axis(back[t, :m], trace[:m].astype(np.int64), 1)
+        out = np.empty(blocks * STRETCH, np.int8)
+        last = int(best[-1].argmax())
+        for b in range(blocks - 1, -1, -1):
+            out[b * STRETCH : (b + 1) * STRETCH] = labels[:, b, last]
+            last = int(trace[b, last])
+        return out[:n]
+
+    def _first_stretch(self, score, begin: int, n: int) -> np.ndarray:
+        best = _START + score(np.array([begin]))[0]
+        for t in range(1, n):
+            best = (best[:, None] + self.move).max(0) + score(np.array([begin + t]))[0]
+        return best
+
 
 def _marginals(e: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Chance of each label, and of each pair of labels summed over the chain."""
@@ -315,78 +436,114 @@ def trained_field(steps: int = 150, rate: float = 0.4, penalty: float = 0.01) ->
     return Field(emit, move)
 
 
+def tellers(block: Block) -> np.ndarray:
+    """The numbers of the words with a digit or an @."""
+    if not len(block.starts):
+        return np.empty(0, np.int64)
+    d = block.data
+    telling = np.append((d >= 0x30) & (d <= 0x39) | (d == 0x40), False)
+    edges = np.column_stack([block.starts, block.ends]).ravel()
+    return np.flatnonzero(np.logical_or.reduceat(telling, edges)[::2])
+
+
 def chains_of(block: Block) -> list[tuple[int, np.ndarray]]:
     """(row, word numbers) of runs of words with a digit or an @, in each row of a block."""
-    d = block.data
-    sums = np.concatenate([[0], np.cumsum(((d >= 0x30) & (d <= 0x39)) | (d == 0x40), dtype=np.int64)])
-    at = np.flatnonzero(sums[block.ends] > sums[block.starts])
+    at = tellers(block)
     if not len(at):
         return []
     row = np.searchsorted(block.first, at, "right") - 1
     cuts = np.flatnonzero((np.diff(at) != 1) | (np.diff(row) != 0)) + 1
-    return [(int(row[a[0]]), at[a]) for a in np.split(np.arange(len(at)), cuts)]
+    return list(zip(row[np.concatenate([[0], cuts])].tolist(), np.split(at, cuts), strict=True))
+
+
+class Words(Sequence):
+    """Words of a block, made when they are asked for."""
+
+    def __init__(self, block: Block, at: np.ndarray):
+        self.block, self.at = block, at
+
+    def __len__(self) -> int:
+        return len(self.at)
+
+    def __getitem__(self, i: int) -> str:
+        return self.block.word(self.at[i]).decode()
+
+    def __iter__(self) -> Iterator[str]:
+        for lo in range(0, len(self.at), STRETCH):  # one text, one split for a stretch of neighbours
+            some = self.at[lo : lo + STRETCH]
+            for word in self.block.data[self.block.starts[some[0]] : self.block.ends[some[-1]]].tobytes().split():  # at ASCII white space
+                yield word.decode()
 
 
-def field_spans(block: Block, field: Field, points: np.ndarray) -> dict[int, list[tuple[str, int, int]]]:
-    """(kind, start, end) in code points that the field finds, by row; ``points``: those before each byte of the block."""
+def field_spans(block: Block, field: Field, points) -> dict[int, list[tuple[str, int, int]]]:
+    """(kind, start, end) in code points that the field finds, by row; ``points``: from a byte of the block to the code points before it."""
     chains = chains_of(block)
-    if not chains:
-        return {}
-    words = [[block.word(i).decode() for i in at] for _, at in chains]
-    order = np.argsort([len(w) for w in words], kind="stable")
-    labels: list[np.ndarray] = [np.empty(0)] * len(words)
-    k = 0
-    while k < len(order):  # chains of like length, by their lengths in ascending order
-        stop = k + 1
-        while stop < len(order) and (stop + 1 - k) * len(words[order[stop]]) <= DECODE_WORDS:
-            stop += 1
-        for i, y in zip(order[k:stop], field.decode([words[j] for j in order[k:stop]]), strict=True):
-            labels[i] = y
-        k = stop
     out: dict[int, list[tuple[str, int, int]]] = {}
-    for (row, at), own, y in zip(chains, words, labels, strict=True):
+    if not chains:
+        return out
+    for (row, at), y in zip(chains, field.decode([Words(block, at) for _, at in chains]), strict=True):
+        kinds = np.flatnonzero(y)
         i = 0
-        while i < len(own):
-            kind = _KIND_OF.get(LABELS[y[i]])
-            j = i + 1
+        while i < len(kinds):
+            k = int(kinds[i])
+            kind = _KIND_OF.get(LABELS[y[k]])
+            j = k + 1
             if kind:
-                follow = LABELS[y[i]].lower()
-                while j < len(own) and LABELS[y[j]] == follow:
+                follow = LABELS[y[k]].lower()
+                while j < len(y) and LABELS[y[j]] == follow:
                     j += 1
-                first, last = own[i], own[j - 1]
+                first, last = block.word(at[k]).decode(), block.word(at[j - 1]).decode()
                 # a phone keeps the bracket of its area code
                 lead = len(first) - len(first.lstrip(_TRIM_LEFT.replace("(", "") if kind == "phone" else _TRIM_LEFT))
                 trail = len(last) - len(last.rstrip(_TRIM_RIGHT))
-                span = (int(points[block.starts[at[i]]]) + lead, int(points[block.ends[at[j - 1]]]) - trail)
+                span = (points(block.starts[at[k]]) + lead, points(block.ends[at[j - 1]]) - trail)
                 if span[0] < span[1]:
                     out.setdefault(row, []).append((kind, *span))
-            i = j
+            i = int(np.searchsorted(kinds, j))
     return out
 
 
+def code_points(data: np.ndarray):
+    """From a byte to the code points before it."""
+    if not len(data) or data.max() < 0x80:
+        return int
+    sums = np.zeros(len(data) + 1, np.int32 if len(data) < 1 << 31 else np.int64)
+    np.cumsum((data & 0xC0) != 0x80, out=sums[1:])
+    return lambda at: int(sums[at])
+
+
 def spans_of(column: pa.Array, field: Field) -> Iterator[tuple[int, int, list[tuple[list, list]]]]:
     """(lo, hi, [(base spans, all spans)]) of the rows of a string column, by start and then kind."""
     rank = {k: i for i, k in enumerate(KINDS)}
     order = lambda s: (s[1], rank[s[0]], s[2])
     for block in blocks(column, "space", False):
-        d = block.data
-        points = np.concatenate([[0], np.cumsum((d & 0xC0) != 0x80, dtype=np.int64)])
+        points = code_points(block.data)
         found = field_spans(block, field, points)
-        sums = np.concatenate([[0], np.cumsum(((d >= 0x30) & (d <= 0x39)) | (d == 0x40), dtype=np.int64)])
         texts = column.slice(block.lo, block.hi - block.lo)
         sizes = np.concatenate([[0], np.cumsum([len(t.as_buffer()) if t.is_valid else 0 for t in texts])])
-        asked = np.flatnonzero(sums[sizes[1:]] > sums[sizes[:-1]])
+        asked = np.unique(np.searchsorted(block.first, tellers(block), "right") - 1)
         rows: list[tuple[list, list]] = [([], [])] * (block.hi - block.lo)
         for i in asked.tolist():
             text = texts[i].as_py()
-            first = int(points[sizes[i]])
+            first = points(sizes[i])
             base = sorted(base_spans(text), key=order)
-            more = [(k, a - first, b - first) for k, a, b in found.get(i, [])]
-            more = [s for s in more if all(s[2] <= a or b <= s[1] for _, a, b in base)]
+            more = added(base, sorted((a - first, b - first, k) for k, a, b in found.get(i, [])))
             rows[i] = (base, sorted(base + more, key=order))
         yield block.lo, block.hi, rows
 
 
+def added(base: list[tuple[str, int, int]], found: list[tuple[int, int, str]]) -> list[tuple[str, int, int]]:
+    """The spans (start, end, kind), by start and not overlapping, that overlap none of the base, by start."""
+    out, k, reach = [], 0, 0
+    for a, b, kind in found:
+        while k < len(base) and base[k][1] < b:
+            reach = max(reach, base[k][2])  # of all that start before this one's end
+            k += 1
+        if reach <= a:
+            out.append((kind, a, b))
+    return out
+
+
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("stop", pa.int64())])
 
 
