@@ -526,3 +526,32 @@ def test_pipeline_on_an_empty_table(spark, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         table(spark, "/root/testdata/sf0.001", name).limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_the_template_takes_the_boilerplate_out_without_names(spark, sf_dir, monkeypatch):
+    from collections import Counter
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html", html_text.host_of(F.col("url")).alias("host"))
+    known = {r.host: dict(r.slots) for r in html_text.templates(pages.select(F.xxhash64("page_id", "url").alias("page"), "host", "html")).collect()}
+    rows = pages.collect()
+    hosts = Counter(r.host for r in rows)
+    assert all(h in known for h, n in hosts.items() if n > 1)
+    some = [r for r in rows if hosts[r.host] > 1]
+    usual = [html_text.main_text(r.html, known[r.host]) for r in some]
+    monkeypatch.setattr(html_text, "_DROPPED_TAGS", frozenset())
+    monkeypatch.setattr(html_text, "_DROPPED_NAMES", frozenset())
+    html_text.named.cache_clear()
+    try:
+        assert [html_text.main_text(r.html, known[r.host]) for r in some] == usual
+        assert all(html_text.main_text(r.html, {}) != t for r, t in zip(some, usual, strict=True))
+    finally:
+        html_text.named.cache_clear()
+
+
+def test_vectors_of_a_very_large_host_are_summed(spark):
+    stats = spark.range(70_000).select(
+        F.lit("h").alias("host"), F.lit(1).cast("long").alias("key"), F.lit(0).cast("long").alias("parent"), F.lit(0).cast("long").alias("text"), F.lit(1).cast("long").alias("pages"),
+        F.lit(0x7FFFFFFFFFFE).alias("vector"), F.lit(0).cast("long").alias("before_lo"), F.lit(0).cast("long").alias("before_hi"), F.lit(1).cast("long").alias("chars"), F.lit(0).cast("long").alias("link_chars"),
+    )
+    r = html_text.token_totals(stats).first()
+    assert r.vector == 70_000 * 0x7FFFFFFFFFFE % 0x7FFFFFFFFFFF and r.pages == 70_000

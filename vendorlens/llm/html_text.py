@@ -8,9 +8,10 @@ class around them (nested). Valid classes, nested in each other, are the host's
 pages belong to it; the places between its elements are its slots, each with its mean text over the pages, without links
 and without what belongs to the template.
 
-A page is then judged by its slots: the main text is in the container that holds nearly all of their text, found by
-walking down from the root. Slots of links or of the template's own texts count nothing, a slot with little text on this page counts with its mean,
-and places of no valid class count with what they hold. Names have no say in that but
+A page is then judged by its host's template: the main text is in the container that holds nearly all text of the slots, found by
+walking down from the root. A slot counts with its mean over the host's pages, whatever this page has in it; slots of links and of the
+template's own texts count nothing and are left out; places of no valid class, such as those named by a page's number, count with
+what they hold. So the same container is taken on all pages of a layout, long or short. Names have a say only inside it,
 for things that vary from page to page just as articles do: elements whose tag or name says menu, header, footer, side bar,
 notice, advert, form or comment are left out, and where no container holds nearly all text, elements
 named as articles are taken.
@@ -18,8 +19,8 @@ named as articles are taken.
 Vectors are never gathered: each is a sum of hashes of (page, count), summed up before the
 shuffle, so a host with a third of all pages is no heavier than others. Paths are 64-bit hashes of their elements.
 
-Defined cases: null or empty html has an empty text; pages without a host are one host (''); hosts
-with one page, and containers that are on too few pages for the template, are judged by the page alone;
+Defined cases: null or empty html has an empty text; pages without a host are one host (''); pages of hosts
+without a valid class (those with one page) are judged alone, each place by what it holds;
 names of html, body, article and main elements say nothing; repeated rows are judged each by itself; other columns are not read.
 """
 
@@ -195,6 +196,14 @@ def _page_stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in names], _STATS.field(i).type) for i in range(4)), *(pa.array([v[i] for v in sums.values()], pa.int64()) for i in range(6))], schema=_STATS)
 
 
+def token_totals(stats: DataFrame) -> DataFrame:
+    """The sums of _page_stats over all tasks. Vectors are summed as decimals: as longs, those of a very large host would overflow."""
+    vector = F.sum(F.col("vector").cast("decimal(38,0)")) % F.lit(0x7FFFFFFFFFFF)
+    return stats.groupBy("host", "key", "parent", "text").agg(
+        F.sum("pages").alias("pages"), vector.cast("long").alias("vector"), F.min("before_lo").alias("before_lo"), F.max("before_hi").alias("before_hi"), F.sum("chars").alias("chars"), F.sum("link_chars").alias("link_chars")
+    )
+
+
 def templates(pages: DataFrame) -> DataFrame:
     """(host, slots): the slots of each host's template as a map from a path to its mean text (0 if it holds the
     template's own texts, -1 if it holds links).
@@ -202,9 +211,7 @@ def templates(pages: DataFrame) -> DataFrame:
     ``pages``: id hash, host, html.
     """
     stats = pages.mapInArrow(_page_stats, "host string, key long, parent long, text long, pages long, vector long, before_lo long, before_hi long, chars long, link_chars long")
-    total = stats.groupBy("host", "key", "parent", "text").agg(
-        F.sum("pages").alias("pages"), (F.sum("vector") % F.lit(0x7FFFFFFFFFFF)).alias("vector"), F.min("before_lo").alias("before_lo"), F.max("before_hi").alias("before_hi"), F.sum("chars").alias("chars"), F.sum("link_chars").alias("link_chars")
-    )
+    total = token_totals(stats)
     total = saved(total.where("text = 0 or pages > 1"), "html-tokens")
     elements, texts = total.where("text = 0"), total.where("text <> 0")
     size = pages.groupBy("host").agg(F.count("*").alias("host_pages"))
@@ -229,8 +236,11 @@ def templates(pages: DataFrame) -> DataFrame:
     return kept.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("key", "mean"))).alias("slots"))
 
 
-def main_places(page: Page, slots: Mapping[int, float]) -> set[int]:
-    """The places of a page whose texts are main text."""
+def main_places(page: Page, slots: Mapping[int, float] | None) -> set[int]:
+    """The places of a page whose texts are main text, by the template of its host; None: the host has none.
+
+    A template without slots tells nothing: then all that no name leaves out is main text."""
+    alone, slots = slots is None, slots or {}
     places = page.places
     chars: dict[int, int] = {}
     for at, text, link in page.blocks:
@@ -243,8 +253,12 @@ def main_places(page: Page, slots: Mapping[int, float]) -> set[int]:
             return wrapped
         good = {p for p in chars if not places[p].left_out}
     held = [0.0] * len(places)
-    for p in good:  # what a slot usually holds, or holds here
-        held[p] = 0 if mean[p] == -1 else max(chars[p], mean[p] or 0)
+    for p in good:  # what a slot of the template usually holds; another place, what it holds here
+        held[p] = chars[p] if mean[p] is None else max(0, mean[p])
+    # slots count on pages that leave them empty, too: an element of the template has them or not
+    for p, place in enumerate(places):
+        if p not in chars and not place.left_out and slots.get(place.key, 0) > 0:
+            held[p] = slots[place.key]
     direct = list(held)
     below: dict[int, list[int]] = {}
     for p in range(len(places) - 1, 0, -1):
@@ -252,7 +266,7 @@ def main_places(page: Page, slots: Mapping[int, float]) -> set[int]:
         if held[p]:
             below.setdefault(places[p].parent, []).append(p)
     region = 0
-    while region in below and not (places[region].tag in ("div", "article") and (direct[region] or places[region].tag == "article")):
+    while (alone or slots) and region in below and not (places[region].tag in ("div", "article") and (direct[region] or places[region].tag == "article")):
         best = max(below[region], key=lambda p: (held[p], -p))
         if places[best].tag not in WRAPPERS or held[best] < (1 - SLOT_SHARE) * held[0]:
             break
@@ -260,15 +274,15 @@ def main_places(page: Page, slots: Mapping[int, float]) -> set[int]:
     inside = [False] * len(places)
     for p in range(len(places)):
         inside[p] = p == region or p > 0 and inside[places[p].parent]
-    if places[region].tag not in ("div", "article", "main"):  # no container holds nearly all: names may tell
+    if (alone or slots) and places[region].tag not in ("div", "article", "main"):  # no container holds nearly all: names may tell
         if articles := {p for p in good if places[p].article}:
             return articles
         good = {p for p in good if chars[p] and mean[p] != -1} or good  # menus without a name lie beside the text
     return {p for p in good if inside[p]}
 
 
-def main_text(html: str | None, slots: Mapping[int, float]) -> str:
-    """Main texts of a page in page order, given its host's slots (see ``templates``)."""
+def main_text(html: str | None, slots: Mapping[int, float] | None) -> str:
+    """Main texts of a page in page order, given its host's slots (see ``templates``); None: a host without a template."""
     if not html:
         return ""
     page = parsed(html)
@@ -285,7 +299,7 @@ def extracted(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(h, dict(s or ())) for h, s in zip(*(batch.column(i).to_pylist() for i in (2, 3)), strict=True)]
+            texts = [main_text(h, None if s is None else dict(s)) for h, s in zip(*(batch.column(i).to_pylist() for i in (2, 3)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["id", "url", "text"])
 
     return joined.mapInArrow(scan, f"id {kind}, url string, text string")
