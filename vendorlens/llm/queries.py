@@ -184,13 +184,15 @@ ORACLE_SQL = {
         WITH RECURSIVE rules(rule, verdict) AS (
             VALUES ('com/en/', 'block'), ('example.com/en/7', 'allow'), ('net/de/', 'allow'), ('example.net/de/8', 'block'), ('org/es/', 'block')
         ), r AS (SELECT rule, verdict, regexp_extract(rule, '^([^/]*)', 1) AS rule_host, regexp_extract(rule, '^[^/]*(.*)$', 1) AS rule_path FROM rules),
-        tags AS (
-            SELECT url AS u, regexp_extract(t, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS t
-            FROM (SELECT url, unnest(regexp_extract_all(html, '(?is)<link\b[^>]*>')) AS t FROM pages)
+        shown AS (
+            SELECT url, regexp_replace(html, '(?is)<!--.*?(?:-->|\z)|<script\b[^>]*>.*?(?:</script\s*>|\z)|<style\b[^>]*>.*?(?:</style\s*>|\z)|<textarea\b[^>]*>.*?(?:</textarea\s*>|\z)', ' ', 'g') AS html FROM pages
+        ), tags AS (
+            SELECT url AS u, regexp_extract(t, '(?is)[\s"''/]href\s*=\s*["'']?([^"''\s>]+)', 1) AS t
+            FROM (SELECT url, unnest(regexp_extract_all(html, '(?is)<link\b[^>]*>')) AS t FROM shown)
             WHERE regexp_matches(t, '(?is)\srel\s*=\s*(?:"(?:[^">]*\s)?canonical(?:\s[^">]*)?"|''(?:[^''>]*\s)?canonical(?:\s[^''>]*)?''|canonical[\s/>])')
             UNION ALL
-            SELECT url, regexp_extract(t, '(?is)\burl\s*=\s*["'']?((?:[^"''\s>;&]|&#?\w+;|&)+)', 1)
-            FROM (SELECT url, unnest(regexp_extract_all(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>')) AS t FROM pages)
+            SELECT url, regexp_extract(t, '(?is)[\s"'';,]url\s*=\s*["'']?((?:[^"''\s>;&]|&#?\w+;|&)+)', 1)
+            FROM (SELECT url, unnest(regexp_extract_all(html, '(?is)<meta\b(?:[^>]*[\s"''/])?http-equiv\s*=\s*["'']?refresh\b[^>]*>')) AS t FROM shown)
         ), plain AS (
             SELECT u, replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS t FROM tags WHERE t <> ''
         ), based AS (

@@ -6,7 +6,7 @@ canonical-link edges join URLs into components (distributed connected components
 on any member goes to the whole component unless a member is explicitly allowed.
 
 Defined cases: null URLs and those without ``://`` have an empty host and path, fit no rule, have no
-aliases and are allowed; repeated URLs have one node; null html has no links; relative targets
+aliases and are allowed; repeated URLs have one node; null html has no links, nor have comments, scripts, styles and text areas; relative targets
 are taken from the page's own URL (a base element is not read), dot segments removed; character references that end in a semicolon
 are decoded; targets of other schemes (mailto:) are none; without rules everything is allowed.
 """
@@ -14,8 +14,10 @@ are decoded; targets of other schemes (mailto:) are none; without rules everythi
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from html import unescape
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,15 +47,24 @@ def node_of(url: Column) -> Column:
 #: href of <link rel=canonical> (any word of rel) and target of <meta http-equiv=refresh>, whatever the order of attributes.
 _LINKS = r"""(?is)<link\b[^>]*>"""
 _CANONICAL = r"""(?is)\srel\s*=\s*(?:"(?:[^">]*\s)?canonical(?:\s[^">]*)?"|'(?:[^'>]*\s)?canonical(?:\s[^'>]*)?'|canonical(?=[\s/>]))"""
-_REFRESH = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
-_HREF = r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""
-_TARGET = r"""(?is)\burl\s*=\s*["']?((?:[^"'\s>;&]++|&#?\w++;|&)++)"""
+_REFRESH = r"""(?is)<meta\b(?:[^>]*[\s"'/])?http-equiv\s*=\s*["']?refresh\b[^>]*>"""
+#: Names of attributes follow a blank, a quote or a slash: data-href is another attribute.
+_HREF = r"""(?is)[\s"'/]href\s*=\s*["']?([^"'\s>]+)"""
+_TARGET = r"""(?is)[\s"';,]url\s*=\s*["']?((?:[^"'\s>;&]++|&#?\w++;|&)++)"""
+#: What looks like a tag in them is none.
+_HIDDEN = r"""(?is)<!--.*?(?:-->|\z)|<script\b[^>]*>.*?(?:</script\s*>|\z)|<style\b[^>]*>.*?(?:</style\s*>|\z)|<textarea\b[^>]*>.*?(?:</textarea\s*>|\z)"""
 _REFERENCE = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
 
 
-def decoded(c: Column) -> Column:
-    """Character references decoded, in the few links found."""
-    return F.udf(lambda t: t and _REFERENCE.sub(lambda m: unescape(m[0]), t), "string")(c)
+def decoded(links: DataFrame) -> DataFrame:
+    """(u, t) with the character references of the targets t decoded, in the few links found."""
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            targets = [_REFERENCE.sub(lambda m: unescape(m[0]), t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(targets, pa.string())], names=["u", "t"])
+
+    return links.select("u", "t").mapInArrow(decode, "u string, t string")
 
 
 def without_dots(path: Column) -> Column:
@@ -86,12 +97,13 @@ def resolved(url: Column, target: Column) -> Column:
 
 def alias_edges(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(a, b): nodes joined by a canonical link or a redirect in a page."""
-    tags = lambda pattern: F.regexp_extract_all(html_col, F.lit(pattern), F.lit(0))
+    tags = lambda pattern: F.regexp_extract_all("_shown", F.lit(pattern), F.lit(0))
     links = F.transform(F.filter(tags(_LINKS), lambda t: t.rlike(_CANONICAL)), lambda t: F.regexp_extract(t, _HREF, 1))
     refreshes = F.transform(tags(_REFRESH), lambda t: F.regexp_extract(t, _TARGET, 1))
     maybe = F.col(html_col).rlike(r"(?i)canonical|http-equiv")
-    found = pages.where(maybe).select(F.col(url_col).alias("u"), F.explode(F.concat(links, refreshes)).alias("t")).where("t <> ''")
-    whole = found.select("u", decoded(F.col("t")).alias("t")).select("u", resolved(F.col("u"), F.col("t")).alias("t"))
+    shown = pages.where(maybe).select(F.col(url_col).alias("u"), F.regexp_replace(html_col, _HIDDEN, " ").alias("_shown"))
+    found = shown.select("u", F.explode(F.concat(links, refreshes)).alias("t")).where("t <> ''")
+    whole = decoded(found).select("u", resolved(F.col("u"), F.col("t")).alias("t"))
     return whole.select(node_of(F.col("u")).alias("a"), node_of(F.col("t")).alias("b")).where("a is not null and b is not null and a <> b")
 
 
