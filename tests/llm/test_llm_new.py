@@ -10,12 +10,14 @@ from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import public_tokenizers
 import pytest
+from compare import differences
 from pyspark.sql import functions as F
 
-from vendorlens.llm import hash_ring, merkle, periodic_runs
+from vendorlens.llm import hash_ring, merkle, periodic_runs, token_tables
 from vendorlens.llm.common import numbered, table
-from vendorlens.llm.queries import QUERIES, with_planted_runs
+from vendorlens.llm.queries import ORACLE_SQL, QUERIES, with_planted_runs
 
 CLASH = "doc_id long, text string, lang string, source string, n_chars long, g string, id string, pos long, size int, place long, arc int, _pos string, runs int, digest string"
 
@@ -236,3 +238,43 @@ def test_op13_is_even_and_gapless(spark, sf_dir):
     assert {r.doc_id: (r.size, r.text_crc32) for r in got} == {i: (len(t.encode()) + 1, zlib.crc32(t.encode())) for i, t in rows.items()}
     want, _ = brute_ring(list(rows), 16)
     assert {r.doc_id: (r.shard, r.slot) for r in got} == want and {(r.law, r.grown_shard) for r in got} == {("rows", None)}
+
+
+def test_links_that_are_none(spark, tmp_path):
+    to = "http://bad.com/en/1"
+    pages = [
+        (1, to, ""),
+        (2, "http://a.org/2", f'<link rel="canonical" data-href="{to}" href="http://good.org/x">'),
+        (3, "http://a.org/3", f'<!-- <link rel="canonical" href="{to}"> -->'),
+        (4, "http://a.org/4", f'<script>var t = \'<link rel="canonical" href="{to}">\';</script>'),
+        (5, "http://a.org/5", f'<style>/* <link rel="canonical" href="{to}"> */</style><textarea><link rel="canonical" href="{to}"></textarea>'),
+        (6, "http://a.org/6", f'<meta data-http-equiv="refresh" content="0; url={to}"><meta http-equiv="refresh" data-url={to}>'),
+        (7, "http://a.org/7", f'<!-- x --><script src="y"></script><link rel="canonical" href="{to}">'),
+        (8, "http://a.org/8", f'<LINK REL=canonical HREF={to}>'),
+        (9, "http://a.org/9", f'<meta http-equiv=refresh content="5;url={to}">'),
+        (10, "http://a.org/10", f'<!-- open <link rel="canonical" href="{to}">'),
+        (11, "http://a.org/11", f'<link title="x"href="{to}"/rel="y" rel="canonical">'),
+        (12, "http://a.org/12", None),
+    ]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert differences(spark, QUERIES["op3_url_filter"], ORACLE_SQL["op3_url_filter"], str(tmp_path)) == ""
+    verdicts = {r.page_id: r.verdict for r in QUERIES["op3_url_filter"](spark, str(tmp_path)).collect()}
+    assert sorted(i for i, v in verdicts.items() if v == "block") == [1, 7, 8, 9, 11]
+
+
+def test_a_lookup_reads_the_asked_blocks(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = spark.range(4000).select((F.col("id") * 3).alias("doc_id"), F.concat(F.lit("some text of document "), F.col("id").cast("string"), F.repeat(F.lit(" and more"), 40)).alias("text"))
+    shards = token_tables.write_tables(rows, path, 2)
+    blocks = [(r.shard, r.block, r.first_id, r.last_id) for r in shards.where("block >= 0").select("shard", "block", "first_id", "last_id").collect()]
+    assert len(blocks) > 20
+    for asked in ([0], [0, 3 * 3999], [300, 303, 6000, 11_000], [1, 2]):
+        want = [(s, b) for s, b, lo, hi in blocks if any(lo <= i <= hi for i in asked)]
+        assert shards.where(token_tables.block_filter(want)).count() == len(want) <= len(asked)
+        assert {r.doc_id for r in token_tables.lookup(shards, asked).collect()} == {i for i in asked if i % 3 == 0}
+    many = [(s, b) for s, b, *_ in blocks]
+    assert shards.where(token_tables.block_filter(many)).count() == len(many)
+    some = [(1, b) for b in range(0, 3000, 3)] + [(2, 10**6)]
+    table_of_places = spark.range(3000).select(F.lit(1).alias("shard"), F.col("id").alias("block"))
+    assert table_of_places.where(token_tables.block_filter(some)).where("block % 3 = 0").count() == 1000
+    assert table_of_places.where(token_tables.block_filter([])).count() == 0

@@ -22,12 +22,12 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vendorlens.llm.common import partitions_for, saved
@@ -233,9 +233,35 @@ def _running(keys: DataFrame) -> DataFrame:
     return parts.join(earlier, "part").select("shard", (F.col("base") + F.coalesce(F.sum("n_ids").over(inside), F.lit(0))).alias("start"))
 
 
+#: Blocks that a lookup asks for one by one; with more of them, the nearest are asked for together, with what lies between.
+ASKED_RANGES = 512
+
+
+def block_filter(places: Sequence[tuple[int, int]]) -> Column:
+    """Which records are the blocks (shard, block), as a filter that Parquet's pages can be chosen by."""
+    asked = sorted(set(places))
+    ranges = [[s, b, b] for s, b in asked]
+    if len(ranges) > ASKED_RANGES:
+        gaps = sorted(b[1] - a[2] for a, b in zip(ranges, ranges[1:], strict=False) if a[0] == b[0])
+        wide = gaps[min(len(ranges) - ASKED_RANGES, len(gaps)) - 1] if gaps else 0
+        merged: list[list[int]] = []
+        for s, lo, hi in ranges:
+            if merged and merged[-1][0] == s and lo - merged[-1][2] <= wide:
+                merged[-1][2] = hi
+            else:
+                merged.append([s, lo, hi])
+        ranges = merged
+    if not ranges:
+        return F.lit(False)
+    parts = [(F.col("shard") == s) & (F.col("block") == lo if lo == hi else F.col("block").between(lo, hi)) for s, lo, hi in ranges]
+    while len(parts) > 1:  # pairwise, so that the expression stays shallow
+        parts = [parts[i] | parts[i + 1] if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+    return parts[0]
+
+
 def lookup(shards: DataFrame, doc_ids: list[int]) -> DataFrame:
     """(doc_id, ids as an array) of the asked documents, once for each id: the tails of the shards in range say which blocks
-    can hold them, and only those are read."""
+    can hold them, and only those are read (of more than ASKED_RANGES blocks, those between the nearest ones too)."""
     wanted = np.unique(np.array(list(doc_ids), np.int64))
 
     def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,6 +288,5 @@ def lookup(shards: DataFrame, doc_ids: list[int]) -> DataFrame:
     # rows that share an id may fill the end of one shard and the start of others: the first is meant
     first = places.groupBy("doc_id").agg(F.min(F.struct("shard", "block")).alias("x")).select("doc_id", "x.shard", "x.block")
     asked = first.groupBy("shard", "block").agg(F.collect_list("doc_id").alias("asked"))
-    bounds = first.agg(*(f(c).alias(f"{n}_{c}") for c in ("shard", "block") for n, f in (("lo", F.min), ("hi", F.max)))).first()
-    inside = F.lit(False) if bounds.lo_shard is None else F.col("shard").between(bounds.lo_shard, bounds.hi_shard) & F.col("block").between(bounds.lo_block, bounds.hi_block)
-    return shards.where(inside).join(asked, ["shard", "block"]).select("asked", "data").mapInArrow(read, "doc_id long, ids array<long>")
+    places = [(r.shard, r.block) for r in asked.select("shard", "block").collect()]  # at most as many as were asked for
+    return shards.where(block_filter(places)).join(asked, ["shard", "block"]).select("asked", "data").mapInArrow(read, "doc_id long, ids array<long>")
