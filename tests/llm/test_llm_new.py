@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -15,7 +16,7 @@ import pytest
 from compare import differences
 from pyspark.sql import functions as F
 
-from vendorlens.llm import hash_ring, merkle, periodic_runs, token_tables
+from vendorlens.llm import hash_ring, merkle, near_dedup, periodic_runs, token_tables
 from vendorlens.llm.common import numbered, table
 from vendorlens.llm.queries import ORACLE_SQL, QUERIES, with_planted_runs
 
@@ -278,3 +279,23 @@ def test_a_lookup_reads_the_asked_blocks(spark):
     table_of_places = spark.range(3000).select(F.lit(1).alias("shard"), F.col("id").alias("block"))
     assert table_of_places.where(token_tables.block_filter(some)).where("block % 3 = 0").count() == 1000
     assert table_of_places.where(token_tables.block_filter([])).count() == 0
+
+
+def test_families_under_the_threshold_are_compared_about_once(spark, monkeypatch):
+    """1,500 texts of one template: all pairs have a similarity of 0.70 to 0.79, so no branching parts them."""
+    monkeypatch.setattr(near_dedup, "LEAF", 256)
+    rng, n = random.Random(6), 1500
+    base = [f"t{i}" for i in range(140)]
+    rows = []
+    for i, own in enumerate(rng.sample(list(itertools.combinations(range(1, 34), 3)), n)):  # three places of four words are the text's own
+        words = list(base)
+        for at in own:
+            words[4 * at + 2] = f"own{i}x{at}"
+        rows.append((i, " ".join(words)))
+    rows += [(n + i, rows[i][1] + " end") for i in range(40)]  # near copies of some
+    join = near_dedup._Join(spark.createDataFrame(rows, "id long, text string").repartition(8), 4, 80)
+    found = {r.id: r.component for r in join.components().collect()}
+    pairs = len(rows) * (len(rows) - 1) // 2
+    assert all(found.get(n + i) == found.get(i) == i for i in range(40))
+    assert len(found) == 80
+    assert pairs / 2 < join.compared.value <= 8 * pairs, (join.compared.value, pairs)

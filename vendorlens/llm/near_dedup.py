@@ -7,7 +7,7 @@ found there. Two documents of similarity s meet in a child with chance s for eac
 a pair at or over the threshold has more than one child in common on average and keeps meeting
 at any depth, while others part quickly. Nodes with at most LEAF * LEAF pairs to compare are
 compared exhaustively, in tiles of at most TILE documents and those that they are compared with, so no
-task holds a whole node; larger ones branch again. TREES independent trees give the recall:
+task holds a whole node; larger ones branch again, unless their children together would have nearly as many pairs. TREES independent trees give the recall:
 ``missed_per_tree(0.8, 2)`` is 0.0625, so 7 trees miss 4 of a thousand million pairs.
 
 Candidates are confirmed on full shingle sets. Documents with the same set are one node of the
@@ -37,6 +37,8 @@ FIRST_DEPTH = 2
 LEAF = 2048
 #: Documents of a node that one task compares, with at most PROBES others.
 TILE, PROBES = 512, 2048
+#: A large node branches if its children have at most this share of its pairs.
+PAYS = 0.9
 #: At this depth larger nodes are compared too, in as many tiles as it takes.
 LAST_DEPTH = 12
 #: Of 128 minwise tokens, how many must agree before two documents are looked at: 4.5 deviations under 0.8.
@@ -159,14 +161,14 @@ def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _branched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, id) of the children of rows (node, id, sig)."""
+    """(parent, node, id) of the children of rows (node, id, sig)."""
     for batch in batches:
         if not batch.num_rows:
             continue
         node = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
         child = _children(node, _matrix(batch.column(2)))
-        ids = batch.column(1).take(pa.array(np.repeat(np.arange(batch.num_rows), BRANCH)))
-        yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64).ravel()), ids], names=["node", "id"])
+        twice = pa.array(np.repeat(np.arange(batch.num_rows), BRANCH))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(twice), pa.array(child.view(np.int64).ravel()), batch.column(1).take(twice)], names=["parent", "node", "id"])
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
@@ -234,11 +236,28 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(lead_ids[ok]), pa.array(ids[ok])], names=["a", "b"])
 
 
-def _within(most: int | None):
+def _masks(names: np.ndarray, places: np.ndarray, node: int) -> np.ndarray:
+    """For each document of a tile, which of its most frequent nodes before ``node`` it is in, as 64 bits; ``names[places[i]:places[i + 1]]`` are
+    the nodes of document i."""
+    owner = np.repeat(np.arange(len(places) - 1), np.diff(places))
+    before = names[places[0] : places[-1]] < node
+    own, names = owner[before], names[places[0] : places[-1]][before]
+    kinds, which, count = np.unique(names, return_inverse=True, return_counts=True)
+    bit = np.full(len(kinds), -1)
+    usual = np.argsort(-count, kind="stable")[:64]
+    bit[usual] = np.arange(len(usual))
+    known = bit[which] >= 0
+    out = np.zeros(len(places) - 1, np.uint64)
+    np.bitwise_or.at(out, own[known], np.uint64(1) << bit[which][known].astype(np.uint64))
+    return out
+
+
+def _within(most: int | None, compared=None):
     """(a, b) with agreeing sketches and different classes in each tile; of those of a document, the ``most``
     alike. Rows: tile, id, probe, node, class, main, sketch, nodes. Probes are compared with the tile's other
     rows: those of the node's largest class (main), and others of a larger id. ``nodes`` are all nodes of the document at
-    this depth, so that a pair is named only by the first node that it shares.
+    this depth, so that a pair is named only by the first node that it shares; nearly all others are told by a few
+    bits and not compared. ``compared`` counts the pairs of sketches.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,8 +272,14 @@ def _within(most: int | None):
             for lo, hi in zip(cut[:-1], cut[1:], strict=True):
                 base = np.flatnonzero(~probe[lo:hi]) + lo
                 sketches = coarse[base]
+                bits = _masks(names, places[lo : hi + 1], node[lo])
+                own_bits = bits[base - lo]
                 for i in np.flatnonzero(probe[lo:hi]) + lo:
-                    near = base[(sketches == coarse[i]).sum(1) >= AGREE]
+                    fresh = np.flatnonzero((own_bits & bits[i - lo]) == 0)
+                    if compared is not None:
+                        compared.add(len(fresh))
+                    near = base[fresh]
+                    near = near[(sketches[fresh] == coarse[i]).sum(1) >= AGREE]
                     near = near[(cls[near] != cls[i]) & (main[near] | (ids[near] > ids[i]))]
                     alike = (fine[near] == fine[i]).sum(1)
                     good = alike >= FINE_AGREE
@@ -318,6 +343,7 @@ class _Join:
         self.classes = saved(firsts.select("k1", "k2", "x.id", "x.sig"), "neardup-classes")
         self.sets: DataFrame | None = None
         self.links: DataFrame | None = None
+        self.compared = documents.sparkSession.sparkContext.accumulator(0)
         self.tried: DataFrame | None = None
         self.labelled: DataFrame | None = None
 
@@ -353,22 +379,38 @@ class _Join:
             rows = members.select("node", "salt", "id").unionByName(tops).join(bytes_, "id").select("node", "salt", "id", "sketch")
             stars = rows.repartition(self.parts, "node", "salt").sortWithinPartitions("node", "salt", "id").mapInArrow(_stars, "a long, b long").distinct()
             self.link(stars)
+            mixed = self.mixed(nodes)
+            grown = self.grown(mixed.where(f"n * rest > {LEAF * LEAF}").select("node", "id", "n").join(sketch, "id")) if depth < LAST_DEPTH else None
             for most in (2, None):  # first the most alike, which connect nearly all; then all that are left
-                mixed = self.mixed(nodes)
-                leaves = mixed.where(f"n * rest <= {LEAF * LEAF}") if depth < LAST_DEPTH else mixed
+                if most is None:
+                    mixed = self.mixed(nodes)
+                leaves = mixed
+                if grown is not None:  # small nodes, and those for which branching doesn't pay
+                    branching = grown.select(F.col("parent").alias("node")).distinct().withColumn("branches", F.lit(True))
+                    leaves = mixed.join(branching, "node", "left").where(f"branches is null or n * rest <= {LEAF * LEAF}").drop("branches")
                 if leaves.isEmpty():
                     break
                 own = saved(leaves.groupBy("id").agg(F.sort_array(F.collect_set("node")).alias("nodes")), "neardup-leaf-nodes")
                 fine = saved(self.mapped(own, _fine(self.width), "id long, sketch binary").join(own, "id"), "neardup-fine")
                 rows = self.tiles(leaves).join(fine, "id").select("tile", "id", "probe", "node", "class", "main", "sketch", "nodes")
-                self.link(rows.repartition(self.parts, "tile").sortWithinPartitions("tile", "id").mapInArrow(_within(most), "a long, b long").distinct())
-            if depth >= LAST_DEPTH:
+                self.link(rows.repartition(self.parts, "tile").sortWithinPartitions("tile", "id").mapInArrow(_within(most, self.compared), "a long, b long").distinct())
+            if grown is None:
                 break
-            big = mixed.where(f"n * rest > {LEAF * LEAF}").select("node", "id").join(sketch, "id").select("node", "id", "sig")
-            nodes = saved(self.kept_nodes(big.mapInArrow(_branched, "node long, id long")), "neardup-nodes")
+            big = mixed.where(f"n * rest > {LEAF * LEAF}").select(F.col("node").alias("parent")).distinct()
+            nodes = saved(self.kept_nodes(grown.join(big, "parent", "left_semi").select("node", "id")), "neardup-nodes")
             depth += 1
         return self.labels()
 
+    @staticmethod
+    def grown(big: DataFrame) -> DataFrame:
+        """(parent, node, id): the children of the large nodes for which branching pays. Texts that are alike but under the threshold
+        stay together in many children, which then have more pairs than their node has: such a node is compared itself."""
+        children = saved(big.select("node", "id", "sig").mapInArrow(_branched, "parent long, node long, id long"), "neardup-children")
+        pairs = children.groupBy("parent", "node").agg(F.count("*").alias("c")).groupBy("parent").agg(F.sum(F.col("c") * F.col("c")).alias("pairs"))
+        sizes = big.groupBy(F.col("node").alias("parent")).agg(F.max("n").alias("n"))
+        paying = pairs.join(sizes, "parent").where(F.col("pairs") <= PAYS * F.col("n") * F.col("n")).select("parent")
+        return children.join(saved(paying, "neardup-paying"), "parent", "left_semi")
+
     @staticmethod
     def kept_nodes(nodes: DataFrame) -> DataFrame:
         """(node, id, n) of the nodes with two documents or more."""
