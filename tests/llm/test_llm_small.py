@@ -363,3 +363,26 @@ def test_words_are_cut_at_ascii_white_space_only():
     (_, at), *_ = pii.chains_of(block)
     own = pii.Words(block, at)
     assert list(own) == [own[i] for i in range(len(own))] == re.findall(r"[^\x20\x09-\x0D]+", text)
+
+
+def test_a_large_benchmark_costs_little_where_nothing_matches():
+    rng = np.random.default_rng(3)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    text = lambda n: " ".join(vocabulary[i] for i in rng.integers(0, 5000, n))
+    items = [text(200) for _ in range(4000)] + ["w1 w2 w3"]  # 800,000 suffixes
+    shard = [text(1000) for _ in range(150)]
+    shard[7] += " " + items[11]
+    large, small = dec.Suffixes.of([str(i) for i in range(4001)], items, 10), dec.Suffixes.of(["11"], items[11:12], 10)
+    took = {}
+    for name, s in (("small", small), ("large", large)):
+        [block] = list(blocks(pa.array(shard), "ascii", True))
+        took[name] = min(_timed(lambda: list(dec.shard_matches(block, s, 10))) for _ in range(2))  # noqa: B023
+        found = [r for r in dec.shard_matches(block, s, 10) if r["n_hit"]]
+        assert [x["item_id"] for r in found for x in r["items"] if r["n_hit"] >= 200] == ["11"]
+    assert took["large"] < 4 * took["small"] + 0.2
+
+
+def _timed(f):
+    began = time.process_time()
+    f()
+    return time.process_time() - began

@@ -1,8 +1,10 @@
 """Benchmark decontamination with suffix arrays of the training documents.
 
 Each shard (a block of whole documents) gets a suffix array over its words. Every suffix of
-the benchmark is binary-searched in every shard, one word deeper at a time, which gives the
-longest verbatim match and all places of each window. Shards need nothing from each other,
+the benchmark that can match a window in a shard is binary-searched there, one word deeper at a time, which gives the
+longest verbatim match and all places of each window. Which suffixes can is told by the hashes of their windows, looked up in the
+sorted hashes of the benchmark's windows for each window of the shard: the work for a shard grows with its own words and
+matches, not with the benchmark. Shards need nothing from each other,
 so there is no shuffle and a hot source or passage only adds work where its rows are.
 
 Defined cases: a null or empty text has no words and is clean; an item without words has no
@@ -47,6 +49,7 @@ class Suffixes:
     item: np.ndarray  # item of each suffix
     need: np.ndarray  # match length from which it is a window; 0: no window starts here
     ids: list[str | None]
+    starts: dict[int, tuple[np.ndarray, np.ndarray]]  # of each length of windows: their hashes, sorted, and the suffixes that they start
 
     @classmethod
     def of(cls, ids: list[str | None], texts: list[str | None], width: int) -> Suffixes:
@@ -70,7 +73,28 @@ class Suffixes:
         h = cat(h, np.uint64)
         vocabulary = np.unique(h[h != 0])
         ranks = np.where(h == 0, 0, np.searchsorted(vocabulary, h) + 1)
-        return cls(vocabulary, ranks.astype(np.int32), *(cat(x, np.int32) for x in (start, left, full, item, need)), ids)
+        start, left, full, item, need = (cat(x, np.int32) for x in (start, left, full, item, need))
+        words = h[start]
+        ends = np.concatenate([[0], np.cumsum(np.bincount(item, minlength=len(ids)))])
+        starts = {}
+        for n in np.unique(need[need > 0]).tolist():
+            at, hashes = windows(words, ends, n)
+            own = need[at] == n
+            order = np.argsort(hashes[own], kind="stable")
+            starts[n] = hashes[own][order], at[own][order].astype(np.int32)
+        return cls(vocabulary, ranks.astype(np.int32), start, left, full, item, need, ids, starts)
+
+    def near(self, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The suffixes whose window may be in a shard (words by hash, ``first`` as in a block)."""
+        found = []
+        for n, (own, suffix) in self.starts.items():
+            _, there = windows(hashes, first, n)
+            at = np.searchsorted(own, there)
+            at[at == len(own)] = 0
+            there = np.unique(there[own[at] == there])
+            _, places = expanded(np.searchsorted(own, there), np.searchsorted(own, there, "right"))
+            found.append(suffix[places])
+        return np.sort(np.concatenate(found)) if found else np.empty(0, np.int32)
 
 
 def ranked(hashes: np.ndarray, first: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
@@ -124,13 +148,13 @@ def suffix_array(ranks: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
-def search(order: np.ndarray, ranks: np.ndarray, s: Suffixes, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Longest match of every suffix (to ``depth`` words), one place of it, and the range of its window."""
+def search(order: np.ndarray, ranks: np.ndarray, s: Suffixes, depth: int, some: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Longest match of every suffix, or of ``some`` only (to ``depth`` words), one place of it, and the range of its window."""
     n = len(s.start)
     lo, hi = np.zeros(n, np.int64), np.full(n, len(order))
     longest, place = np.zeros(n, np.int64), np.zeros(n, np.int64)
     wlo, whi = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    live = np.arange(n)
+    live = np.arange(n) if some is None else some
     padded = np.append(ranks, np.zeros(depth + 1, np.int64))
 
     def bound(lo, hi, want, d, right):
@@ -169,22 +193,25 @@ def shard_matches(block: Block, s: Suffixes, width: int) -> Iterator[dict]:
     """The columns of MATCHES but the id for each document of a shard."""
     docs = block.hi - block.lo
     n_words = np.diff(block.first)
-    ranks = ranked(block.hashes(), block.first, s.vocabulary)
+    hashes = block.hashes()
+    ranks = ranked(hashes, block.first, s.vocabulary)
+    some = s.near(hashes, block.first)
     begin = block.first + np.arange(len(block.first))  # of each document in ranks
     covered = np.zeros(len(ranks) + 1, np.int64)
     found = {}
-    if len(s.start) and len(block.starts):
+    if len(some):
         depth = 1 << max(1, (width - 1).bit_length())
         order = suffix_array(ranks, depth)
-        _, _, lo, hi = search(order, ranks, s, width)
+        _, _, lo, hi = search(order, ranks, s, width, some)
         # equal windows share their places: mark words once for each distinct window
-        heads = np.unique(np.stack([lo, hi, s.need], 1)[hi > lo], axis=0)
+        some = some[hi[some] > lo[some]]
+        heads = np.unique(np.stack([lo[some], hi[some], s.need[some]], 1), axis=0)
         owner, at = expanded(heads[:, 0], heads[:, 1])
         places, need = order[at], heads[owner, 2]
         np.add.at(covered, places, 1)
         np.add.at(covered, places + need, -1)
         # matches that can't be grown to the left, one or more for each document and item
-        for j in np.flatnonzero(hi > lo):
+        for j in some:
             at = order[lo[j] : hi[j]]
             if s.left[j] < s.full[j]:
                 before = ranks[np.maximum(at - 1, 0)]
@@ -214,7 +241,7 @@ def grown(ranks: np.ndarray, s: Suffixes, place: int, j: int) -> tuple[int, int,
 
 def suffix_blocks(benchmark: DataFrame, width: int, item_col: str = "item_id", text_col: str = "text") -> Iterator[Suffixes]:
     """The benchmark's suffixes in blocks of at most BENCHMARK_BLOCK_BYTES of text (a longer item stands alone), each
-    built when it is asked for: about 35 bytes a word, and one block at a time on the driver and in a task."""
+    built when it is asked for: about 50 bytes a word, and one block at a time on the driver and in a task."""
     items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("t is not null")
     ids: list[str | None] = []
     texts: list[str] = []
