@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vendorlens.functions import scalars
+from vendorlens.functions import scalars, tables
 from vendorlens.functions.lexicon import lexicon
 from vendorlens.operators import analyst, evidence, scoring, signals
 from vendorlens.sources import adapters as A
@@ -38,6 +38,18 @@ def automaton_signals(spark, sf_dir):
     return found.select("doc_id", "category", "severity", "keyword", "weight")
 
 
+@query(f"""WITH {A.SIGNALS_SQL} SELECT doc_id, category, sum(weight)::BIGINT AS weight, upper(arg_max(severity, weight * 1000 - ord)) AS severity, string_agg(keyword, '|' ORDER BY ord) AS keywords FROM sig GROUP BY doc_id, category""")
+def signals_by_table_function(spark, sf_dir):
+    """Groups in SQL alone, from the table function text_signals."""
+    tables.register_tables(spark)
+    texts = A.evidence_text(spark, sf_dir)
+    return spark.sql(
+        """SELECT doc_id, category, sum(weight) AS weight, upper(max_by(severity, struct(weight, -ord))) AS severity, array_join(transform(array_sort(collect_list(struct(ord, keyword))), x -> x.keyword), '|') AS keywords
+        FROM {texts} d, LATERAL text_signals(d.text) s GROUP BY doc_id, category""",
+        texts=texts,
+    )
+
+
 @query(f"""WITH {A.TEXT_SQL}, big AS (SELECT DISTINCT lower(substring(text, 11, 9)) AS keyword, lang AS category, length(source) AS weight FROM f1 WHERE length(text) > 19),
     hits AS (SELECT f1.doc_id, big.keyword, big.category, big.weight FROM f1 JOIN big ON contains(lower(f1.text), big.keyword))
     SELECT keyword, category, weight, count(DISTINCT doc_id) AS n_documents, min(doc_id) AS first_document FROM hits GROUP BY keyword, category, weight""")
@@ -215,14 +227,14 @@ def corpus_retrieval(spark, sf_dir):
     return evidence.retrieve(A.evidence(spark, sf_dir), topics, keys=["doc_id"], text_col="snippet")
 
 
-@query(f"""WITH {A.EVIDENCE_SQL}, t AS (SELECT doc_id AS vendor_id, (doc_id % 3)::INTEGER AS query_id, lower(substring(snippet, (3 * (doc_id % 5))::INTEGER + 1, CASE doc_id % 50 WHEN 7 THEN 1 WHEN 9 THEN 2 WHEN 11 THEN 0 ELSE 5 END)) AS phrase,
+@query(f"""WITH {A.EVIDENCE_SQL}, t AS (SELECT doc_id AS vendor_id, (doc_id % 3)::INTEGER AS query_id, lower(substring(snippet, (3 * (doc_id % 5))::INTEGER + 1, CASE doc_id % 50 WHEN 7 THEN 1 WHEN 9 THEN 2 WHEN 11 THEN 0 ELSE 12 END)) AS phrase,
         [lower(substring(snippet, 30, 4)), 'lawsuit'] AS terms, 'src' || doc_id % 7 || '.example.com' AS domain FROM ev), d AS (SELECT doc_id, lower(snippet) AS x, regexp_extract(url, '^[^:]+://([^/?#]+)', 1) AS host FROM ev)
     SELECT doc_id, vendor_id, query_id FROM d JOIN t ON contains(x, phrase) AND (contains(x, terms[1]) OR contains(x, terms[2])) AND NOT (host = domain OR ends_with(host, '.' || domain))""")
 def indexed_retrieval(spark, sf_dir):
     """A topic for each document, with a phrase and a term of its text."""
-    e = A.evidence(spark, sf_dir)
+    e = A.evidence(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism)  # the given files are single row groups
     k = F.col("doc_id") % 50
-    length = F.when(k == 7, 1).when(k == 9, 2).when(k == 11, 0).otherwise(5)
+    length = F.when(k == 7, 1).when(k == 9, 2).when(k == 11, 0).otherwise(12)
     topics = e.select(
         F.col("doc_id").alias("vendor_id"), (F.col("doc_id") % 3).cast("int").alias("query_id"), F.substring("snippet", (3 * (F.col("doc_id") % 5) + 1).cast("int"), length).alias("phrase"),
         F.array(F.substring("snippet", 30, 4), F.lit("lawsuit")).alias("terms"), F.concat(F.lit("src"), (F.col("doc_id") % 7).cast("string"), F.lit(".example.com")).alias("domain"),
