@@ -105,6 +105,43 @@ def test_automaton_takes_no_longer_for_more_entries(spark):
     assert found > 0 and took[100_000] < 10 * took[100] + 5
 
 
+def test_automaton_does_not_repeat_texts(spark):
+    # 2,000 keywords in each of 8 texts of 200 kB: 3 GB if a text went along with each
+    import resource
+
+    words = [f"w{i:04d}" for i in range(2000)]
+    lex = spark.createDataFrame([(i, "c", "low", w, 3, w) for i, w in enumerate(words)], SCHEMA)
+    df = spark.range(0, 8, 1, 1).select("id", F.concat(F.lit(" ".join(words)), F.repeat(F.lit("x "), 95_000)).alias("text"))
+
+    def peak(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows], "kb": [resource.getrusage(resource.RUSAGE_SELF).ru_maxrss]})
+
+    found = signals.extract_signals_automaton(df, "id", "text", lex, distinct=False).select("id")
+    r = found.mapInArrow(peak, "n long, kb long").agg(F.sum("n").alias("n"), F.max("kb").alias("kb")).first()
+    assert r.n == 16_000 and r.kb < 2_000_000
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_keyword_counts_are_brute_force(spark, seed):
+    rng = random.Random(seed)
+    text = lambda lo, hi: "".join(rng.choice("abé \U0001f600") for _ in range(rng.randint(lo, hi)))
+    rows = [(rng.choice([None, *range(-9, 30)]), rng.choice([None, text(0, 9), text(50, 300)])) for _ in range(150)]
+    words = sorted({text(0, 5) for _ in range(80)} | {t[5:90] for _, t in rows if t})
+    texts, lex = spark.createDataFrame(rows, "k long, text string"), spark.createDataFrame([(w,) for w in [*words, *words[:5], None]], "keyword string")
+    own = {w: {k for k, t in rows if k is not None and t is not None and w in t} for w in words}
+    want = sorted((w, len(k), min(k)) for w, k in own.items() if k)
+    for block, chunk in ((6000, 1000), (1 << 20, 3)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(chunk))
+        try:
+            got = signals.keyword_counts(texts, "k", "text", lex, spread=3, block_bytes=block).collect()
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert sorted(map(tuple, got)) == want
+
+
 def test_indexed_retrieval_is_the_theta_join(spark):
     rng = random.Random(2)
     letters = "abé \U0001f600"

@@ -58,9 +58,8 @@ def large_lexicon(spark, sf_dir):
     texts = A.evidence_text(spark, sf_dir)
     long = texts.where(F.length("text") > 19)
     big = long.select(F.lower(F.substring("text", 11, 9)).alias("keyword"), F.col("lang").alias("category"), F.length("source").alias("weight")).distinct()
-    big = big.withColumns({"ord": F.lit(0), "severity": F.lit("low"), "indicator": F.col("keyword")})
-    found = signals.extract_signals_automaton(texts, "doc_id", "text", big, distinct=False, spread=spark.sparkContext.defaultParallelism)
-    return found.groupBy("keyword", "category", "weight").agg(F.countDistinct("doc_id").alias("n_documents"), F.min("doc_id").alias("first_document"))
+    counts = signals.keyword_counts(texts, "doc_id", "text", big, spread=spark.sparkContext.defaultParallelism)
+    return big.join(counts, "keyword").select("keyword", "category", "weight", F.col("n_keys").alias("n_documents"), F.col("first_key").alias("first_document"))
 
 
 SCORE_SQL = """SELECT {k}, CASE WHEN n IS NULL THEN 5 ELSE s END::INTEGER AS risk_score,
