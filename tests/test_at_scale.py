@@ -147,6 +147,14 @@ def test_automaton_does_not_repeat_texts(spark):
     assert r.n == 16_000 and r.kb < 2_000_000
 
 
+def test_table_function_lowers_a_text_once(spark, sf_dir):
+    from vendorlens.plans import registry
+
+    plan = registry.QUERIES["signals_by_table_function"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert len(joins) == 1 and "lower(" not in joins[0] and plan.count("lower(") == 1
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_keyword_counts_are_brute_force(spark, seed):
     rng = random.Random(seed)

@@ -40,12 +40,12 @@ def automaton_signals(spark, sf_dir):
 
 @query(f"""WITH {A.SIGNALS_SQL} SELECT doc_id, category, sum(weight)::BIGINT AS weight, upper(arg_max(severity, weight * 1000 - ord)) AS severity, string_agg(keyword, '|' ORDER BY ord) AS keywords FROM sig GROUP BY doc_id, category""")
 def signals_by_table_function(spark, sf_dir):
-    """Groups in SQL alone, from the table function text_signals."""
+    """Groups in SQL alone, from the table function lowered_signals; each text is lowered once."""
     tables.register_tables(spark)
     texts = A.evidence_text(spark, sf_dir)
     return spark.sql(
         """SELECT doc_id, category, sum(weight) AS weight, upper(max_by(severity, struct(weight, -ord))) AS severity, array_join(transform(array_sort(collect_list(struct(ord, keyword))), x -> x.keyword), '|') AS keywords
-        FROM {texts} d, LATERAL text_signals(d.text) s GROUP BY doc_id, category""",
+        FROM (SELECT doc_id, low FROM {texts} LATERAL VIEW explode(array(lower(text))) AS low) d, LATERAL lowered_signals(d.low) s GROUP BY doc_id, category""",
         texts=texts,
     )
 
