@@ -202,6 +202,52 @@ def test_indexed_retrieval_of_own_domains_and_null_terms(spark):
     assert sorted(map(tuple, evidence.retrieve_indexed(docs, topics, keys=["d"]).collect())) == sorted(map(tuple, want)) and len(want) > 20
 
 
+def test_indexed_retrieval_gives_a_topic_once_for_64_texts(spark):
+    # 1,920,000 rows; Python gives Spark a list of texts for each topic, not each row
+    docs = spark.range(0, 6400, 1, 1).select("id", F.concat(F.lit("a lawsuit of "), F.col("id").cast("string")).alias("text"), F.lit("https://x.org/").alias("url"))
+    topics = spark.range(300).select(F.col("id").alias("vendor_id"), F.lit(0).alias("query_id"), F.lit("").alias("phrase"), F.array(F.lit("lawsuit")).alias("terms"), F.lit("a.com").alias("domain"))
+    found = evidence.retrieve_indexed(docs, topics, keys=["id"])
+    assert len(found.toArrow()) == 6400 * 300
+    plan, given = found._jdf.queryExecution().executedPlan(), None
+    while given is None:
+        given = plan.metrics().apply("pythonNumRowsReceived").value() if plan.nodeName() == "MapInArrow" else None
+        plan = plan.children().head() if given is None else plan
+    assert given == 300 * 100
+
+
+def test_indexed_retrieval_by_several_keys_and_without_rows(spark):
+    docs = spark.createDataFrame([(1, "k", "A b", "https://x.org/"), (None, None, "a", "https://x.org/"), (1, "k", "A b", "https://x.org/"), (2, "", None, None)], "d long, `odd key` string, text string, url string")
+    topics = spark.createDataFrame([(i, 0, p, ["a"], "a.com") for i, p in enumerate(["", "b", "a b", "c"])], "vendor_id long, query_id int, phrase string, terms array<string>, domain string")
+    for d, t in ((docs, topics), (docs, topics.limit(0)), (docs.limit(0), topics)):
+        got, want = (f(d, t, keys=["d", "odd key"]) for f in (evidence.retrieve_indexed, evidence.retrieve))
+        assert got.columns == want.columns and got.dtypes == want.dtypes
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_substrings_are_brute_force(seed, monkeypatch):
+    import pyarrow as pa
+
+    from vendorlens.functions import substrings
+
+    rng = random.Random(seed)
+    letters = ["ab", "abcdefghij ", "abé \u20ac\U0001f600", "".join(map(chr, range(32, 127)))][seed]
+    text = lambda lo, hi: "".join(rng.choice(letters) for _ in range(rng.randint(lo, hi)))
+    texts = [rng.choice([None, "", "", text(0, 9), text(20, 200), text(200, 3000)]) for _ in range(200)]
+    inside = [t[i : i + n] for t in texts if t for n in (1, 2, 3, 4, 5, 6, 7, 8, 9, 11, 12, 13, 15, 16, 17, 23, 24, 31, 32, 50, 100, 400) for i in rng.sample(range(len(t)), min(2, len(t)))]
+    words = list(dict.fromkeys(["", *inside, *(w[:-1] + "a" for w in inside), *(w + "b" for w in inside)]))
+    want = {(i, w) for i, t in enumerate(texts) if t is not None for w, word in enumerate(words) if word in t}
+    for chunk in (1 << 18, 1000):
+        monkeypatch.setattr(substrings, "CHUNK_BYTES", chunk)
+        index, found, marked = substrings.Substrings(pa.array(words)), [], set()
+        for begin, _, row, word in index.find(pa.array(texts)):
+            found += [(begin + i, w) for i, w in zip(row.tolist(), word.tolist(), strict=True)]
+        for begin, end, marks in index.marks(pa.array(texts)):
+            assert end - begin <= 64 and marks[-1] == 0
+            marked |= {(i, w) for w, bits in enumerate(marks.tolist()) if bits for i in range(begin, begin + 64) if bits >> (i - begin) & 1}
+        assert found == sorted(want) and marked == want
+
+
 def test_very_many_topics_without_a_theta_join(spark):
     docs = spark.range(3000).select("id", F.concat(F.lit("about company "), F.col("id").cast("string"), F.lit(" inc and its losses")).alias("text"), F.lit("https://x.org/").alias("url"))
     topics = spark.range(100_000).select(F.col("id").alias("vendor_id"), F.lit(0).alias("query_id"), F.concat(F.lit("Company "), F.col("id").cast("string"), F.lit(" inc")).alias("phrase"), F.array(F.lit("losses")).alias("terms"), F.lit("a.com").alias("domain"))

@@ -231,14 +231,15 @@ def corpus_retrieval(spark, sf_dir):
     SELECT doc_id, vendor_id, query_id FROM d JOIN t ON contains(x, phrase) AND (contains(x, terms[1]) OR contains(x, terms[2])) AND NOT (host = domain OR ends_with(host, '.' || domain))""")
 def indexed_retrieval(spark, sf_dir):
     """A topic for each document, with a phrase and a term of its text."""
-    e = A.evidence(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism)  # the given files are single row groups
+    e = A.evidence(spark, sf_dir)
     k = F.col("doc_id") % 50
     length = F.when(k == 7, 1).when(k == 9, 2).when(k == 11, 0).otherwise(12)
     topics = e.select(
         F.col("doc_id").alias("vendor_id"), (F.col("doc_id") % 3).cast("int").alias("query_id"), F.substring("snippet", (3 * (F.col("doc_id") % 5) + 1).cast("int"), length).alias("phrase"),
         F.array(F.substring("snippet", 30, 4), F.lit("lawsuit")).alias("terms"), F.concat(F.lit("src"), (F.col("doc_id") % 7).cast("string"), F.lit(".example.com")).alias("domain"),
     )
-    return evidence.retrieve_indexed(e, topics, keys=["doc_id"], text_col="snippet")
+    spread = e.repartition(spark.sparkContext.defaultParallelism)  # the given files are single row groups
+    return evidence.retrieve_indexed(spread, topics, keys=["doc_id"], text_col="snippet")
 
 
 _PLACED = "placed AS (SELECT *, row_number() OVER (PARTITION BY vendor_id ORDER BY pass, query_id, rank) AS place FROM added)"
